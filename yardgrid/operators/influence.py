@@ -19,6 +19,7 @@ from yardgrid.functions.geometry import (
     larger,
     smaller,
 )
+from yardgrid.functions.nulls import surely
 
 CELL_FRAME = ["game", "play", "frame"]
 CELL = [*CELL_FRAME, "x", "y"]
@@ -31,18 +32,10 @@ _SLACK = 1e-6
 def player_frames(clean: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The columns of a cleaned frame that influence needs, under the names of the cell tables.
 
-    Rows without a position, heading or carrier have no influence, nor have rows at exactly the
-    top speed, whose short scale is zero (a singular covariance).
+    Rows at exactly the top speed, whose short scale is zero (a singular covariance), are left
+    out. Rows without a position, heading or carrier stay and spread to no cell.
     """
-    usable = (
-        F.col("x").isNotNull()
-        & F.col("y").isNotNull()
-        & F.col("s").isNotNull()
-        & F.col("dir").isNotNull()
-        & F.col("distance_to_ball").isNotNull()
-        & (F.col("speed_ratio") != 1)
-    )
-    return clean.filter((F.col("club") != "football") & usable).select(
+    return clean.filter((F.col("club") != "football") & (F.col("speed_ratio") != 1)).select(
         F.col("gameId").alias("game"),
         F.col("playId").alias("play"),
         F.col("frameId").alias("frame"),
@@ -130,10 +123,13 @@ def spread(frames: DataFrame, keep: Sequence[str] = (), k: int = REACH) -> DataF
     rows stay where their player-frame was.
     """
     wide = _prepare(frames, k)
-    columns = wide.withColumn("x", F.explode(_run(F.col("_x_lo"), F.col("_x_hi"))))
+    known = F.when(F.col("_half").isNotNull() & F.col("mu_y").isNotNull(), F.col("_x_hi"))
+    columns = wide.withColumn("x", F.explode(_run(F.col("_x_lo"), known)))
     lo, hi = _chord(F.col("x"))
     cells = columns.withColumn("y", F.explode(_run(lo, hi)))
-    inside = cells.filter(in_ellipse(F.col("x"), F.col("y"), k))
+    # Read as false when unknown: a bare comparison would make the optimizer derive not-null
+    # filters on every computed column and push their expansions below the row generators.
+    inside = cells.filter(surely(in_ellipse(F.col("x"), F.col("y"), k)))
     return inside.select(
         *CELL_FRAME, *keep, "x", "y", influence_at(F.col("x"), F.col("y")).alias("influ")
     )
@@ -153,7 +149,8 @@ def reaches_a_cell(k: int = REACH) -> Column:
         return F.exists(ys, lambda y: in_ellipse(x, y, k))
 
     xs = F.sequence(F.col("_x_lo").cast("int"), F.col("_x_hi").cast("int"))
-    return F.when(on_field, True).otherwise(F.exists(xs, column_hit))
+    unknown = F.col("scal_x").isNull() | F.col("mu_x").isNull() | F.col("mu_y").isNull()
+    return F.when(unknown, False).when(on_field, True).otherwise(F.exists(xs, column_hit))
 
 
 def with_reach(frames: DataFrame, k: int = REACH) -> DataFrame:

@@ -24,11 +24,16 @@ from yardgrid.session import settle
 LINKS = ("logit", "probit", "cloglog")
 
 
-def _stratum(df: DataFrame, target: str, groups: int) -> Column:
-    """Number of the quantile interval of a continuous target; ``groups`` bounds, both ends in."""
+def _strata(df: DataFrame, target: str, groups: int) -> DataFrame:
+    """Adds the number of the quantile interval of a continuous target; ``groups`` bounds, both
+    ends in. The inner bounds are one row of at most ``groups`` numbers."""
     shares = [i / (groups - 1) for i in range(1, groups - 1)]
     bounds = df.agg(F.percentile_approx(target, shares, 10_000).alias("bounds")).scalar()
-    return F.size(F.filter(bounds, lambda b: b < F.col(target)))
+    return (
+        df.withColumn("_bounds", bounds)
+        .withColumn("_stratum", F.size(F.filter("_bounds", lambda b: b < F.col(target))))
+        .drop("_bounds")
+    )
 
 
 def stratified_split(
@@ -45,8 +50,8 @@ def stratified_split(
     cut comes from hash ranks found bucket by bucket (the leading 16 bits), so a stratum that
     holds most rows is still ranked by many tasks, and the result does not depend on partitions.
     """
-    stratum = F.col(target) if groups is None else _stratum(df, target, groups)
-    hashed = df.withColumns({"_stratum": stratum, "_hash": F.xxhash64(*keys, F.lit(seed))})
+    layered = df.withColumn("_stratum", F.col(target)) if groups is None else _strata(df, target, groups)
+    hashed = layered.withColumn("_hash", F.xxhash64(*keys, F.lit(seed)))
     ranks = value_ranks(hashed, "_hash", ["_stratum"], bucket=F.shiftright("_hash", 48))
     chosen = ranks.select(
         "_stratum",

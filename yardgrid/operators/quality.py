@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yardgrid.functions.geometry import REACH, add_foci, in_ellipse
-from yardgrid.functions.nulls import strict
+from yardgrid.functions.nulls import strict, surely
 from yardgrid.operators.clean import PLAYER_PLAY
 from yardgrid.operators.influence import CELL, CELL_FRAME
 from yardgrid.operators.tackles import closest_approach
@@ -51,7 +51,7 @@ def quality_summary(cells: DataFrame, ellipses: DataFrame, k: int = REACH) -> Da
     """
     partitions = fan_out(cells.sparkSession)
     placed = ellipses.repartition(partitions, *CELL_FRAME)
-    inside = cells.join(placed, CELL_FRAME).filter(in_ellipse(F.col("x"), F.col("y"), k))
+    inside = cells.join(placed, CELL_FRAME).filter(surely(in_ellipse(F.col("x"), F.col("y"), k)))
     graded = inside.withColumn("quality", F.col("PC") * F.col("value"))
     return graded.groupBy(*CELL_FRAME, "tackler").agg(
         strict(F.sum("quality"), "quality").alias("sum_quality"),
@@ -65,6 +65,6 @@ def quality_summary(cells: DataFrame, ellipses: DataFrame, k: int = REACH) -> Da
 
 def frame_tackle_prob(cells: DataFrame, ellipses: DataFrame, k: int = 4) -> DataFrame:
     """Control times value added up per frame and tackler inside the smaller ellipse."""
-    inside = cells.join(ellipses, CELL_FRAME).filter(in_ellipse(F.col("x"), F.col("y"), k))
+    inside = cells.join(ellipses, CELL_FRAME).filter(surely(in_ellipse(F.col("x"), F.col("y"), k)))
     product = F.col("PC") * F.col("value")
     return inside.groupBy(*CELL_FRAME, "tackler").agg(strict(F.sum(product), product).alias("prob"))

@@ -360,7 +360,10 @@ def _needed(sql: str) -> list[str]:
 def statement(select: str) -> str:
     """A complete statement."""
     parts = [f"{name} AS MATERIALIZED ({RELATIONS[name]})" for name in _needed(select)]
-    return f"WITH {', '.join(parts)} {select}" if parts else select
+    if not parts:
+        return select
+    body = f"SELECT * FROM ({select})" if select.lstrip().startswith("WITH") else select
+    return f"WITH {', '.join(parts)} {body}"
 
 
 
