@@ -153,15 +153,3 @@ def ellipse_axes(df: DataFrame) -> DataFrame:
             "eigen_v2_2": -cos * F.col("scal_x"),
         }
     )
-
-
-def influence_at(x: Column, y: Column) -> Column:
-    """Rotated bivariate normal at a cell, divided by its value at the centre.
-
-    The normaliser cancels, so only the two standardised coordinates remain. Expects ``sin_dir``
-    and ``cos_dir`` next to the centre and the scales.
-    """
-    dx, dy = x - F.col("mu_x"), y - F.col("mu_y")
-    along = (dx * F.col("sin_dir") + dy * F.col("cos_dir")) / F.col("scal_x")
-    across = (dx * F.col("cos_dir") - dy * F.col("sin_dir")) / F.col("scal_y")
-    return F.exp(-0.5 * (along * along + across * across))

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from yardgrid.functions.geometry import GRID_X, GRID_Y
 from yardgrid.functions.scoring import logistic
 from yardgrid.operators.clean import PLAY
 from yardgrid.operators.influence import (
     CELL,
     CELL_FRAME,
+    blank_strips,
     complete_grid,
-    dense_cells,
+    lane_sums,
+    leaves_lanes,
     player_frames,
     spread,
+    strips,
+    unfold,
     with_reach,
 )
 from yardgrid.session import fan_out
@@ -115,74 +120,114 @@ def framed_home_away(clean: DataFrame, plays: DataFrame, games: DataFrame) -> Da
 # -- sums per cell -------------------------------------------------------------------------
 
 
-def crowded_frames(frames: DataFrame, crowd: int) -> DataFrame:
-    """Frames with more than ``crowd`` rows."""
-    sizes = frames.groupBy(*CELL_FRAME).agg(F.count(F.lit(1)).alias("rows"))
-    return sizes.filter(F.col("rows") > crowd).select(*CELL_FRAME)
+def _look(frames: DataFrame, crowd: int) -> tuple[bool, bool]:
+    """Whether there are frames of more than ``crowd`` rows, and rows that leave the lanes."""
+    sizes = (
+        leaves_lanes(frames)
+        .groupBy(*CELL_FRAME)
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("strays").alias("strays"))
+    )
+    seen = sizes.agg(F.max("rows").alias("rows"), F.max("strays").alias("strays")).first()
+    return (seen["rows"] or 0) > crowd, bool(seen["strays"])
 
 
 def cell_totals(
     frames: DataFrame,
-    keep: Sequence[str],
-    measures: Callable[[], list[Column]],
+    weights: dict[str, Column],
     extra_keys: Sequence[str] = (),
     grid: bool = False,
+    floor: float | None = None,
     crowd: int = CROWD,
-    keep_cell: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Sum player-frames cell by cell without shuffling cells.
+    """Weighted sums of influence per cell, without shuffling cells.
+
+    ``weights`` maps each result column to a weight computed from the columns of ``frames``; a row
+    of null weight does not take part. Cells where no row takes part in any sum are left out,
+    unless ``grid`` asks for the whole dense grid of every frame that has a cell.
 
     Ordinary frames travel as player rows, hashed by frame, and are spread and summed inside one
     task. Frames with more than ``crowd`` rows are spread where they lie, summed locally and
-    merged by the full cell key; their sums (at most one row per cell) then join the others.
+    merged by frame and column; their sums (at most one row per column) then join the others.
     The result is partitioned by frame, so frame-level work after it needs no exchange.
 
-    Whether there are crowded frames is looked up first, over the three key columns of
-    ``frames``, which should be a stored table (``settle`` or a stage). Without any, the plan has
-    one branch.
-
-    With ``grid`` every frame that has a cell also gets all cells of the dense grid, as rows
-    without influence (``influ`` 0 and nulls in ``keep``).
+    Whether there are crowded frames is looked up first, over the narrow ``frames``, which should
+    be a stored table (``settle`` or a stage). Without any, the plan has one branch.
     """
     partitions = fan_out(frames.sparkSession)
-    group = [*CELL, *extra_keys]
-    crowded = crowded_frames(frames, crowd)
-    kinds = {f.name: f.dataType for f in frames.schema.fields}
-
-    def cells(rows: DataFrame, local: bool) -> DataFrame:
-        placed = rows.repartition(partitions, *CELL_FRAME) if local else rows
-        out = spread(placed, keep)
-        out = keep_cell(out) if keep_cell else out
-        if not grid:
-            return out
-        reached = (
-            with_reach(rows)
-            .groupBy(*CELL_FRAME)
-            .agg(F.max("reaches").alias("reached"))
-            .filter("reached")
-            .select(*CELL_FRAME)
-        )
-        keyed = reached.repartition(partitions, *CELL_FRAME) if local else reached
-        empty = [F.lit(None).cast(kinds[name]).alias(name) for name in keep]
-        blank = dense_cells(keyed).select(*CELL_FRAME, *empty, "x", "y", F.lit(0.0).alias("influ"))
-        return out.unionByName(blank)
-
-    if crowded.isEmpty():
-        return cells(frames, True).groupBy(*group).agg(*measures())
-    # The long side is on the left, where the adaptive skew join can cut it.
-    calm = frames.join(crowded, CELL_FRAME, "left_anti")
-    busy = frames.join(crowded, CELL_FRAME, "left_semi")
-    summed = cells(calm, True).groupBy(*group).agg(*measures())
-    merged = cells(busy, False).groupBy(*group).agg(*measures())
-    return summed.unionByName(merged.repartition(partitions, *CELL_FRAME))
+    keys, names = [*CELL_FRAME, *extra_keys], list(weights)
+    is_crowded, has_strays = _look(frames, crowd)
+
+    def weighted(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({f"_w_{name}": weight for name, weight in weights.items()})
+
+    def columns(rows: DataFrame, local: bool) -> DataFrame:
+        """Sums per column; ``local`` brings each frame into one task first."""
+
+        def place(df: DataFrame) -> DataFrame:
+            return df.repartition(partitions, *CELL_FRAME) if local else df
+
+        needed = strips(place(weighted(rows)))
+        if grid:
+            reached = (
+                with_reach(rows)
+                .groupBy(*CELL_FRAME)
+                .agg(F.max("reaches").alias("reached"))
+                .filter("reached")
+                .select(*CELL_FRAME)
+            )
+            needed = needed.unionByName(blank_strips(place(reached)), allowMissingColumns=True)
+        return lane_sums(needed, keys, names, floor)
+
+    if is_crowded:
+        sizes = frames.groupBy(*CELL_FRAME).agg(F.count(F.lit(1)).alias("rows"))
+        crowded = sizes.filter(F.col("rows") > crowd).select(*CELL_FRAME)
+        # The long side is on the left, where the adaptive skew join can cut it.
+        calm = frames.join(crowded, CELL_FRAME, "left_anti")
+        busy = frames.join(crowded, CELL_FRAME, "left_semi")
+        merged = columns(busy, False).repartition(partitions, *CELL_FRAME)
+        sums = columns(calm, True).unionByName(merged)
+    else:
+        sums = columns(frames, True)
+
+    taking_part = F.lit(False)
+    for name in names:
+        taking_part = taking_part | F.col(name).isNotNull()
+    if grid:
+        taking_part = taking_part | F.col("x").between(*GRID_X)
+    cells = unfold(sums, keys, names).filter(taking_part)
+    if has_strays:
+        few = weighted(leaves_lanes(frames).filter("strays"))
+        cells = cells.unionByName(_stray_cells(few, keys, names, floor))
+    return cells
+
+
+def _stray_cells(
+    few: DataFrame, keys: Sequence[str], names: Sequence[str], floor: float | None
+) -> DataFrame:
+    """The sums of the few cells outside the lanes, cell by cell."""
+    extra = [name for name in keys if name not in CELL_FRAME]
+    cells = spread(few, [*extra, *[f"_w_{name}" for name in names]])
+    outside = cells.filter((F.col("y") < GRID_Y[0]) | (F.col("y") > GRID_Y[1]))
+    if floor is not None:
+        outside = _strong(outside, floor)
+    sums = outside.groupBy(*keys, "x", "y").agg(
+        *[F.sum(F.col(f"_w_{name}") * F.col("influ")).alias(name) for name in names]
+    )
+    known = F.lit(False)
+    for name in names:
+        known = known | F.col(name).isNotNull()
+    partitions = fan_out(few.sparkSession)
+    return sums.filter(known).repartition(partitions, *CELL_FRAME)
 
 
 def signed_sum(plus: str, minus: str) -> Column:
     """Influence of one side less that of the other; rows of neither count for nobody."""
-    influ = F.col("influ")
-    return F.sum(
-        F.when(F.col("side") == plus, influ).when(F.col("side") == minus, -influ).otherwise(0.0)
-    ).alias("net")
+    return F.sum(signed_weight(plus, minus) * F.col("influ")).alias("net")
+
+
+def signed_weight(plus: str, minus: str) -> Column:
+    """1 for one side, -1 for the other, 0 for neither."""
+    return F.when(F.col("side") == plus, 1.0).when(F.col("side") == minus, -1.0).otherwise(0.0)
 
 
 # -- control surfaces ----------------------------------------------------------------------
@@ -197,10 +242,8 @@ def control_surface(
     must be gone already (:func:`without_carrier`). An uncovered grid cell has 0.5, which is the
     logistic of no influence at all.
     """
-    totals = cell_totals(
-        frames, ["side"], lambda: [signed_sum(plus, minus)], grid=grid, crowd=crowd
-    )
-    return totals.select(*CELL, logistic(F.col("net")).alias("PC"))
+    totals = cell_totals(frames, {"net": signed_weight(plus, minus)}, grid=grid, crowd=crowd)
+    return totals.select(*CELL, logistic(F.coalesce("net", F.lit(0.0))).alias("PC"))
 
 
 def without_carrier(frames: DataFrame) -> DataFrame:
@@ -259,11 +302,7 @@ def capped_control(
     ``near`` lists (game, play, frame, player); weak influence below ``floor`` is left out.
     """
     totals = cell_totals(
-        _near_frames(frames, near),
-        [],
-        lambda: [F.sum("influ").alias("total")],
-        crowd=crowd,
-        keep_cell=lambda cells: _strong(cells, floor),
+        _near_frames(frames, near), {"total": F.lit(1.0)}, floor=floor, crowd=crowd
     )
     return totals.select(*CELL, F.least(F.col("total"), F.lit(1.0)).alias("PC"))
 
@@ -282,12 +321,7 @@ def individual_control(
     """
     close = _near_frames(frames, near)
     by_club = cell_totals(
-        close,
-        ["club"],
-        lambda: [F.sum("influ").alias("part")],
-        extra_keys=["club"],
-        crowd=crowd,
-        keep_cell=lambda cells: _strong(cells, floor),
+        close, {"part": F.lit(1.0)}, extra_keys=["club"], floor=floor, crowd=crowd
     )
     tagged = defenders.select(
         *CELL_FRAME, F.col("player").alias("defender"), F.col("team").alias("own")
@@ -337,23 +371,17 @@ def control_value(frames: DataFrame, crowd: int = CROWD) -> DataFrame:
         .groupBy(*CELL_FRAME)
         .agg(F.max("reaches").alias("contested"))
     )
-    rows = frames.join(others, CELL_FRAME, "left")
+    carrier = F.col("carries")
     totals = cell_totals(
-        rows,
-        ["side", "carries", "contested"],
-        lambda: [
-            F.max(F.when(F.col("carries"), F.col("influ"))).alias("value"),
-            F.sum(
-                F.when(F.col("carries"), 0.0)
-                .when(F.col("side") == "def", F.col("influ"))
-                .when(F.col("side") == "off", -F.col("influ"))
-                .otherwise(0.0)
-            ).alias("net"),
-            F.sum(F.when(F.col("carries"), 0).otherwise(1)).alias("others"),
-            F.max("contested").alias("contested"),
-        ],
+        frames,
+        {
+            "value": F.when(carrier, 1.0),
+            "net": F.when(~carrier, signed_weight("def", "off")),
+        },
         crowd=crowd,
     ).filter(F.col("value").isNotNull())
-    on_grid = F.col("x").between(0, 100) & F.col("y").between(0, 54)
-    known = (F.col("others") > 0) | (on_grid & F.coalesce("contested", F.lit(False)))
-    return totals.select(*CELL, F.when(known, logistic(F.col("net"))).alias("PC"), "value")
+    located = totals.join(others.repartition(fan_out(frames.sparkSession), *CELL_FRAME), CELL_FRAME, "left")
+    on_grid = F.col("x").between(*GRID_X) & F.col("y").between(*GRID_Y)
+    uncovered = F.when(on_grid & F.coalesce("contested", F.lit(False)), 0.5)
+    control = F.when(F.col("net").isNotNull(), logistic(F.col("net"))).otherwise(uncovered)
+    return located.select(*CELL, control.alias("PC"), "value")

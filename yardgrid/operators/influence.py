@@ -15,16 +15,16 @@ from yardgrid.functions.geometry import (
     REACH_Y,
     add_foci,
     in_ellipse,
-    influence_at,
-    larger,
-    smaller,
 )
-from yardgrid.functions.nulls import surely
 
 CELL_FRAME = ["game", "play", "frame"]
 CELL = [*CELL_FRAME, "x", "y"]
 
 _SHAPE = ["mu_x", "mu_y", "rad_dir", "scal_x", "scal_y"]
+# What the cells of a strip share, next to the ends of the chord.
+_SHARED = (
+    "_reach", "_near1", "_near2", "_f1", "_f2", "_mu", "_along", "_along_y", "_across", "_across_y",
+)
 # Widening of the analytic chord before the exact test decides, in yards.
 _SLACK = 1e-6
 
@@ -45,75 +45,101 @@ def player_frames(clean: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _with(df: DataFrame, **columns: str) -> DataFrame:
+    """Add columns given as SQL expressions."""
+    return df.withColumns({name: F.expr(text) for name, text in columns.items()})
+
+
 def _box(frames: DataFrame, k: int) -> DataFrame:
     """First and last yard of the axis-aligned search box, cut to the reachable field.
 
     A centre far off the field turns the bounds around; the yards between them count either way.
     """
-    reach_x = F.rint(F.col("scal_x") * k)
-    reach_y = F.ceil(F.col("scal_y") * k)
-    x_from = F.greatest(F.rint("mu_x") - reach_x, F.lit(float(REACH_X[0])))
-    x_to = F.least(F.rint("mu_x") + reach_x, F.lit(float(REACH_X[1])))
-    y_from = F.greatest(F.rint("mu_y") - reach_y, F.lit(float(REACH_Y[0])))
-    y_to = F.least(F.rint("mu_y") + reach_y, F.lit(float(REACH_Y[1])))
-    return frames.withColumns(
-        {
-            "_x_lo": F.least(x_from, x_to),
-            "_x_hi": F.greatest(x_from, x_to),
-            "_y_lo": F.least(y_from, y_to),
-            "_y_hi": F.greatest(y_from, y_to),
-        }
+    x_from = f"greatest(rint(mu_x) - rint(scal_x * {k}), {REACH_X[0]}D)"
+    x_to = f"least(rint(mu_x) + rint(scal_x * {k}), {REACH_X[1]}D)"
+    y_from = f"greatest(rint(mu_y) - ceil(scal_y * {k}), {REACH_Y[0]}D)"
+    y_to = f"least(rint(mu_y) + ceil(scal_y * {k}), {REACH_Y[1]}D)"
+    return _with(
+        frames,
+        _x_lo=f"least({x_from}, {x_to})",
+        _x_hi=f"greatest({x_from}, {x_to})",
+        _y_lo=f"least({y_from}, {y_to})",
+        _y_hi=f"greatest({y_from}, {y_to})",
     )
 
 
-def _prepare(frames: DataFrame, k: int) -> DataFrame:
-    """Everything that is constant within a player-frame, computed before the rows multiply.
+def strips(frames: DataFrame, k: int = REACH) -> DataFrame:
+    """One row per player-frame and field column ``x``, with the first and last yard in y and all
+    that the cells of the column share. There is no shuffle.
 
     The foci ellipse with sum ``k*long`` has half axes ``a = k*long/2`` along the heading and
     ``b`` with ``b*b = a*a - 4*(long*long - short*short)``; its half width in x and, for a given
-    x, its chord in y bound the cells without trying the whole box.
+    x, its chord in y bound the cells without trying the whole box. The chord is widened a little
+    (more where its root is ill-conditioned); the exact test on each cell decides.
     """
-    long = larger(F.col("scal_x"), F.col("scal_y"))
-    short = smaller(F.col("scal_x"), F.col("scal_y"))
-    aa = long * long * (k * k / 4.0)
-    bb = aa - 4 * (long * long - short * short)
-    sin, cos = F.col("sin_dir"), F.col("cos_dir")
-    framed = _box(add_foci(frames), k).withColumns({"sin_dir": F.sin("rad_dir"), "cos_dir": F.cos("rad_dir")})
+    long, short = "greatest(scal_x, scal_y)", "least(scal_x, scal_y)"
+    framed = _with(
+        _box(add_foci(frames), k),
+        sin_dir="sin(rad_dir)",
+        cos_dir="cos(rad_dir)",
+        _aa=f"{long} * {long} * {k * k / 4.0}D",
+        _bb=f"{long} * {long} * {k * k / 4.0}D - 4 * ({long} * {long} - {short} * {short})",
+    )
+    shaped = _with(
+        framed,
+        _half=f"sqrt(_aa * sin_dir * sin_dir + _bb * cos_dir * cos_dir) + {_SLACK}D",
+        # Quadratic of the chord in y for an offset in x.
+        _q2="cos_dir * cos_dir / _aa + sin_dir * sin_dir / _bb",
+        _q1="sin_dir * cos_dir * (1 / _aa - 1 / _bb)",
+        _q0="1 / (_aa * _bb)",
+    )
+    bounded = _with(
+        shaped,
+        _x_lo="int(greatest(_x_lo, ceil(mu_x - _half)))",
+        _x_hi="CASE WHEN _half IS NOT NULL AND mu_y IS NOT NULL THEN int(least(_x_hi, floor(mu_x + _half))) END",
+    )
+    columns = _with(bounded, x="explode(CASE WHEN _x_lo <= _x_hi THEN sequence(_x_lo, _x_hi) END)")
+    rooted = _with(
+        columns,
+        _root="sqrt(greatest(_q2 - (x - mu_x) * (x - mu_x) * _q0, 0D))",
+        _middle="mu_y - (x - mu_x) * _q1 / _q2",
+    )
+    margin = f"_root / _q2 + {_SLACK}D + CASE WHEN _root < 1e-3D THEN 0.1D ELSE 0D END"
+    # Rows without a shape are gone by now; saying so keeps null checks out of the cell code.
+    sure = {
+        "_from": f"int(greatest(_y_lo, ceil(_middle - ({margin}))))",
+        "_to": f"int(least(_y_hi, floor(_middle + ({margin}))))",
+        "_reach": f"{k} * {long}",
+        "_near1": "(x - f1_1) * (x - f1_1)",
+        "_near2": "(x - f2_1) * (x - f2_1)",
+        "_f1": "f1_2",
+        "_f2": "f2_2",
+        "_mu": "mu_y",
+        "_along": "(x - mu_x) * sin_dir / scal_x",
+        "_along_y": "cos_dir / scal_x",
+        "_across": "(x - mu_x) * cos_dir / scal_y",
+        "_across_y": "sin_dir / scal_y",
+    }
+    return _with(rooted, **{name: f"coalesce({text}, 0)" for name, text in sure.items()})
+
+
+def _in_strip(y: str) -> str:
+    """Ellipse test of the cell ``y`` of a strip: at the ends of the chord by the distances to the
+    foci; a cell between two ends is a yard inside."""
     return (
-        framed.withColumns({"_aa": aa, "_bb": bb})
-        .withColumns(
-            {
-                "_half": F.sqrt(F.col("_aa") * sin * sin + F.col("_bb") * cos * cos) + _SLACK,
-                # Quadratic of the chord in y for an offset in x.
-                "_q2": cos * cos / F.col("_aa") + sin * sin / F.col("_bb"),
-                "_q1": sin * cos * (1 / F.col("_aa") - 1 / F.col("_bb")),
-                "_q0": 1 / (F.col("_aa") * F.col("_bb")),
-            }
-        )
-        .withColumns(
-            {
-                "_x_lo": F.greatest("_x_lo", F.ceil(F.col("mu_x") - F.col("_half"))).cast("int"),
-                "_x_hi": F.least("_x_hi", F.floor(F.col("mu_x") + F.col("_half"))).cast("int"),
-            }
-        )
+        f"((_from < {y} AND _to > {y}) OR sqrt(_near1 + ({y} - _f1) * ({y} - _f1)) "
+        f"+ sqrt(_near2 + ({y} - _f2) * ({y} - _f2)) <= _reach)"
     )
 
 
-def _run(lo: Column, hi: Column) -> Column:
-    """Whole numbers from ``lo`` to ``hi``; null (no rows) when there are none."""
-    return F.when(lo <= hi, F.sequence(lo, hi))
-
+def _strip_influence(y: str) -> str:
+    """Rotated bivariate normal at the cell ``y`` of a strip, divided by its value at the centre.
 
-def _chord(x: Column) -> tuple[Column, Column]:
-    """First and last yard in y that the ellipse and the box allow at column ``x``."""
-    dx = x - F.col("mu_x")
-    root = F.sqrt(F.greatest(F.col("_q2") - dx * dx * F.col("_q0"), F.lit(0.0)))
-    middle = F.col("mu_y") - dx * F.col("_q1") / F.col("_q2")
-    # Near the ends of the ellipse the root is ill-conditioned; the slack grows with it.
-    half = root / F.col("_q2") + _SLACK + F.when(root < 1e-3, 0.1).otherwise(0.0)
-    lo = F.greatest(F.col("_y_lo"), F.ceil(middle - half)).cast("int")
-    hi = F.least(F.col("_y_hi"), F.floor(middle + half)).cast("int")
-    return lo, hi
+    The normaliser cancels, so only the two standardised coordinates remain.
+    """
+    along = f"(_along + ({y} - _mu) * _along_y)"
+    across = f"(_across - ({y} - _mu) * _across_y)"
+    return f"exp(-0.5D * ({along} * {along} + {across} * {across}))"
 
 
 def spread(frames: DataFrame, keep: Sequence[str] = (), k: int = REACH) -> DataFrame:
@@ -122,17 +148,56 @@ def spread(frames: DataFrame, keep: Sequence[str] = (), k: int = REACH) -> DataF
     Only the keys, ``keep``, the cell and ``influ`` leave the operator. There is no shuffle: the
     rows stay where their player-frame was.
     """
-    wide = _prepare(frames, k)
-    known = F.when(F.col("_half").isNotNull() & F.col("mu_y").isNotNull(), F.col("_x_hi"))
-    columns = wide.withColumn("x", F.explode(_run(F.col("_x_lo"), known)))
-    lo, hi = _chord(F.col("x"))
-    cells = columns.withColumn("y", F.explode(_run(lo, hi)))
-    # Read as false when unknown: a bare comparison would make the optimizer derive not-null
-    # filters on every computed column and push their expansions below the row generators.
-    inside = cells.filter(surely(in_ellipse(F.col("x"), F.col("y"), k)))
-    return inside.select(
-        *CELL_FRAME, *keep, "x", "y", influence_at(F.col("x"), F.col("y")).alias("influ")
-    )
+    cells = _with(strips(frames, k), y="explode(CASE WHEN _from <= _to THEN sequence(_from, _to) END)")
+    # The shared columns are never null, so the optimizer derives no not-null filters from the
+    # test and pushes nothing below the row generators.
+    inside = cells.filter(F.expr(_in_strip("y")))
+    return inside.select(*CELL_FRAME, *keep, "x", "y", F.expr(_strip_influence("y")).alias("influ"))
+
+
+def blank_strips(keys: DataFrame) -> DataFrame:
+    """Strips without a cell for all columns of the dense grid."""
+    columns = _with(keys, x=f"explode(sequence({GRID_X[0]}, {GRID_X[1]}))")
+    return _with(columns, _from="1", _to="0", **{name: "0D" for name in _SHARED})
+
+
+def lane_sums(
+    strip_rows: DataFrame, keys: Sequence[str], weights: Sequence[str], floor: float | None = None
+) -> DataFrame:
+    """Weighted influence added up per key and field column, one sum for each yard in y.
+
+    A strip is one row whatever its height, so a frame costs one hash update per player and
+    column instead of one per cell. For each weight column ``_w_<name>`` the result has ``<name>``,
+    the array of sums for y = 0..54; a yard nobody reaches (or only rows of null weight) is null.
+    Influence below ``floor`` is left out.
+    """
+    lanes = range(GRID_Y[0], GRID_Y[1] + 1)
+
+    def lane(name: str, y: int) -> str:
+        test, value = _in_strip(str(y)), _strip_influence(f"{y}D")
+        if floor is not None:
+            test = f"{test} AND {value} >= {floor}D"
+        taking_part = f"_from <= {y} AND _to >= {y} AND _w_{name} IS NOT NULL"
+        return f"sum(CASE WHEN {taking_part} THEN CASE WHEN {test} THEN _w_{name} * {value} END END)"
+
+    sums = [F.expr(lane(n, y)).alias(f"{n}_{y}") for n in weights for y in lanes]
+    arrays = [F.array(*[f"{n}_{y}" for y in lanes]).alias(n) for n in weights]
+    return strip_rows.groupBy(*keys, "x").agg(*sums).select(*keys, "x", *arrays)
+
+
+def unfold(sums: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """One row per cell from the arrays of :func:`lane_sums`."""
+    if len(names) == 1:
+        return sums.select(*keys, "x", F.posexplode(names[0]).alias("y", names[0]))
+    cells = sums.select(*keys, "x", F.posexplode(F.arrays_zip(*names)).alias("y", "_cell"))
+    return cells.select(*keys, "x", "y", *[F.col("_cell")[n].alias(n) for n in names])
+
+
+def leaves_lanes(frames: DataFrame, k: int = REACH) -> DataFrame:
+    """Adds ``strays``: whether the search box holds yards outside 0..54 in y. That takes a centre
+    far off the field, where the clipped bounds of the box turn around."""
+    boxed = _with(_box(frames, k), strays=f"_y_lo < {GRID_Y[0]} OR _y_hi > {GRID_Y[1]}")
+    return boxed.select(*frames.columns, "strays")
 
 
 def reaches_a_cell(k: int = REACH) -> Column:

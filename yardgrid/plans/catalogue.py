@@ -105,7 +105,7 @@ def _quality(s: Season, only_tacklers: bool = True) -> DataFrame:
     clean = _stored(s)
     followed = tackling.tackle_frames(clean, s.plays, s.tackles, only_tacklers)
     return qualities.quality_summary(
-        controls.control_value(_frames(s, clean)),
+        settle(controls.control_value(_frames(s, clean))),
         qualities.tackler_ellipses(followed),
     )
 
@@ -431,7 +431,7 @@ def frame_tackle_prob(s: Season) -> DataFrame:
     clean = _stored(s)
     followed = tackling.tackle_frames(clean, s.plays, s.tackles)
     return qualities.frame_tackle_prob(
-        controls.control_value(_frames(s, clean)), qualities.tackler_ellipses(followed)
+        settle(controls.control_value(_frames(s, clean))), qualities.tackler_ellipses(followed)
     )
 
 

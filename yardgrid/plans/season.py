@@ -19,6 +19,7 @@ from yardgrid.operators.control import (
 from yardgrid.operators.influence import influence
 from yardgrid.operators.quality import quality_summary, tackler_ellipses
 from yardgrid.operators.tackles import tackle_frames
+from yardgrid.session import settle
 from yardgrid.sources.stages import game_buckets, read_stage, write_stage
 
 CELL_STAGES = ("influence", "pitch_control", "value_map")
@@ -62,7 +63,7 @@ def run_weeks(
     clean = clean_tracking(tracking.drop("week"), inputs.plays, inputs.pbp)
     write_stage(_with_parts(clean, parts, "gameId"), root, "clean", rebalance=True)
     clean = read_stage(spark, root, "clean", weeks).drop("week", "bucket")
-    frames = framed_sides(clean, inputs.plays)
+    frames = settle(framed_sides(clean, inputs.plays))
 
     surfaces = {
         "influence": lambda: influence(clean),
@@ -72,7 +73,9 @@ def run_weeks(
     for stage in cell_stages:
         write_stage(_with_parts(surfaces[stage](), parts), root, stage)
 
+    write_stage(_with_parts(control_value(frames), parts), root, "control_value")
+    cells = read_stage(spark, root, "control_value", weeks).drop("week", "bucket")
     for stage, only_tacklers in (("quality", True), ("all_quality", False)):
         followed = tackle_frames(clean, inputs.plays, inputs.tackles, only_tacklers)
-        graded = quality_summary(control_value(frames), tackler_ellipses(followed))
+        graded = quality_summary(cells, tackler_ellipses(followed))
         write_stage(_with_parts(graded, parts), root, stage, rebalance=True)
