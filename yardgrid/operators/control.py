@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from yardgrid.operators.influence import (
     CELL_FRAME,
     blank_strips,
     complete_grid,
+    ellipse_window,
     lane_sums,
     leaves_lanes,
     player_frames,
@@ -131,6 +133,20 @@ def _look(frames: DataFrame, crowd: int) -> tuple[bool, bool]:
     return (seen["rows"] or 0) > crowd, bool(seen["strays"])
 
 
+def _by_crowding(
+    frames: DataFrame, crowd: int, is_crowded: bool
+) -> list[tuple[DataFrame, bool]]:
+    """The rows of ordinary frames (to be brought together) and those of crowded ones (not)."""
+    if not is_crowded:
+        return [(frames, True)]
+    sizes = frames.groupBy(*CELL_FRAME).agg(F.count(F.lit(1)).alias("rows"))
+    crowded = sizes.filter(F.col("rows") > crowd).select(*CELL_FRAME)
+    # The long side is on the left, where the adaptive skew join can cut it.
+    calm = frames.join(crowded, CELL_FRAME, "left_anti")
+    busy = frames.join(crowded, CELL_FRAME, "left_semi")
+    return [(calm, True), (busy, False)]
+
+
 def cell_totals(
     frames: DataFrame,
     weights: dict[str, Column],
@@ -178,16 +194,11 @@ def cell_totals(
             needed = needed.unionByName(blank_strips(place(reached)), allowMissingColumns=True)
         return lane_sums(needed, keys, names, floor)
 
-    if is_crowded:
-        sizes = frames.groupBy(*CELL_FRAME).agg(F.count(F.lit(1)).alias("rows"))
-        crowded = sizes.filter(F.col("rows") > crowd).select(*CELL_FRAME)
-        # The long side is on the left, where the adaptive skew join can cut it.
-        calm = frames.join(crowded, CELL_FRAME, "left_anti")
-        busy = frames.join(crowded, CELL_FRAME, "left_semi")
-        merged = columns(busy, False).repartition(partitions, *CELL_FRAME)
-        sums = columns(calm, True).unionByName(merged)
-    else:
-        sums = columns(frames, True)
+    parts = []
+    for rows, local in _by_crowding(frames, crowd, is_crowded):
+        sums = columns(rows, local)
+        parts.append(sums if local else sums.repartition(partitions, *CELL_FRAME))
+    sums = reduce(DataFrame.unionByName, parts)
 
     taking_part = F.lit(False)
     for name in names:
@@ -360,28 +371,48 @@ def value_surface(frames: DataFrame) -> DataFrame:
 
 
 def control_value(frames: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """The carrier's cells with ``value`` and ``PC``: both surfaces in one pass, without a join.
+    """The carrier's cells with ``value`` and ``PC``: both surfaces in one pass.
 
-    ``PC`` is null where the control surface has no row: off the grid where nobody else reaches,
-    and in frames that hold nobody but the carrier.
+    Only the window of the carrier's ellipse is spread, which is a small part of the field, so the
+    other players make few cells and no grid is needed. ``PC`` is null where the control surface
+    has no row: off the grid where nobody else reaches, and in frames that hold nobody but the
+    carrier. The result is partitioned by frame.
     """
-    measured = with_reach(frames)
-    others = (
-        measured.filter(~F.col("carries"))
+    carrier = F.col("carries")
+    bounds = ellipse_window()
+    windows = (
+        with_reach(frames)
         .groupBy(*CELL_FRAME)
-        .agg(F.max("reaches").alias("contested"))
+        .agg(
+            *[
+                (F.min if name.endswith("min") else F.max)(F.when(carrier, F.expr(text))).alias(name)
+                for name, text in bounds.items()
+            ],
+            F.max(F.when(~carrier, F.col("reaches"))).alias("contested"),
+        )
+        .filter(F.col("_x_min").isNotNull())
     )
-    carrier = F.col("carries")
-    totals = cell_totals(
-        frames,
-        {
-            "value": F.when(carrier, 1.0),
-            "net": F.when(~carrier, signed_weight("def", "off")),
-        },
-        crowd=crowd,
-    ).filter(F.col("value").isNotNull())
-    located = totals.join(others.repartition(fan_out(frames.sparkSession), *CELL_FRAME), CELL_FRAME, "left")
+    partitions = fan_out(frames.sparkSession)
+    influ = F.col("influ")
+
+    def totals(rows: DataFrame, local: bool) -> DataFrame:
+        placed = rows.repartition(partitions, *CELL_FRAME) if local else rows
+        weighted = placed.withColumn("_w", F.when(~carrier, signed_weight("def", "off")))
+        cells = spread(weighted, ["carries", "_w", "contested"], clip=True)
+        sums = cells.groupBy(*CELL).agg(
+            F.max(F.when(carrier, influ)).alias("value"),
+            F.sum(F.col("_w") * influ).alias("net"),
+            F.max("contested").alias("contested"),
+        )
+        return sums if local else sums.repartition(partitions, *CELL_FRAME)
+
+    is_crowded, _ = _look(frames, crowd)
+    parts = [
+        totals(rows.join(windows, CELL_FRAME), local)
+        for rows, local in _by_crowding(frames, crowd, is_crowded)
+    ]
+    summed = reduce(DataFrame.unionByName, parts).filter(F.col("value").isNotNull())
     on_grid = F.col("x").between(*GRID_X) & F.col("y").between(*GRID_Y)
     uncovered = F.when(on_grid & F.coalesce("contested", F.lit(False)), 0.5)
     control = F.when(F.col("net").isNotNull(), logistic(F.col("net"))).otherwise(uncovered)
-    return located.select(*CELL, control.alias("PC"), "value")
+    return summed.select(*CELL, control.alias("PC"), "value")

@@ -68,7 +68,7 @@ def _box(frames: DataFrame, k: int) -> DataFrame:
     )
 
 
-def strips(frames: DataFrame, k: int = REACH) -> DataFrame:
+def strips(frames: DataFrame, k: int = REACH, clip: bool = False) -> DataFrame:
     """One row per player-frame and field column ``x``, with the first and last yard in y and all
     that the cells of the column share. There is no shuffle.
 
@@ -76,10 +76,22 @@ def strips(frames: DataFrame, k: int = REACH) -> DataFrame:
     ``b`` with ``b*b = a*a - 4*(long*long - short*short)``; its half width in x and, for a given
     x, its chord in y bound the cells without trying the whole box. The chord is widened a little
     (more where its root is ill-conditioned); the exact test on each cell decides.
+
+    With ``clip`` only cells within the row's ``_x_min`` .. ``_x_max`` and ``_y_min`` .. ``_y_max``
+    are made.
     """
     long, short = "greatest(scal_x, scal_y)", "least(scal_x, scal_y)"
+    boxed = _box(add_foci(frames), k)
+    if clip:
+        boxed = _with(
+            boxed,
+            _x_lo="greatest(_x_lo, _x_min)",
+            _x_hi="least(_x_hi, _x_max)",
+            _y_lo="greatest(_y_lo, _y_min)",
+            _y_hi="least(_y_hi, _y_max)",
+        )
     framed = _with(
-        _box(add_foci(frames), k),
+        boxed,
         sin_dir="sin(rad_dir)",
         cos_dir="cos(rad_dir)",
         _aa=f"{long} * {long} * {k * k / 4.0}D",
@@ -142,19 +154,32 @@ def _strip_influence(y: str) -> str:
     return f"exp(-0.5D * ({along} * {along} + {across} * {across}))"
 
 
-def spread(frames: DataFrame, keep: Sequence[str] = (), k: int = REACH) -> DataFrame:
+def spread(
+    frames: DataFrame, keep: Sequence[str] = (), k: int = REACH, clip: bool = False
+) -> DataFrame:
     """One row per cell of each player-frame's ellipse, with the influence there.
 
     Only the keys, ``keep``, the cell and ``influ`` leave the operator. There is no shuffle: the
     rows stay where their player-frame was.
     """
-    cells = _with(strips(frames, k), y="explode(CASE WHEN _from <= _to THEN sequence(_from, _to) END)")
+    cells = _with(strips(frames, k, clip), y="explode(CASE WHEN _from <= _to THEN sequence(_from, _to) END)")
     # The shared columns are never null, so the optimizer derives no not-null filters from the
     # test and pushes nothing below the row generators.
     inside = cells.filter(F.expr(_in_strip("y")))
     return inside.select(*CELL_FRAME, *keep, "x", "y", F.expr(_strip_influence("y")).alias("influ"))
 
 
+def ellipse_window(k: int = REACH) -> dict[str, str]:
+    """Bounds of a player-frame's ellipse in whole yards, as SQL expressions by name."""
+    half = f"{k / 2.0}D * greatest(scal_x, scal_y)"
+    return {
+        "_x_min": f"floor(mu_x - {half})",
+        "_x_max": f"ceil(mu_x + {half})",
+        "_y_min": f"floor(mu_y - {half})",
+        "_y_max": f"ceil(mu_y + {half})",
+    }
+
+
 def blank_strips(keys: DataFrame) -> DataFrame:
     """Strips without a cell for all columns of the dense grid."""
     columns = _with(keys, x=f"explode(sequence({GRID_X[0]}, {GRID_X[1]}))")
