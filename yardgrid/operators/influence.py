@@ -22,9 +22,7 @@ CELL = [*CELL_FRAME, "x", "y"]
 
 _SHAPE = ["mu_x", "mu_y", "rad_dir", "scal_x", "scal_y"]
 # What the cells of a strip share, next to the ends of the chord.
-_SHARED = (
-    "_reach", "_near1", "_near2", "_f1", "_f2", "_mu", "_along", "_along_y", "_across", "_across_y",
-)
+_SHARED = ("_mu", "_e0", "_e1", "_e2")
 # Widening of the analytic chord before the exact test decides, in yards.
 _SLACK = 1e-6
 
@@ -75,7 +73,7 @@ def strips(frames: DataFrame, k: int = REACH, clip: bool = False) -> DataFrame:
     The foci ellipse with sum ``k*long`` has half axes ``a = k*long/2`` along the heading and
     ``b`` with ``b*b = a*a - 4*(long*long - short*short)``; its half width in x and, for a given
     x, its chord in y bound the cells without trying the whole box. The chord is widened a little
-    (more where its root is ill-conditioned); the exact test on each cell decides.
+    (more where its root is ill-conditioned); the exact test of its end cells decides.
 
     With ``clip`` only cells within the row's ``_x_min`` .. ``_x_max`` and ``_y_min`` .. ``_y_max``
     are made.
@@ -117,41 +115,45 @@ def strips(frames: DataFrame, k: int = REACH, clip: bool = False) -> DataFrame:
         _middle="mu_y - (x - mu_x) * _q1 / _q2",
     )
     margin = f"_root / _q2 + {_SLACK}D + CASE WHEN _root < 1e-3D THEN 0.1D ELSE 0D END"
-    # Rows without a shape are gone by now; saying so keeps null checks out of the cell code.
+    chords = _with(
+        rooted,
+        _first=f"int(greatest(_y_lo, ceil(_middle - ({margin}))))",
+        _last=f"int(least(_y_hi, floor(_middle + ({margin}))))",
+        _reach=f"{k} * {long}",
+        _near1="(x - f1_1) * (x - f1_1)",
+        _near2="(x - f2_1) * (x - f2_1)",
+        _along="(x - mu_x) * sin_dir / scal_x",
+        _along_y="cos_dir / scal_x",
+        _across="(x - mu_x) * cos_dir / scal_y",
+        _across_y="-sin_dir / scal_y",
+    )
+    # Only the end cells can fail the exact test: their neighbours are a yard inside. Rows without
+    # a shape are gone by now; saying so keeps null checks out of the cell code.
     sure = {
-        "_from": f"int(greatest(_y_lo, ceil(_middle - ({margin}))))",
-        "_to": f"int(least(_y_hi, floor(_middle + ({margin}))))",
-        "_reach": f"{k} * {long}",
-        "_near1": "(x - f1_1) * (x - f1_1)",
-        "_near2": "(x - f2_1) * (x - f2_1)",
-        "_f1": "f1_2",
-        "_f2": "f2_2",
+        "_from": f"CASE WHEN {_in_ellipse('_first')} THEN _first ELSE _first + 1 END",
+        "_to": f"CASE WHEN {_in_ellipse('_last')} THEN _last ELSE _last - 1 END",
         "_mu": "mu_y",
-        "_along": "(x - mu_x) * sin_dir / scal_x",
-        "_along_y": "cos_dir / scal_x",
-        "_across": "(x - mu_x) * cos_dir / scal_y",
-        "_across_y": "sin_dir / scal_y",
+        "_e0": "-0.5D * (_along * _along + _across * _across)",
+        "_e1": "-(_along * _along_y + _across * _across_y)",
+        "_e2": "-0.5D * (_along_y * _along_y + _across_y * _across_y)",
     }
-    return _with(rooted, **{name: f"coalesce({text}, 0)" for name, text in sure.items()})
+    return _with(chords, **{name: f"coalesce({text}, 0)" for name, text in sure.items()})
 
 
-def _in_strip(y: str) -> str:
-    """Ellipse test of the cell ``y`` of a strip: at the ends of the chord by the distances to the
-    foci; a cell between two ends is a yard inside."""
-    return (
-        f"((_from < {y} AND _to > {y}) OR sqrt(_near1 + ({y} - _f1) * ({y} - _f1)) "
-        f"+ sqrt(_near2 + ({y} - _f2) * ({y} - _f2)) <= _reach)"
+def _in_ellipse(y: str) -> str:
+    """Distances of a strip's cell ``y`` to the two foci add up to no more than the reach."""
+    to_foci = (
+        f"sqrt(_near1 + ({y} - f1_2) * ({y} - f1_2)) + sqrt(_near2 + ({y} - f2_2) * ({y} - f2_2))"
     )
+    return f"{to_foci} <= _reach"
 
 
 def _strip_influence(y: str) -> str:
     """Rotated bivariate normal at the cell ``y`` of a strip, divided by its value at the centre.
 
-    The normaliser cancels, so only the two standardised coordinates remain.
+    The normaliser cancels, so the exponent is a quadratic of the offset in y.
     """
-    along = f"(_along + ({y} - _mu) * _along_y)"
-    across = f"(_across - ({y} - _mu) * _across_y)"
-    return f"exp(-0.5D * ({along} * {along} + {across} * {across}))"
+    return f"exp(_e0 + ({y} - _mu) * (_e1 + ({y} - _mu) * _e2))"
 
 
 def spread(
@@ -163,10 +165,7 @@ def spread(
     rows stay where their player-frame was.
     """
     cells = _with(strips(frames, k, clip), y="explode(CASE WHEN _from <= _to THEN sequence(_from, _to) END)")
-    # The shared columns are never null, so the optimizer derives no not-null filters from the
-    # test and pushes nothing below the row generators.
-    inside = cells.filter(F.expr(_in_strip("y")))
-    return inside.select(*CELL_FRAME, *keep, "x", "y", F.expr(_strip_influence("y")).alias("influ"))
+    return cells.select(*CELL_FRAME, *keep, "x", "y", F.expr(_strip_influence("y")).alias("influ"))
 
 
 def ellipse_window(k: int = REACH) -> dict[str, str]:
@@ -199,11 +198,11 @@ def lane_sums(
     lanes = range(GRID_Y[0], GRID_Y[1] + 1)
 
     def lane(name: str, y: int) -> str:
-        test, value = _in_strip(str(y)), _strip_influence(f"{y}D")
-        if floor is not None:
-            test = f"{test} AND {value} >= {floor}D"
+        value = _strip_influence(f"{y}D")
         taking_part = f"_from <= {y} AND _to >= {y} AND _w_{name} IS NOT NULL"
-        return f"sum(CASE WHEN {taking_part} THEN CASE WHEN {test} THEN _w_{name} * {value} END END)"
+        if floor is not None:
+            taking_part += f" AND {value} >= {floor}D"
+        return f"sum(CASE WHEN {taking_part} THEN _w_{name} * {value} END)"
 
     sums = [F.expr(lane(n, y)).alias(f"{n}_{y}") for n in weights for y in lanes]
     arrays = [F.array(*[f"{n}_{y}" for y in lanes]).alias(n) for n in weights]
