@@ -179,6 +179,18 @@ def test_quality_summary_by_hand(spark, plays):
         assert math.isclose(row.distance, {2: 6.4, 3: 3.6}[player])
 
 
+def test_copies_of_a_tackler_count(spark, plays):
+    clean = field.clean_frame(spark, one_frame())
+    cells = k.control_value(k.framed_sides(clean, plays))
+    ellipses = q.tackler_ellipses(clean.withColumn("min_dist", F.lit(1)), 7)
+    thrice = ellipses.union(ellipses).union(ellipses)
+    once = {r.tackler: r for r in q.quality_summary(cells, ellipses).collect()}
+    for r in q.quality_summary(cells, thrice).collect():
+        assert r.sum_quality == pytest.approx(3 * once[r.tackler].sum_quality)
+        for name in ("mean_quality", "median_quality", "max_quality"):
+            assert r[name] == pytest.approx(once[r.tackler][name])
+
+
 def test_missing_control_makes_the_summary_missing(spark, plays):
     rows = [field.clean_row(1, "AAA", 101, 25, 5, 270, 0.0), field.clean_row(3, "BBB", 20, 20, 2, 0, 80.0)]
     clean = field.clean_frame(spark, rows)

@@ -47,17 +47,20 @@ def quality_summary(cells: DataFrame, ellipses: DataFrame, k: int = REACH) -> Da
     """Sum, mean, median and maximum of ``PC * value`` per frame and tackler.
 
     A missing control makes the summary missing. ``cells`` that are already partitioned by frame
-    (see ``control_value``) stay where they are: only the ellipses travel.
+    (see ``control_value``) stay where they are: only the ellipses travel, copies of one ellipse as
+    a single row with its count.
     """
     partitions = fan_out(cells.sparkSession)
-    placed = ellipses.repartition(partitions, *CELL_FRAME)
+    counted = ellipses.groupBy(*ellipses.columns).agg(F.count(F.lit(1)).alias("copies"))
+    placed = counted.repartition(partitions, *CELL_FRAME)
     inside = cells.join(placed, CELL_FRAME).filter(surely(in_ellipse(F.col("x"), F.col("y"), k)))
+    quality, copies = F.col("quality"), F.col("copies")
     graded = inside.withColumn("quality", F.col("PC") * F.col("value"))
     return graded.groupBy(*CELL_FRAME, "tackler").agg(
-        strict(F.sum("quality"), "quality").alias("sum_quality"),
-        strict(F.avg("quality"), "quality").alias("mean_quality"),
-        strict(F.median("quality"), "quality").alias("median_quality"),
-        strict(F.max("quality"), "quality").alias("max_quality"),
+        strict(F.sum(quality * copies), quality).alias("sum_quality"),
+        strict(F.sum(quality * copies) / F.sum(copies), quality).alias("mean_quality"),
+        strict(F.percentile(quality, 0.5, copies), quality).alias("median_quality"),
+        strict(F.max(quality), quality).alias("max_quality"),
         F.max("min_dist").alias("min_dist"),
         F.max("distance").alias("distance"),
     )
