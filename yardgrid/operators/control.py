@@ -338,7 +338,7 @@ def individual_control(
         *CELL_FRAME, F.col("player").alias("defender"), F.col("team").alias("own")
     ).distinct()
     against = (
-        tagged.join(by_club, CELL_FRAME)
+        by_club.join(tagged.hint("shuffle_hash"), CELL_FRAME)
         .filter(F.col("club") != F.col("own"))
         .select(*CELL, "defender", "part")
     )

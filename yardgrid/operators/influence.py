@@ -279,7 +279,9 @@ def complete_grid(
     spark = df.sparkSession
     groups = df.select(*keys).distinct() if keys else spark.range(1).select()
     dense = dense_cells(groups, x, y)
-    missing = dense.join(df.select(*keys, "x", "y").distinct(), [*keys, "x", "y"], "left_anti")
+    present = df.select(*keys, "x", "y").distinct()
+    # Cells are many more than Spark estimates from their player rows: no broadcast.
+    missing = dense.join(present.hint("merge"), [*keys, "x", "y"], "left_anti")
     filled = df.withColumn(value, F.coalesce(F.col(value), F.lit(fill)))
     return filled.unionByName(
         missing.withColumn(value, F.lit(fill)), allowMissingColumns=True

@@ -40,7 +40,8 @@ def tackler_ellipses(tackle_frames: DataFrame, reach: float = 5) -> DataFrame:
 def stored_control_value(control: DataFrame, value: DataFrame) -> DataFrame:
     """Value cells of the games at hand with their control, from the stored tables."""
     games = control.select("game").distinct()
-    return value.join(games, "game", "left_semi").join(control, CELL, "left")
+    # Both sides are cells, whose size Spark may underestimate: no broadcast.
+    return value.join(games, "game", "left_semi").join(control.hint("merge"), CELL, "left")
 
 
 def quality_summary(cells: DataFrame, ellipses: DataFrame, k: int = REACH) -> DataFrame:
@@ -52,7 +53,9 @@ def quality_summary(cells: DataFrame, ellipses: DataFrame, k: int = REACH) -> Da
     """
     partitions = fan_out(cells.sparkSession)
     counted = ellipses.groupBy(*ellipses.columns).agg(F.count(F.lit(1)).alias("copies"))
-    placed = counted.repartition(partitions, *CELL_FRAME)
+    # The build side is named: Spark's estimate of spread cells misses their growth and could
+    # have it broadcast them.
+    placed = counted.repartition(partitions, *CELL_FRAME).hint("shuffle_hash")
     inside = cells.join(placed, CELL_FRAME).filter(surely(in_ellipse(F.col("x"), F.col("y"), k)))
     quality, copies = F.col("quality"), F.col("copies")
     graded = inside.withColumn("quality", F.col("PC") * F.col("value"))
@@ -68,6 +71,7 @@ def quality_summary(cells: DataFrame, ellipses: DataFrame, k: int = REACH) -> Da
 
 def frame_tackle_prob(cells: DataFrame, ellipses: DataFrame, k: int = 4) -> DataFrame:
     """Control times value added up per frame and tackler inside the smaller ellipse."""
-    inside = cells.join(ellipses, CELL_FRAME).filter(surely(in_ellipse(F.col("x"), F.col("y"), k)))
+    placed = ellipses.hint("shuffle_hash")
+    inside = cells.join(placed, CELL_FRAME).filter(surely(in_ellipse(F.col("x"), F.col("y"), k)))
     product = F.col("PC") * F.col("value")
     return inside.groupBy(*CELL_FRAME, "tackler").agg(strict(F.sum(product), product).alias("prob"))
