@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +51,45 @@ def fresh(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+# Arrow types of the columns that tasks return, by their SQL names.
+ARROW = {
+    "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(),
+    "binary": pa.binary(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()),
+    "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()),
+}
+
+
+def value_udf(kind: str, make: Callable[[], Callable[[Any], Any]]) -> Callable[..., Column]:
+    """A column function from one value to one value.
+
+    ``make`` runs once in each task and returns the function for the single values.
+    """
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        each = make()
+        for batch in batches:
+            yield pa.array([each(x) for x in batch.to_pylist()], ARROW[kind])
+
+    return run
+
+
+def struct_udf(
+    fields: dict[str, str], make: Callable[[], Callable[[Any], tuple[Any, ...]]]
+) -> Callable[..., Column]:
+    """Like :func:`value_udf`, for a function that returns a tuple with the given fields."""
+
+    @F.arrow_udf("struct<" + ",".join(f"{n}:{k}" for n, k in fields.items()) + ">")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        each = make()
+        for batch in batches:
+            rows = [each(x) for x in batch.to_pylist()]
+            columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+            yield pa.StructArray.from_arrays(
+                [pa.array(c, ARROW[k]) for c, k in zip(columns, fields.values(), strict=True)],
+                names=list(fields),
+            )
+
+    return run

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardgrid.llm import common, sharding
+from yardgrid.llm import common, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,3 +34,10 @@ def op7_ring_shards(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document: base patterns and literals of sensitive names."""
+    docs = common.documents(spark, folder).select("doc_id", "text")
+    return secrets.find_secrets(docs).select("doc_id", "found.*")
