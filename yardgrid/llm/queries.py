@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardgrid.llm import common, secrets, sharding
+from yardgrid.llm import common, fingerprint, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,3 +41,9 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document: base patterns and literals of sensitive names."""
     docs = common.documents(spark, folder).select("doc_id", "text")
     return secrets.find_secrets(docs).select("doc_id", "found.*")
+
+
+@query
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Multiset fingerprints of all documents and of their edited texts."""
+    return fingerprint.compare_with_next(common.documents(spark, folder))
