@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardgrid.llm import common, fingerprint, secrets, sharding
+from yardgrid.llm import common, fingerprint, secrets, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,3 +48,11 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Multiset fingerprints of all documents and of their edited texts."""
     return fingerprint.compare_with_next(common.documents(spark, folder))
+
+
+@query
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram tokens of every document under the pieces of a public vocabulary."""
+    docs = common.documents(spark, folder).select("doc_id", "text")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.count_tokens(docs, path).select("doc_id", "n_tokens")
