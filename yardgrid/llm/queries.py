@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardgrid.llm import common, fingerprint, secrets, sharding, token_counts
+from yardgrid.llm import common, fingerprint, secrets, sharding, substrings, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,3 +56,9 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.documents(spark, folder).select("doc_id", "text")
     path = public_tokenizers.path("piece_bpe_32k.model")
     return token_counts.count_tokens(docs, path).select("doc_id", "n_tokens")
+
+
+@query
+def op10_shared_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages that several documents share, in every document that has them."""
+    return substrings.shared_passages(common.documents(spark, folder))
