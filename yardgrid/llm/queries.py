@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardgrid.llm import common, fingerprint, secrets, sharding, substrings, token_counts
+from yardgrid.llm import common, fingerprint, language, secrets, sharding, substrings, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,3 +62,14 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op10_shared_passages(spark: SparkSession, folder: str) -> DataFrame:
     """Passages that several documents share, in every document that has them."""
     return substrings.shared_passages(common.documents(spark, folder))
+
+
+@query
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = common.documents(spark, folder)
+    models = language.fit_dictionaries(docs, ~common.held_out())
+    return language.identify(docs.select("doc_id", "text"), models).select(
+        "doc_id", common.held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"),
+        "language.score", "language.margin", "language.rejected",
+    )
