@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardgrid.llm import common, fingerprint, language, secrets, sharding, substrings, token_counts
+from yardgrid.llm import common, fingerprint, language, secrets, sharding, substrings, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,3 +73,18 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", common.held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"),
         "language.score", "language.margin", "language.rejected",
     )
+
+
+@query
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled rows that are not held out."""
+    docs = common.documents(spark, folder)
+    labels = common.table(spark, folder, "labels")
+    examples = toxicity.sample(docs, labels, ~common.held_out())
+    net = toxicity.train(examples)
+    limits = toxicity.thresholds(net, examples)
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text", "lang"), net)
+    return toxicity.decide(scored, limits).select(
+        "doc_id", common.held_out().alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "toxic_by_lang",
+    )
