@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardgrid.llm import common, fingerprint, language, secrets, sharding, substrings, token_counts, toxicity
+from yardgrid.llm import common, fingerprint, language, near_dedup, secrets, sharding, substrings, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,3 +88,9 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", common.held_out().alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "toxic_by_lang",
     )
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of near-duplicates of every document."""
+    return near_dedup.near_duplicates(common.documents(spark, folder))
