@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardgrid.llm import common, fingerprint, language, near_dedup, secrets, sharding, substrings, token_counts, toxicity
+from yardgrid.llm import common, decontamination, fingerprint, language, near_dedup, secrets, sharding, substrings, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,3 +94,11 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Class of near-duplicates of every document."""
     return near_dedup.near_duplicates(common.documents(spark, folder))
+
+
+@query
+def op2_contaminated(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that occur in documents."""
+    return decontamination.contaminated(
+        common.documents(spark, folder), common.table(spark, folder, "benchmark")
+    )
