@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardgrid.llm import common, decontamination, fingerprint, language, near_dedup, secrets, sharding, substrings, token_counts, toxicity
+from yardgrid.llm import bpe, common, decontamination, fingerprint, language, near_dedup, secrets, sharding, substrings, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,3 +102,16 @@ def op2_contaminated(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(
         common.documents(spark, folder), common.table(spark, folder, "benchmark")
     )
+
+
+@query
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document under a public byte-level vocabulary, and their decoding."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(common.documents(spark, folder), path, public_tokenizers.PATTERN)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"),
+    )
