@@ -4,21 +4,74 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from yardgrid.llm import common
+from yardgrid.llm import bpe, common, decontamination, language, near_dedup, secrets
+from yardgrid.session import settle
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear; the classifier learns from all labelled rows."""
+    common.prepare(spark)
+    return language.keep_identified(docs, language.fit_dictionaries(docs, F.lit(True)))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every class of near-duplicates.
+
+    Documents without an id cannot be compared and stay.
+    """
+    common.prepare(spark)
+    classes = near_dedup.near_duplicates(docs)
+    removed = classes.filter("doc_id <> class_id").select("doc_id")
+    return docs.join(removed, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    common.prepare(spark)
+    found = decontamination.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their secrets masked and their lengths brought up to date."""
+    common.prepare(spark)
+    masked = secrets.redact_secrets(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document, and the digest of the text they decode to."""
+    common.prepare(spark)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN)
+    return encoded.select(
+        "doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", identified),
+    ("near_duplicates", deduplicated),
+    ("decontamination", decontaminated),
+    ("secrets", redacted),
+    ("byte_bpe", tokenized),
+]
 
 # The models have no SQL form; tests/llm compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents."""
+    """Apply the stages to the documents; each stage reads what its predecessor stored."""
     docs = common.documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *cleaning, (_, last) = STAGES
+    for _, stage in cleaning:
+        docs = settle(stage(spark, docs, sf_dir))
+    return last(spark, docs, sf_dir)
