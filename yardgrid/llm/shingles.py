@@ -12,52 +12,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS = 5
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 # Document frequencies are kept by hashed shingle. A bucket holds on average (mean shingles of a
 # text / BUCKETS) of all documents by chance, a share that does not depend on their number; it is
 # taken off. Shingles in at most the share RARE of all documents have the full weight.
-BUCKETS = 1 << 17
+BUCKETS = 1 << 17  # the upper 17 bits
 RARE = 0.01
 LEAST_WEIGHT = 0.05
 
-_WORD = re.compile(r"\w+")
+_NOT_WORD = re.compile(r"[\W_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
-    """64 hashed bits of a word; remembers words, and starts anew when it is full."""
+    """64 hashed bits of the letters and digits of a token, 0 if it has none.
 
-    def __missing__(self, word: str) -> int:
+    Remembers tokens, and starts anew when it is full.
+    """
+
+    def __missing__(self, token: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        self[word] = value
+        word = token if token.isalnum() else _NOT_WORD.sub("", token)
+        value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) if word else 0
+        self[token] = value
         return value
 
 
-def shingles(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashed shingles of a text in ascending order, and how often each occurs.
-
-    Words are runs of word characters in lower case. A text of fewer than ``WORDS`` words is one
-    shingle; a text without words has none.
-    """
-    words = np.fromiter(map(hashes.__getitem__, _WORD.findall(text.lower())), np.uint64)
+def _rolled(text: str, hashes: WordHashes) -> np.ndarray:
+    """The hashed shingles of a text in order."""
+    words = np.fromiter(map(hashes.__getitem__, text.lower().split()), np.uint64)
+    words = words[words != 0]
     if not len(words):
-        return words, np.zeros(0, np.int64)
+        return words
     width = min(WORDS, len(words))
     rolled = np.zeros(len(words) - width + 1, np.uint64)
     for k in range(width):
         rolled = rolled * _STEP + words[k : len(words) - width + 1 + k]
     rolled ^= rolled >> np.uint64(31)
     rolled *= np.uint64(0xBF58476D1CE4E5B9)
-    rolled ^= rolled >> np.uint64(29)
-    return np.unique(rolled, return_counts=True)
+    return rolled ^ (rolled >> np.uint64(29))
+
+
+def shingles(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashed shingles of a text in ascending order, and how often each occurs.
+
+    Words stand between white space, in lower case and without punctuation. A text of fewer than ``WORDS`` words is one
+    shingle; a text without words has none.
+    """
+    return np.unique(_rolled(text, hashes), return_counts=True)
 
 
 def bucket(hashed: np.ndarray) -> np.ndarray:
     """The frequency bucket of hashed shingles."""
-    return (hashed >> np.uint64(40)).astype(np.int64) % BUCKETS
+    return (hashed >> np.uint64(47)).astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +75,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             texts += 1
-            seen += np.bincount(bucket(shingles(text or "", hashes)[0]), minlength=BUCKETS) if text else 0
+            if text:  # a bucket that occurs several times in a text is counted once
+                seen[bucket(_rolled(text, hashes))] += 1
     full = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.append(full, -1), pa.int32()), pa.array(np.append(seen[full], texts), pa.int64())],
@@ -85,7 +95,7 @@ def shingle_weights(df: DataFrame, text: str = "text") -> np.ndarray:
     counts[np.array(rows["bucket"], np.int64)] = rows["n"]
     texts, seen = max(counts[-1], 1.0), counts[:-1]
     share = np.clip((seen - seen.mean()) / texts, RARE, 1.0)
-    return np.maximum(np.log(share) / np.log(RARE), LEAST_WEIGHT).astype(np.float32)
+    return np.maximum((np.log(share) / np.log(RARE)) ** 2, LEAST_WEIGHT).astype(np.float32)
 
 
 def weighted(
