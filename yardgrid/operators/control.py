@@ -122,27 +122,19 @@ def framed_home_away(clean: DataFrame, plays: DataFrame, games: DataFrame) -> Da
 # -- sums per cell -------------------------------------------------------------------------
 
 
-def _look(frames: DataFrame, crowd: int) -> tuple[bool, bool]:
-    """Whether there are frames of more than ``crowd`` rows, and rows that leave the lanes."""
-    sizes = (
-        leaves_lanes(frames)
-        .groupBy(*CELL_FRAME)
-        .agg(F.count(F.lit(1)).alias("rows"), F.max("strays").alias("strays"))
-    )
-    seen = sizes.agg(F.max("rows").alias("rows"), F.max("strays").alias("strays")).first()
-    return (seen["rows"] or 0) > crowd, bool(seen["strays"])
-
+def _by_crowding(frames: DataFrame, crowd: int) -> list[tuple[DataFrame, bool]]:
+    """The rows of ordinary frames, brought together by frame, and those of crowded ones, where
+    they lie.
 
-def _by_crowding(
-    frames: DataFrame, crowd: int, is_crowded: bool
-) -> list[tuple[DataFrame, bool]]:
-    """The rows of ordinary frames (to be brought together) and those of crowded ones (not)."""
-    if not is_crowded:
-        return [(frames, True)]
-    sizes = frames.groupBy(*CELL_FRAME).agg(F.count(F.lit(1)).alias("rows"))
+    Both are always part of the plan; adaptive execution drops the second while it is empty. The
+    frames are counted, and the crowded ones taken out, on the partitions by frame that the
+    ordinary rows need anyhow.
+    """
+    placed = frames.repartition(fan_out(frames.sparkSession), *CELL_FRAME)
+    sizes = placed.groupBy(*CELL_FRAME).agg(F.count(F.lit(1)).alias("rows"))
     crowded = sizes.filter(F.col("rows") > crowd).select(*CELL_FRAME)
     # The long side is on the left, where the adaptive skew join can cut it.
-    calm = frames.join(crowded, CELL_FRAME, "left_anti")
+    calm = placed.join(crowded, CELL_FRAME, "left_anti")
     busy = frames.join(crowded, CELL_FRAME, "left_semi")
     return [(calm, True), (busy, False)]
 
@@ -166,23 +158,18 @@ def cell_totals(
     merged by frame and column; their sums (at most one row per column) then join the others.
     The result is partitioned by frame, so frame-level work after it needs no exchange.
 
-    Whether there are crowded frames is looked up first, over the narrow ``frames``, which should
-    be a stored table (``settle`` or a stage). Without any, the plan has one branch.
+    ``frames`` is narrow and read several times, so it should be a stored table (``settle`` or a
+    stage).
     """
     partitions = fan_out(frames.sparkSession)
     keys, names = [*CELL_FRAME, *extra_keys], list(weights)
-    is_crowded, has_strays = _look(frames, crowd)
 
     def weighted(rows: DataFrame) -> DataFrame:
         return rows.withColumns({f"_w_{name}": weight for name, weight in weights.items()})
 
-    def columns(rows: DataFrame, local: bool) -> DataFrame:
-        """Sums per column; ``local`` brings each frame into one task first."""
-
-        def place(df: DataFrame) -> DataFrame:
-            return df.repartition(partitions, *CELL_FRAME) if local else df
-
-        needed = strips(place(weighted(rows)))
+    def columns(rows: DataFrame) -> DataFrame:
+        """Sums per column of the rows that are together."""
+        needed = strips(weighted(rows))
         if grid:
             reached = (
                 with_reach(rows)
@@ -191,12 +178,12 @@ def cell_totals(
                 .filter("reached")
                 .select(*CELL_FRAME)
             )
-            needed = needed.unionByName(blank_strips(place(reached)), allowMissingColumns=True)
+            needed = needed.unionByName(blank_strips(reached), allowMissingColumns=True)
         return lane_sums(needed, keys, names, floor)
 
     parts = []
-    for rows, local in _by_crowding(frames, crowd, is_crowded):
-        sums = columns(rows, local)
+    for rows, local in _by_crowding(frames, crowd):
+        sums = columns(rows)
         parts.append(sums if local else sums.repartition(partitions, *CELL_FRAME))
     sums = reduce(DataFrame.unionByName, parts)
 
@@ -206,10 +193,8 @@ def cell_totals(
     if grid:
         taking_part = taking_part | F.col("x").between(*GRID_X)
     cells = unfold(sums, keys, names).filter(taking_part)
-    if has_strays:
-        few = weighted(leaves_lanes(frames).filter("strays"))
-        cells = cells.unionByName(_stray_cells(few, keys, names, floor))
-    return cells
+    few = weighted(leaves_lanes(frames).filter("strays"))
+    return cells.unionByName(_stray_cells(few, keys, names, floor))
 
 
 def _stray_cells(
@@ -380,24 +365,26 @@ def control_value(frames: DataFrame, crowd: int = CROWD) -> DataFrame:
     """
     carrier = F.col("carries")
     bounds = ellipse_window()
-    windows = (
-        with_reach(frames)
-        .groupBy(*CELL_FRAME)
-        .agg(
-            *[
-                (F.min if name.endswith("min") else F.max)(F.when(carrier, F.expr(text))).alias(name)
-                for name, text in bounds.items()
-            ],
-            F.max(F.when(~carrier, F.col("reaches"))).alias("contested"),
+
+    def windows(rows: DataFrame) -> DataFrame:
+        return (
+            with_reach(rows)
+            .groupBy(*CELL_FRAME)
+            .agg(
+                *[
+                    (F.min if name.endswith("min") else F.max)(F.when(carrier, F.expr(text))).alias(name)
+                    for name, text in bounds.items()
+                ],
+                F.max(F.when(~carrier, F.col("reaches"))).alias("contested"),
+            )
+            .filter(F.col("_x_min").isNotNull())
         )
-        .filter(F.col("_x_min").isNotNull())
-    )
+
     partitions = fan_out(frames.sparkSession)
     influ = F.col("influ")
 
     def totals(rows: DataFrame, local: bool) -> DataFrame:
-        placed = rows.repartition(partitions, *CELL_FRAME) if local else rows
-        weighted = placed.withColumn("_w", F.when(~carrier, signed_weight("def", "off")))
+        weighted = rows.join(windows(rows), CELL_FRAME).withColumn("_w", F.when(~carrier, signed_weight("def", "off")))
         cells = spread(weighted, ["carries", "_w", "contested"], clip=True)
         sums = cells.groupBy(*CELL).agg(
             F.max(F.when(carrier, influ)).alias("value"),
@@ -406,11 +393,7 @@ def control_value(frames: DataFrame, crowd: int = CROWD) -> DataFrame:
         )
         return sums if local else sums.repartition(partitions, *CELL_FRAME)
 
-    is_crowded, _ = _look(frames, crowd)
-    parts = [
-        totals(rows.join(windows, CELL_FRAME), local)
-        for rows, local in _by_crowding(frames, crowd, is_crowded)
-    ]
+    parts = [totals(rows, local) for rows, local in _by_crowding(frames, crowd)]
     summed = reduce(DataFrame.unionByName, parts).filter(F.col("value").isNotNull())
     on_grid = F.col("x").between(*GRID_X) & F.col("y").between(*GRID_Y)
     uncovered = F.when(on_grid & F.coalesce("contested", F.lit(False)), 0.5)

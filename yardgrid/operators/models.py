@@ -12,9 +12,10 @@ from pyspark.ml.regression import (
     GeneralizedLinearRegression,
     GeneralizedLinearRegressionModel,
 )
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from yardgrid.functions.nulls import join_alike
 from yardgrid.functions.scoring import logistic
 from yardgrid.operators.clean import PLAY, PLAYER_PLAY
 from yardgrid.operators.influence import CELL_FRAME
@@ -46,19 +47,28 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``is_train``: within each stratum the ``ceil(share * n)`` rows of smallest key hash.
 
-    A stratum is a label, or with ``groups`` a quantile interval of a continuous target. The exact
-    cut comes from hash ranks found bucket by bucket (the leading 16 bits), so a stratum that
-    holds most rows is still ranked by many tasks, and the result does not depend on partitions.
+    A stratum is a label (a missing one too), or with ``groups`` a quantile interval of a
+    continuous target. The cut of a stratum comes from hash ranks found bucket by bucket (the
+    leading 16 bits), so a stratum that holds most rows is still ranked by many tasks, and the
+    result does not depend on partitions. Rows only meet the table of cuts.
     """
     layered = df.withColumn("_stratum", F.col(target)) if groups is None else _strata(df, target, groups)
-    hashed = layered.withColumn("_hash", F.xxhash64(*keys, F.lit(seed)))
-    ranks = value_ranks(hashed, "_hash", ["_stratum"], bucket=F.shiftright("_hash", 48))
-    chosen = ranks.select(
-        "_stratum",
-        "_hash",
-        (F.col("below") < F.ceil(F.col("total") * F.lit(share))).alias("is_train"),
+    hashed = layered.withColumn("_hash", key_hash(keys, seed))
+    ranks = value_ranks(hashed, "_hash", ["_stratum"], bucket=F.shiftright("_hash", 44))
+    cuts = (
+        ranks.filter(F.col("below") < F.ceil(F.col("total") * F.lit(share)))
+        .groupBy("_stratum")
+        .agg(F.max("_hash").alias("_cut"))
     )
-    return hashed.join(chosen, ["_stratum", "_hash"]).drop("_stratum", "_hash")
+    placed = join_alike(hashed, cuts, ["_stratum"])
+    return placed.withColumn("is_train", F.col("_hash") <= F.col("_cut")).drop("_stratum", "_hash", "_cut")
+
+
+def key_hash(keys: Sequence[str], seed: int) -> Column:
+    """60 bits of the MD5 of keys and seed, joined by bars; a missing key is an empty text."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    digest = F.md5(F.concat_ws("|", *parts, F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 # -- binomial models -----------------------------------------------------------------------
@@ -156,6 +166,17 @@ def pc_training_set(
 INPUTS = ("x", "y", "x_car", "y_car")
 
 
+def pc_split(df: DataFrame, share: float = 0.8, seed: int = 12, groups: int | None = 5) -> DataFrame:
+    """The rows of a control training set with ``is_train``, balanced over five ranges of ``PC``.
+
+    A table that has ``is_train`` already keeps it.
+    """
+    if "is_train" in df.columns:
+        return df
+    known = df.filter(F.col("x_car").isNotNull() & F.col("PC").isNotNull())
+    return stratified_split(known, "PC", share, [*CELL_FRAME, "x", "y"], seed, groups=groups)
+
+
 def fit_pc_regressor(
     df: DataFrame,
     share: float = 0.8,
@@ -165,9 +186,7 @@ def fit_pc_regressor(
 ) -> GBTRegressionModel:
     """Boosted trees of ``PC`` on the cell and the carrier, absolute loss, stopped early on the
     held-out part."""
-    known = df.filter(F.col("x_car").isNotNull() & F.col("PC").isNotNull())
-    keys = [*CELL_FRAME, "x", "y"]
-    split = stratified_split(known, "PC", share, keys, seed, groups=5)
+    split = pc_split(df, share, seed)
     data = _featured(split.select(*INPUTS, "PC", (~F.col("is_train")).alias("held_out")), INPUTS)
     estimator = GBTRegressor(
         featuresCol="features",

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from yardgrid.functions.nulls import join_alike
+
 
 def running_total(
     df: DataFrame,
@@ -139,8 +141,7 @@ def value_ranks(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        placed.withColumn("_upto", F.sum("n").over(inside))
-        .join(offsets, [*by, "_bucket"])
+        join_alike(placed.withColumn("_upto", F.sum("n").over(inside)), offsets, [*by, "_bucket"])
         .select(
             *by,
             value,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from yardgrid.functions.nulls import join_alike
 from yardgrid.functions.scoring import log_loss_term, tackle_probability
 from yardgrid.operators.clean import PLAY
 from yardgrid.operators.order import exact_quantiles, value_ranks
@@ -65,21 +66,21 @@ def histogram(
 ) -> DataFrame:
     """Counts and density per bin: [by], bin, centre, n, density.
 
-    With ``width`` the bins are centred on its multiples. Without, the range of all values is
-    covered by ``bins`` bins, the first centred on the minimum.
+    With ``width`` the bins are centred on its multiples. Without, the range of each class is
+    covered by ``bins`` bins, the first centred on its minimum. A missing class is a class.
     """
     by = list(by)
     known = df.filter(F.col(value).isNotNull())
     if width is not None:
         size, boundary = F.lit(float(width)), F.lit(width / 2.0)
     else:
-        span = known.agg(
+        span = known.groupBy(*by).agg(
             F.struct(
                 F.min(value).alias("lo"),
                 ((F.max(value) - F.min(value)) / (bins - 1)).alias("w"),
-            ).alias("span")
+            ).alias("_span")
         )
-        known = known.withColumn("_span", span.scalar())
+        known = join_alike(known, span, by) if by else known.withColumn("_span", span.scalar())
         size = F.col("_span.w")
         boundary = F.col("_span.lo") - size / 2
     placed = known.select(
@@ -90,7 +91,7 @@ def histogram(
     )
     if by:
         sizes = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
-        counted = counts.join(sizes, by)
+        counted = join_alike(counts, sizes, by)
     else:
         counted = counts.withColumn("_total", counts.agg(F.sum("n")).scalar())
     return counted.select(
@@ -106,8 +107,10 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers (last values within 1.5 quartile ranges) and outliers per class."""
     by = list(by)
     quartiles = exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
-    fenced = df.filter(F.col(value).isNotNull()).join(
-        quartiles.withColumn("_fence", 1.5 * (F.col("q3") - F.col("q1"))), by
+    fenced = join_alike(
+        df.filter(F.col(value).isNotNull()),
+        quartiles.withColumn("_fence", 1.5 * (F.col("q3") - F.col("q1"))),
+        by,
     )
     v = F.col(value)
     within = (v >= F.col("q1") - F.col("_fence")) & (v <= F.col("q3") + F.col("_fence"))
@@ -122,15 +125,17 @@ def qq_uniform(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Sorted values against uniform quantiles, one row per distinct value.
 
     A value that occurs ``n`` times stands for the ``n`` points between ``first`` and ``last``.
+    The i-th of n points is at (i - a) / (n + 1 - 2a) with a = 3/8 for n up to 10, else 1/2.
     """
     ranked = value_ranks(df, value, by)
-    total = F.col("total")
+    shift = F.when(F.col("total") <= 10, 0.375).otherwise(0.5)
+    width = F.col("total") + 1 - 2 * shift
     return ranked.select(
         *by,
         value,
         "n",
-        ((F.col("below") + 0.5) / total).alias("first"),
-        ((F.col("below") + F.col("n") - 0.5) / total).alias("last"),
+        ((F.col("below") + 1 - shift) / width).alias("first"),
+        ((F.col("below") + F.col("n") - shift) / width).alias("last"),
     )
 
 

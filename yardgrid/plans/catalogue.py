@@ -111,7 +111,8 @@ def _quality(s: Season, only_tacklers: bool = True) -> DataFrame:
 
 
 def _contact(s: Season) -> DataFrame:
-    return contacts.contact_set(_quality(s), s.tackles, s.pbp, CONTACT_REACH)
+    # One narrow row per frame and tackler, read twice: by the rows and by their successors.
+    return contacts.contact_set(settle(_quality(s)), s.tackles, s.pbp, CONTACT_REACH)
 
 
 def _grades(s: Season) -> DataFrame:

@@ -55,7 +55,8 @@ def run_weeks(
     """
     tracking = inputs.tracking
     if weeks is not None:
-        tracking = tracking.filter(F.col("week").isin(list(weeks)))
+        weeks = list(weeks)  # read several times
+        tracking = tracking.filter(F.col("week").isin(weeks))
     games = tracking.select("week", F.col("gameId").alias("game")).distinct()
     write_stage(game_buckets(games), root, "parts", rebalance=True)
     parts = read_stage(spark, root, "parts", weeks)

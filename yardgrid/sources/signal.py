@@ -36,6 +36,8 @@ def selected_signal(df: DataFrame, name: str | None = None) -> DataFrame:
 
 
 def export_signal(df: DataFrame, name: str | None, path: str) -> None:
-    """Write the selection in a hundredth of the input's partitions, merged without a shuffle."""
-    partitions = max(1, df.rdd.getNumPartitions() // 100)
-    selected_signal(df, name).coalesce(partitions).write.mode("overwrite").parquet(path)
+    """Write the selection in few files of an even size.
+
+    The scan and the filters keep all their tasks; only what is left is dealt out anew.
+    """
+    selected_signal(df, name).hint("rebalance").write.mode("overwrite").parquet(path)

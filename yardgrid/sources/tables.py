@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,31 +12,53 @@ from pyspark.sql.types import StructField, StructType
 
 from yardgrid import schemas
 
+_WEEK = re.compile(r"tracking_week_(\d+)")
+
 
 def _csv(
     spark: SparkSession, path: str | list[str], schema: StructType, sep: str = ","
 ) -> DataFrame:
-    """Columns are taken by the names of the header, so their order in the file is free."""
+    """Columns are taken by the names of the header, so their order in each file is free.
+
+    Every path is read by its own header. Text that is no value of the column's type fails the
+    job that reads it; only ``NA`` and the empty text are missing values.
+    """
+    if isinstance(path, list):
+        parts = [_csv(spark, one, schema, sep) for one in path]
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
     stored = spark.read.csv(path, header=True, sep=sep, nullValue="NA", inferSchema=False)
     found = {name.lower() for name in stored.columns}
 
     def column(field: StructField) -> Column:
-        text = F.col(field.name) if field.name.lower() in found else F.lit(None)
-        return text.try_cast(field.dataType).alias(field.name)
+        text = F.col(field.name) if field.name.lower() in found else F.lit(None).cast("string")
+        value = text.try_cast(field.dataType)
+        bad = F.concat(F.lit(f"column {field.name} of {path}: "), text)
+        return F.when(text.isNotNull() & value.isNull(), F.raise_error(bad)).otherwise(value).alias(field.name)
 
     return stored.select(*[column(field) for field in schema.fields])
 
 
+def _files(spark: SparkSession, pattern: str) -> list[str]:
+    """The files of a pattern, listed by Spark; a season has a file for each week."""
+    listed = spark.read.format("binaryFile").load(pattern).select("path").distinct()
+    return sorted(row["path"] for row in listed.collect())
+
+
 def read_tracking(
     spark: SparkSession, folder: str, weeks: Iterable[int] | None = None
 ) -> DataFrame:
     """Weekly files ``tracking_week_<n>.csv`` of a folder, with the week as a column."""
     if weeks is None:
-        paths: str | list[str] = f"{folder}/tracking_week_*.csv"
+        paths = _files(spark, f"{folder}/tracking_week_*.csv")
     else:
         paths = [f"{folder}/tracking_week_{week}.csv" for week in weeks]
-    week = F.regexp_extract(F.input_file_name(), r"tracking_week_(\d+)", 1).cast("int")
-    return _csv(spark, paths, schemas.TRACKING).withColumn("week", week)
+    weekly = [
+        _csv(spark, path, schemas.TRACKING).withColumn("week", F.lit(int(_WEEK.search(path)[1])))
+        for path in paths
+    ]
+    if not weekly:
+        return spark.createDataFrame([], schemas.TRACKING).withColumn("week", F.lit(None).cast("int"))
+    return reduce(DataFrame.unionByName, weekly)
 
 
 def read_plays(spark: SparkSession, path: str) -> DataFrame:
