@@ -167,14 +167,18 @@ INPUTS = ("x", "y", "x_car", "y_car")
 
 
 def pc_split(df: DataFrame, share: float = 0.8, seed: int = 12, groups: int | None = 5) -> DataFrame:
-    """The rows of a control training set with ``is_train``, balanced over five ranges of ``PC``.
+    """The rows of a control training set with ``is_train``, balanced over ranges of ``PC``.
 
     A table that has ``is_train`` already keeps it.
     """
     if "is_train" in df.columns:
         return df
     known = df.filter(F.col("x_car").isNotNull() & F.col("PC").isNotNull())
-    return stratified_split(known, "PC", share, [*CELL_FRAME, "x", "y"], seed, groups=groups)
+    keys = [*CELL_FRAME, "x", "y"]
+    if groups is None:  # one stratum
+        split = stratified_split(known.withColumn("_all", F.lit(1)), "_all", share, keys, seed)
+        return split.drop("_all")
+    return stratified_split(known, "PC", share, keys, seed, groups=groups)
 
 
 def fit_pc_regressor(

@@ -315,17 +315,36 @@ SELECT c.tackler, any_value(p.displayName) AS displayName, any_value(p.position)
 FROM contact c LEFT JOIN players p ON p.nflId = c.tackler GROUP BY c.tackler"""
 
 
-def newton(link: str, steps: int) -> str:
-    """Fisher scoring for a binomial model on one feature, unrolled; data in ``contact``."""
-    mean = {
-        "logit": "1 / (1 + exp(-eta))",
-        "cloglog": "1 - exp(-exp(eta))",
-    }[link]
-    slope = {"logit": "mu * (1 - mu)", "cloglog": "exp(eta - exp(eta))"}[link]
-    parts = ["fit0 AS (SELECT 0e0 AS b0, 0e0 AS b1)"]
+def normal_cdf(z: str, terms: int = 60) -> str:
+    """Distribution function of the standard normal by its series in odd powers."""
+    weights, product = [], 1.0
+    for n in range(terms):
+        product *= 2 * n + 1
+        weights.append(repr(1 / product))
+    series = f"list_sum(list_transform([{', '.join(weights)}], lambda c, i: c * ({z}) ** (2 * i - 1)))"
+    return f"(0.5e0 + exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {series})"
+
+
+MEANS = {
+    "logit": "1 / (1 + exp(-eta))",
+    "probit": normal_cdf("eta"),
+    "cloglog": "1 - exp(-exp(eta))",
+}
+SLOPES = {
+    "logit": "mu * (1 - mu)",
+    "probit": "exp(-eta * eta / 2) / sqrt(2 * pi())",
+    "cloglog": "exp(eta - exp(eta))",
+}
+
+
+def newton_steps(link: str, steps: int, name: str = "fit") -> str:
+    """Relations of Fisher scoring for a binomial model on one feature, unrolled; data in
+    ``observed``, result in the relation of the last step."""
+    mean, slope = MEANS[link], SLOPES[link]
+    parts = [f"{name}0 AS (SELECT 0e0 AS b0, 0e0 AS b1)"]
     for i in range(1, steps + 1):
         parts.append(f"""
-fit{i} AS (
+{name}{i} AS (
     SELECT any_value(b0) + (sum(w * x * x) * sum(u) - sum(w * x) * sum(u * x))
                 / (sum(w) * sum(w * x * x) - sum(w * x) ** 2) AS b0,
            any_value(b1) + (sum(w) * sum(u * x) - sum(w * x) * sum(u))
@@ -334,8 +353,13 @@ fit{i} AS (
           FROM (SELECT *, {slope} AS g
                 FROM (SELECT *, {mean} AS mu
                       FROM (SELECT f.b0, f.b1, c.sum_quality AS x, c.tackling AS y, f.b0 + f.b1 * c.sum_quality AS eta
-                            FROM observed c, fit{i - 1} f)))))""")
-    body = ", ".join(parts)
+                            FROM observed c, {name}{i - 1} f)))))""")
+    return ", ".join(parts)
+
+
+def newton(link: str, steps: int) -> str:
+    """Coefficients of the fit on all contacts."""
+    body = newton_steps(link, steps)
     return (
         "SELECT * FROM (WITH observed AS MATERIALIZED (SELECT * FROM contact WHERE sum_quality IS NOT NULL), "
         f"{body} SELECT '{link}' AS link, {r('b0', 3)} AS intercept, {r('b1', 3)} AS slope FROM fit{steps})"
@@ -656,6 +680,51 @@ LEFT JOIN tracking t ON t.gameId = c.game AND t.playId = c.play AND t.frameId =
 WHERE c.PC >= 0.1 GROUP BY c.game, c.play, c.frame"""
 ORACLES["stratified_split"] = f"""
 SELECT tackling, count(*) AS n, {whole('ceil(0.75e0 * count(*))')} AS n_train FROM contact GROUP BY tackling"""
+def key_hash(keys: str, seed: int = 12) -> str:
+    """60 bits of the MD5 of some keys and the seed."""
+    parts = " || '|' || ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in [*keys.split(), f"'{seed}'"])
+    return f"CAST('0x' || md5({parts})[1:15] AS BIGINT)"
+
+
+STEPS = {"logit": 8, "probit": 10, "cloglog": 12}
+
+
+def evaluation() -> str:
+    """Every link fitted on the training part and judged on the rest, in both forms."""
+    fits = ", ".join(newton_steps(link, n, f"{link}_") for link, n in STEPS.items())
+    held = " UNION ALL ".join(
+        f"SELECT '{link}' AS link, {form} AS logistic_link, tackling AS y, "
+        f"{MEANS['logit'] if form else MEANS[link]} AS p FROM (SELECT s.tackling, f.b0 + f.b1 * s.sum_quality AS eta "
+        f"FROM split s, {link}_{n} f WHERE NOT s.is_train AND s.sum_quality IS NOT NULL)"
+        for link, n in STEPS.items()
+        for form in (False, True)
+    )
+    return f"""
+SELECT * FROM (WITH split AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY tackling ORDER BY {key_hash('game play frame tackler')})
+              <= ceil(0.75e0 * count(*) OVER (PARTITION BY tackling)) AS is_train FROM contact),
+observed AS MATERIALIZED (SELECT * FROM split WHERE is_train AND sum_quality IS NOT NULL AND tackling IS NOT NULL),
+{fits}, held AS ({held})
+SELECT link, logistic_link, tp, fp, fn, tn, {r('(tp + tn) / (tp + tn + fp + fn)', 3)} AS accuracy, {r('loss', 3)} AS log_loss
+FROM (SELECT link, logistic_link,
+             count(*) FILTER (p >= 0.5 AND y = 1) AS tp, count(*) FILTER (p >= 0.5 AND y = 0) AS fp,
+             count(*) FILTER (p < 0.5 AND y = 1) AS fn, count(*) FILTER (p < 0.5 AND y = 0) AS tn,
+             avg(-(y * ln(greatest(least(p, 1 - 1e-15), 1e-15)) + (1 - y) * ln(1 - greatest(least(p, 1 - 1e-15), 1e-15)))) AS loss
+      FROM held GROUP BY link, logistic_link))"""
+
+
+ORACLES["model_evaluation"] = evaluation()
+ORACLES["pc_regressor"] = f"""
+SELECT * FROM (WITH located AS MATERIALIZED (
+    SELECT c.PC, row_number() OVER (ORDER BY {key_hash('c.game c.play c.frame c.x c.y')}) AS k, count(*) OVER () AS n
+    FROM control c JOIN plays p ON p.gameId = c.game AND p.playId = c.play
+    JOIN tracking t ON t.gameId = c.game AND t.playId = c.play AND t.frameId = c.frame AND t.nflId = p.ballCarrierId
+    WHERE c.PC >= 0.1 AND t.x IS NOT NULL),
+middle AS (SELECT avg(PC) AS m FROM located WHERE k <= ceil(0.8e0 * n))
+SELECT count(*) FILTER (k <= ceil(0.8e0 * n)) AS n_train, count(*) FILTER (k > ceil(0.8e0 * n)) AS n_held_out,
+       {r('avg((PC - m) ** 2) FILTER (k > ceil(0.8e0 * n))')} AS mean_mse, true AS better
+FROM located, middle)"""
+ORACLES["glm_probit"] = newton("probit", 10)
 ORACLES["glm_logit"] = newton("logit", 8)
 ORACLES["glm_cloglog"] = newton("cloglog", 12)
 

@@ -58,11 +58,11 @@ def run_weeks(
         weeks = list(weeks)  # read several times
         tracking = tracking.filter(F.col("week").isin(weeks))
     games = tracking.select("week", F.col("gameId").alias("game")).distinct()
-    write_stage(game_buckets(games), root, "parts", rebalance=True)
+    write_stage(game_buckets(games), root, "parts", rebalance=True, weeks=weeks)
     parts = read_stage(spark, root, "parts", weeks)
 
     clean = clean_tracking(tracking.drop("week"), inputs.plays, inputs.pbp)
-    write_stage(_with_parts(clean, parts, "gameId"), root, "clean", rebalance=True)
+    write_stage(_with_parts(clean, parts, "gameId"), root, "clean", rebalance=True, weeks=weeks)
     clean = read_stage(spark, root, "clean", weeks).drop("week", "bucket")
     frames = settle(framed_sides(clean, inputs.plays))
 
@@ -72,11 +72,11 @@ def run_weeks(
         "value_map": lambda: value_surface(frames),
     }
     for stage in cell_stages:
-        write_stage(_with_parts(surfaces[stage](), parts), root, stage)
+        write_stage(_with_parts(surfaces[stage](), parts), root, stage, weeks=weeks)
 
-    write_stage(_with_parts(control_value(frames), parts), root, "control_value")
+    write_stage(_with_parts(control_value(frames), parts), root, "control_value", weeks=weeks)
     cells = read_stage(spark, root, "control_value", weeks).drop("week", "bucket")
     for stage, only_tacklers in (("quality", True), ("all_quality", False)):
         followed = tackle_frames(clean, inputs.plays, inputs.tackles, only_tacklers)
         graded = quality_summary(cells, tackler_ellipses(followed))
-        write_stage(_with_parts(graded, parts), root, stage, rebalance=True)
+        write_stage(_with_parts(graded, parts), root, stage, rebalance=True, weeks=weeks)

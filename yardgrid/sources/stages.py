@@ -35,24 +35,47 @@ def partition_by_game(df: DataFrame, game: str = "game", n: int = 4) -> DataFram
     return df.join(buckets, ["week", game])
 
 
+def _folders(spark: SparkSession, path: str, weeks: Iterable[int] | None) -> dict[str, set[str]]:
+    """The partition folders of some weeks (of all without) and the files in each."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    names = ["*"] if weeks is None else [str(int(week)) for week in weeks]
+    found: dict[str, set[str]] = {}
+    for name in names:
+        pattern = hadoop.Path(f"{path}/week={name}/bucket=*/*.parquet")
+        system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in system.globStatus(pattern) or []:
+            found.setdefault(status.getPath().getParent().toString(), set()).add(status.getPath().getName())
+    return found
+
+
 def write_stage(
-    df: DataFrame, root: str, stage: str, rebalance: bool = False, rows_per_file: int = 5_000_000
+    df: DataFrame, root: str, stage: str, rebalance: bool = False, rows_per_file: int = 5_000_000,
+    weeks: Iterable[int] | None = (),
 ) -> None:
-    """Write a stage; only the partitions present in ``df`` are replaced.
+    """Write a stage; the partitions present in ``df`` are replaced.
 
-    A second run over one week therefore leaves the other weeks alone. Narrow tables may be
+    Of the given ``weeks`` (of all for None) partitions that got no rows this time are removed
+    afterwards, so a second run over a week replaces the whole week and leaves the others alone.
+    Narrow tables may be
     rebalanced first: few files per partition, with partitions that hold most rows cut into
     several. Cell tables are written from the tasks that made them.
     """
     parts = [name for name in PARTS if name in df.columns]
     placed = df.hint("rebalance", *parts) if rebalance and parts else df
+    spark, path = df.sparkSession, f"{root}/{stage}"
+    before = _folders(spark, path, weeks)
     (
         placed.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", rows_per_file)
         .partitionBy(*parts)
-        .parquet(f"{root}/{stage}")
+        .parquet(path)
     )
+    now = _folders(spark, path, weeks)
+    for folder, files in before.items():
+        if files & now.get(folder, set()):  # not written anew
+            stale = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            stale.getFileSystem(spark._jsc.hadoopConfiguration()).delete(stale, True)
 
 
 def read_stage(
