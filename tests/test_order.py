@@ -87,7 +87,8 @@ def test_histogram_and_boxes(spark):
 def test_qq_levels_and_classes(spark):
     df = spark.createDataFrame([(0.2, 1), (0.2, 0), (0.7, 1), (1.0, 1)], "p double, y int")
     qq = {r.p: (r["first"], r["last"]) for r in profile.qq_uniform(df, "p").collect()}
-    assert qq[0.2] == (0.125, 0.375) and qq[1.0] == (0.875, 0.875)
+    assert qq[0.2] == pytest.approx((0.625 / 4.25, 1.625 / 4.25))
+    assert qq[1.0] == pytest.approx((3.625 / 4.25, 3.625 / 4.25))
     levels = {r.level: r.n for r in profile.level_bins(df, "p", [0.2, 0.6, 1.0]).collect()}
     assert levels == {1: 2, 2: 1}
     m = profile.confusion_matrix(df, "p", "y").first()
@@ -131,3 +132,27 @@ def test_binomial_fits(spark, tmp_path):
     assert as_logistic.prediction == pytest.approx(1 / (1 + math.exp(-(b[0] + b[1] * row.sum_quality))), abs=1e-4)
     with pytest.raises(ValueError):
         models.fit_tackle_model(df, "other")
+
+
+def test_missing_classes_are_classes(spark):
+    rows = [("a", float(i)) for i in range(20)] + [(None, float(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "kind string, v double")
+    boxes = {r.kind: r for r in profile.box_stats(df, "v", ["kind"]).collect()}
+    assert set(boxes) == {"a", None} and boxes[None].median == 2.0 and boxes[None].n == 5
+    bins = profile.histogram(df, "v", by=["kind"], bins=5).collect()
+    assert sum(r.n for r in bins if r.kind is None) == 5
+    # Each class has its own range.
+    assert max(r.centre for r in bins if r.kind is None) == pytest.approx(4.0)
+    points = {(r.kind, r.v): r.first for r in profile.qq_uniform(df, "v", ["kind"]).collect()}
+    assert points["a", 0.0] == pytest.approx(0.5 / 20)
+    assert points[None, 0.0] == pytest.approx((1 - 0.375) / 5.25)
+
+
+def test_rows_without_a_target_stay_in_the_split(spark):
+    rows = [(i, i % 2 if i % 5 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, y int")
+    split = models.stratified_split(df, "y", 0.75, ["k"]).collect()
+    assert len(split) == 40
+    for label in (0, 1, None):
+        part = [r.is_train for r in split if r.y == label]
+        assert sum(part) == -(-3 * len(part) // 4)

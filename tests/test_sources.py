@@ -98,3 +98,24 @@ def test_weekly_run(spark, tmp_path):
     assert stage("influence").filter("influ <= 0 or influ > 1").count() == 0
     assert stage("quality").count() <= stage("all_quality").count()
     assert {"week", "bucket"} <= set(stage("value_map").columns)
+
+
+def test_files_with_columns_in_another_order(spark, tmp_path):
+    (tmp_path / "tracking_week_1.csv").write_text("gameId,playId,nflId,frameId,x,y\n1,2,3,4,10.5,20.5\n")
+    (tmp_path / "tracking_week_2.csv").write_text("y,x,frameId,nflId,playId,gameId\n20.5,10.5,4,3,2,1\n")
+    rows = tables.read_tracking(spark, str(tmp_path)).select("week", "gameId", "x", "y").collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 1, 10.5, 20.5), (2, 1, 10.5, 20.5)]
+
+
+def test_text_that_is_no_number_fails(spark, tmp_path):
+    (tmp_path / "games.csv").write_text("gameId,week,homeTeamAbbr,visitorTeamAbbr\n7,three,BUF,LA\n")
+    with pytest.raises(Exception, match="column week"):
+        tables.read_games(spark, str(tmp_path / "games.csv")).collect()
+
+
+def test_second_run_of_a_week_replaces_all_of_it(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (2, 0, 3.0)], "week int, bucket int, v double")
+    stages.write_stage(rows, root, "s", weeks=[1, 2])
+    stages.write_stage(rows.filter("week = 1 and bucket = 0"), root, "s", weeks=[1])
+    assert {r.v for r in stages.read_stage(spark, root, "s").collect()} == {1.0, 3.0}
