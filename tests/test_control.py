@@ -204,5 +204,5 @@ def test_surfaces_do_not_shuffle_cells(spark, plays):
     frames = k.framed_sides(field.clean_frame(spark, one_frame()), plays)
     surface_ = k.control_surface(k.without_carrier(frames), grid=False)
     plan = surface_._jdf.queryExecution().executedPlan().toString()
-    above = plan.split("REPARTITION_BY_NUM")[0]
-    assert above.count("Exchange") == 1
+    # Ordinary frames come together where the crowded ones are taken out, before they are spread.
+    assert "Exchange" not in plan.split("LeftAnti")[0]
