@@ -28,13 +28,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yardgrid.session import fan_out
+from yardgrid.session import fan_out, settle
 
 LONGEST = 256
 # A block ends when it has this many characters or distinct words to fold.
 BLOCK_CHARACTERS, BLOCK_WORDS = 16_000_000, 200_000
+# Words whose ids are put together at once, and words packed at once.
+GROUP, PACKED = 200_000, 50_000
 # Texts of the sample whose frequent words are folded before, and how many of those are kept.
-SAMPLE, KNOWN = 40_000, 300_000
+SAMPLE, KNOWN = 40_000, 250_000
 # Two primes, so that no two keys below 2^32 agree in both; the factor spreads neighbouring keys.
 _GROUPS, _SLOTS, _FACTOR = 32_749, 262_147, 1_580_030_168
 
@@ -99,9 +101,15 @@ _RANK, _START = 1 << 40, 1 << 16
 _NO_ID, _NO_RANK = _START - 1, 1 << 20
 
 
-def _rank_function(path: str) -> Callable[[Column, Column], Column]:
-    """Merged id (and so the rank) of two ids, or ``_NO_RANK``."""
+def _rank_map(path: str) -> Column:
+    """The literal rank map: the two arrays of the perfect hash."""
     shifts, slots = (F.split(F.lit(t), ",").cast("array<bigint>") for t in _tables(path))
+    return F.struct(shifts.alias("shifts"), slots.alias("slots"))
+
+
+def _rank_function(table: Column) -> Callable[[Column, Column], Column]:
+    """Merged id (and so the rank) of two ids, or ``_NO_RANK``."""
+    shifts, slots = table["shifts"], table["slots"]
 
     def rank(left: Column, right: Column) -> Column:
         key = left * _START + right
@@ -116,7 +124,12 @@ def _rank_function(path: str) -> Callable[[Column, Column], Column]:
 
 def packed(words: list[bytes], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, tokens): the tokens of the single bytes of each word, between two marks."""
-    ids, pairs = _byte_tables(ranks)
+    tables = _byte_tables(ranks)
+    parts = [_pack(words[at : at + PACKED], *tables) for at in range(0, max(len(words), 1), PACKED)]
+    return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
+
+
+def _pack(words: list[bytes], ids: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     ends = np.cumsum(lengths)
     data = np.frombuffer(b"".join(b"\0" + w + b"\0" for w in words), np.uint8).astype(np.int64)
@@ -137,9 +150,19 @@ def _byte_tables(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.array(pairs, np.int64)
 
 
+def fold_words(words: Column, path: str) -> Column:
+    """The ids of each word of an array of packed words; the map stands in the plan once."""
+    return _let(_rank_map(path), lambda table: F.transform(words, lambda w: _fold(w, table)))
+
+
 def fold_word(tokens: Column, path: str) -> Column:
-    """The ids of a word from its packed tokens: one merge in every step, until no pair has a rank."""
-    rank = _rank_function(path)
+    """The ids of a word from its packed tokens."""
+    return _let(_rank_map(path), lambda table: _fold(tokens, table))
+
+
+def _fold(tokens: Column, table: Column) -> Column:
+    """One merge in every step, until no pair has a rank."""
+    rank = _rank_function(table)
 
     def step(state: Column, _: Column) -> Column:
         def merge(low: Column) -> Column:
@@ -294,7 +317,7 @@ def _split(path: str, pattern: str, known: dict[str, int]) -> Callable[[Iterator
 def _joiner(
     offsets_known: np.ndarray, ids_known: np.ndarray, path: str
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The ids of every text of a block, in groups of texts of about a million words, with the
+    """The ids of every text of a block, in groups of texts of about ``GROUP`` words, with the
     bytes they stand for and their decimal form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +331,7 @@ def _joiner(
                 ends, at = np.cumsum(sizes), 0
                 while at < len(sizes):
                     start = int(ends[at - 1]) if at else 0
-                    to = max(at + 1, int(np.searchsorted(ends, start + 1_000_000, side="right")))
+                    to = max(at + 1, int(np.searchsorted(ends, start + GROUP, side="right")))
                     ids, counts = _gather(codes[start : int(ends[to - 1])], lists)
                     bounds = np.concatenate([[0], np.cumsum(counts)])
                     offsets = bounds[np.concatenate([[start], ends[at:to]]) - start]
@@ -380,13 +403,13 @@ def known_words(texts: DataFrame, path: str, pattern: str) -> Known:
     """
     share = min(1.0, SAMPLE / max(texts.select("key").count(), 1))
     sample = texts.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000))
-    found = (
+    frequent = settle(
         sample.select("text").mapInArrow(_count_words(path, pattern), "word string, n bigint, tokens array<bigint>")
         .groupBy("word").agg(F.sum("n").alias("n"), F.any_value("tokens").alias("tokens"))
         .filter("n > 1").orderBy(F.desc("n"), "word").limit(KNOWN)
         .repartition(fan_out(texts.sparkSession))
-        .select("word", fold_word(F.col("tokens"), path).alias("ids")).toArrow()
     )
+    found = frequent.select("word", fold_word(F.col("tokens"), path).alias("ids")).toArrow()
     if not found.num_rows:
         return Known({}, np.zeros(1, np.int64), np.zeros(0, np.int32))
     ids = found["ids"].combine_chunks()
@@ -407,7 +430,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     known = known_words(texts, path, pattern)
     blocks = texts.mapInArrow(_split(path, pattern, known.words), _BLOCKS)
     folded = blocks.select(
-        "keys", "sizes", "codes", F.transform("words", lambda w: fold_word(w, path)).alias("folded"), "long"
+        "keys", "sizes", "codes", fold_words(F.col("words"), path).alias("folded"), "long"
     )
     schema = "key bigint, ids array<int>, decoded binary, decimal binary"
     return folded.mapInArrow(_joiner(known.offsets, known.ids, path), schema).withColumnRenamed("key", key)

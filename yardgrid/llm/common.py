@@ -14,7 +14,8 @@ BATCH_ROWS = 256
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound the size of the batches that go to Python tasks, and return the session."""
+    """Bound the size of the batches that go to Python tasks and of plans kept as text."""
+    spark.conf.set("spark.sql.maxPlanStringLength", "20000")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
