@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -21,8 +22,8 @@ from yardgrid.operators import play_view as views
 from yardgrid.operators import quality as qualities
 from yardgrid.operators import tackles as tackling
 from yardgrid.plans.adapter import Season
-from yardgrid.session import configure, settle
-from yardgrid.sources import signal, stages
+from yardgrid.session import configure, settle, shared_folder
+from yardgrid.sources import signal, stages, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -637,6 +638,51 @@ def game_buckets(s: Season) -> DataFrame:
     return stages.game_buckets(s.games.select("week", F.col("gameId").alias("game")))
 
 
+# -- files ---------------------------------------------------------------------------------
+
+
+def _by_week(df: DataFrame) -> DataFrame:
+    return df.groupBy("week").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("gameId").alias("games"), F.sum("x").alias("x")
+    )
+
+
+@query("tracking_files")
+def tracking_files(s: Season) -> DataFrame:
+    """Tracking rows written as weekly CSV files, with the columns of odd weeks in another order,
+    and read back by their headers."""
+    folder = f"{shared_folder(s.spark)}/tracking-{uuid.uuid4().hex}"
+    names = s.tracking.drop("week").columns
+    for row in s.games.select("week").distinct().collect():  # one file a week
+        week = s.tracking.filter(F.col("week") == row["week"])
+        ordered = names if row["week"] % 2 == 0 else names[::-1]
+        path = f"{folder}/tracking_week_{row['week']}.csv"
+        week.select(*ordered).write.csv(path, header=True, nullValue="NA")
+    return _by_week(tables.read_tracking(s.spark, folder))
+
+
+@query("stage_files")
+def stage_files(s: Season) -> DataFrame:
+    """Tracking rows as a stage by week and range of games, written twice and read back."""
+    folder = f"{shared_folder(s.spark)}/stages-{uuid.uuid4().hex}"
+    rows = stages.partition_by_game(s.tracking, "gameId")
+    for _ in range(2):
+        stages.write_stage(rows, folder, "tracking", rebalance=True, weeks=None)
+    return stages.read_stage(s.spark, folder, "tracking").groupBy("week", "bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("gameId").alias("games"), F.sum("x").alias("x")
+    )
+
+
+@query("signal_files")
+def signal_files(s: Season) -> DataFrame:
+    """The export of one operator's measurements, read back."""
+    folder = f"{shared_folder(s.spark)}/signal-{uuid.uuid4().hex}"
+    signal.export_signal(s.signal, "view", folder)
+    return signal.read_signal(s.spark, folder).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("rsrp").alias("rsrp"), F.sum("client_latitude").alias("latitude")
+    )
+
+
 # -- models --------------------------------------------------------------------------------
 
 

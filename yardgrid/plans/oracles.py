@@ -678,6 +678,14 @@ SELECT c.game, c.play, c.frame, count(*) AS cells, {r('sum(c.PC)')} AS total, {r
 FROM control c JOIN plays p ON p.gameId = c.game AND p.playId = c.play
 LEFT JOIN tracking t ON t.gameId = c.game AND t.playId = c.play AND t.frameId = c.frame AND t.nflId = p.ballCarrierId
 WHERE c.PC >= 0.1 GROUP BY c.game, c.play, c.frame"""
+ORACLES["tracking_files"] = f"""
+SELECT week, count(*) AS n, count(DISTINCT gameId) AS games, {r('sum(x)')} AS x FROM tracking GROUP BY week"""
+ORACLES["stage_files"] = f"""
+SELECT t.week, b.bucket, count(*) AS n, count(DISTINCT t.gameId) AS games, {r('sum(t.x)')} AS x
+FROM tracking t JOIN ({ORACLES["game_buckets"]}) b ON b.game = t.gameId AND b.week = t.week GROUP BY t.week, b.bucket"""
+ORACLES["signal_files"] = f"""
+SELECT count(*) AS n, {r('sum(-value)')} AS rsrp, {r('sum(user_id % 90 * 1e0)')} AS latitude
+FROM events WHERE -value BETWEEN -121 AND -44 AND event_type = 'view'"""
 ORACLES["stratified_split"] = f"""
 SELECT tackling, count(*) AS n, {whole('ceil(0.75e0 * count(*))')} AS n_train FROM contact GROUP BY tackling"""
 def key_hash(keys: str, seed: int = 12) -> str:
