@@ -211,7 +211,9 @@ def clean_tracking(
     )
     moving = trim_from_initial(players_only(tracking).join(kept, PLAY), initial_events)
     placed = add_velocity(standardize(moving), direction)
-    located = add_distance(placed, carrier_location(tracking, plays))
+    # Carriers are looked for in the designed plays only.
+    carried = plays.join(kept.select(*PLAY), PLAY, "left_semi")
+    located = add_distance(placed, carrier_location(tracking, carried))
     return add_scales(located, vmax).withColumn("initial", is_initial(initial_events))
 
 

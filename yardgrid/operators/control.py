@@ -330,6 +330,8 @@ def individual_control(
     alone = close.join(
         defenders.select(*CELL_FRAME, "player").distinct(), [*CELL_FRAME, "player"], "left_semi"
     )
+    # Brought together by frame while they are narrow, as the opponents' sums are.
+    alone = alone.repartition(fan_out(frames.sparkSession), *CELL_FRAME)
     own = _strong(spread(alone, ["player"]), floor).select(
         *CELL, F.col("player").alias("defender"), F.col("influ").alias("part")
     )
