@@ -140,6 +140,37 @@ def test_large_group_of_near_copies(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()} == wanted
 
 
+def plain_classes(texts):
+    """Classes by the Jaccard similarity of five-word shingles, without the operator's code."""
+    sets = {}
+    for i, text in texts.items():
+        words = text.split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    label = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if i < j and label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = {k: new if v == old else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize(("length", "size"), [(300, 100), (120, 100), (120, 12)])
+def test_copies_are_linked_at_any_size_of_their_group(spark, length, size):
+    rng = random.Random(length + size)
+    seed = [f"s{rng.randrange(10**6)}" for _ in range(length)]
+    rows = []
+    for i in range(size):
+        words = list(seed)
+        words[rng.randrange(length)] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"o{rng.randrange(10**6)}" for _ in range(60))) for i in range(300 - size)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    wanted = plain_classes(dict(rows))
+    assert {wanted[i] for i in range(size)} == {0}
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()} == wanted
+
+
 def test_samples_agree_as_often_as_sets_overlap():
     rng = np.random.default_rng(5)
     agreed, similar = [], []

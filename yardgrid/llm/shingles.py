@@ -16,10 +16,11 @@ REMEMBERED = 800_000
 
 # Document frequencies are kept by hashed shingle. A bucket holds on average (mean shingles of a
 # text / BUCKETS) of all documents by chance, a share that does not depend on their number; it is
-# taken off. Shingles in at most the share RARE of all documents have the full weight.
+# taken off. Shingles in at most the share RARE of all documents have the full weight. Near copies
+# count each other's shingles as frequent, so the weight of a frequent shingle stays near a rare one's.
 BUCKETS = 1 << 17  # the upper 17 bits
 RARE = 0.01
-LEAST_WEIGHT = 0.05
+LEAST_WEIGHT = 0.8
 
 _NOT_WORD = re.compile(r"[\W_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -95,7 +96,7 @@ def shingle_weights(df: DataFrame, text: str = "text") -> np.ndarray:
     counts[np.array(rows["bucket"], np.int64)] = rows["n"]
     texts, seen = max(counts[-1], 1.0), counts[:-1]
     share = np.clip((seen - seen.mean()) / texts, RARE, 1.0)
-    return np.maximum((np.log(share) / np.log(RARE)) ** 2, LEAST_WEIGHT).astype(np.float32)
+    return np.maximum(np.log(share) / np.log(RARE), LEAST_WEIGHT).astype(np.float32)
 
 
 def weighted(
@@ -106,6 +107,19 @@ def weighted(
     return keys, times.astype(np.float32) * weights[bucket(keys)]
 
 
+def least_weighted(similarity: float) -> float:
+    """The smallest weighted similarity of two texts that are this similar without weights."""
+    return LEAST_WEIGHT * similarity / (LEAST_WEIGHT * similarity + 1 - similarity)
+
+
+def likeness(
+    a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: np.ndarray
+) -> float:
+    """The larger of the weighted Jaccard similarity and the one of the bare shingle counts."""
+    bare = [(keys, w / weights[bucket(keys)]) for keys, w in (a, b)]
+    return max(weighted_jaccard(a, b), weighted_jaccard(*bare))
+
+
 def weighted_jaccard(
     a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
 ) -> float:
