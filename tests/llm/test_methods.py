@@ -319,6 +319,27 @@ def test_shared_passages(spark):
         assert passage[80:-80] in span and len(span) < len(passage) + 24
 
 
+def test_copies_with_a_passage_of_a_third_document_stay_once(spark):
+    rng = random.Random(12)
+
+    def words(n):
+        return " ".join(f"v{rng.randrange(10**5)}" for _ in range(n))
+
+    passage, chunk = words(40), words(6)
+    copy = f"{words(50)} {passage} {words(50)} {chunk} {words(50)}"
+    rows = [(3, f"{words(30)} {passage} {words(30)}"), (4, f"{words(30)} {chunk} {words(30)}"), (5, copy), (6, copy)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = substrings.shared_passages(docs)
+    firsts = {(r["doc_id"], r["is_first"]) for r in found.collect()}
+    assert (5, True) in firsts and (5, False) in firsts and (6, True) not in firsts
+    kept = {r["doc_id"]: r["text"] for r in substrings.without_repeats(docs, found).collect()}
+    assert kept[3] == rows[0][1] and kept[4] == rows[1][1]
+    assert kept[6] == "" and passage[40:-40] not in kept[5]
+    for _, text in rows:  # every chunk stands somewhere still
+        _, starts, lengths = substrings.chunks(text)
+        assert all(any(text[a : a + n] in t for t in kept.values()) for a, n in zip(starts, lengths, strict=True))
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(11)
     text = " ".join(f"é{rng.randrange(10**5)}" for _ in range(400))

@@ -7,7 +7,8 @@ same inner chunks wherever it stands. Chunks have 26 bytes on average, and no up
 stretches that repeat one pattern.
 
 Digests are counted over all documents. A run of neighbouring chunks that all occur in several
-documents is a shared passage when it has at least ``shortest`` characters.
+documents is a shared passage when it has at least ``shortest`` characters. It is given in parts: what
+a document has first, and what an earlier one has. So no chunk is taken for a repeat where it is first.
 """
 
 from __future__ import annotations
@@ -59,31 +60,49 @@ def chunks(text: str) -> tuple[list[int], list[int], list[int]]:
     return digests, edges[:-1], [b - a for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def runs(pieces: list[tuple[int, int, int]], shortest: int) -> list[tuple[int, int, int]]:
-    """(start, end, smallest first document) of the runs of neighbouring (start, length, first)."""
-    out: list[list[int]] = []
+def runs(pieces: list[tuple[int, int, int]], shortest: int, document: int) -> list[tuple[int, int, int]]:
+    """(start, end, smallest first document) of the parts of runs of neighbouring (start, length, first).
+
+    A run counts with its whole length. It is given in parts, so that no part mixes chunks whose
+    first document is ``document`` with others. Shorter chunks of its own at the ends of a run,
+    mostly a few characters around a passage, are no part of it.
+    """
+    found: list[list[list[int]]] = []
     for start, length, first in sorted(set(pieces)):
-        if out and out[-1][1] == start:
-            out[-1][1] = start + length
-            out[-1][2] = min(out[-1][2], first)
+        if not found or found[-1][-1][1] != start:
+            found.append([])
+        run = found[-1]
+        if run and (run[-1][2] == document) == (first == document):
+            run[-1][1] = start + length
+            run[-1][2] = min(run[-1][2], first)
         else:
-            out.append([start, start + length, first])
-    return [(a, b, f) for a, b, f in out if b - a >= shortest]
-
-
-def _run_maker(shortest: int) -> Callable[[], Callable[[list], list]]:
-    return lambda: lambda rows: [
-        x for run in runs([(r["start"], r["length"], r["first"]) for r in rows], shortest) for x in run
+            run.append([start, start + length, first])
+    out: list[tuple[int, int, int]] = []
+    for run in found:
+        if run[-1][1] - run[0][0] < shortest:
+            continue
+        for k, (a, b, first) in enumerate(run):
+            if first != document or b - a >= shortest or 0 < k < len(run) - 1:
+                out.append((a, b, first))
+    return out
+
+
+def _run_maker(shortest: int) -> Callable[[], Callable[[dict], list]]:
+    return lambda: lambda row: [
+        x
+        for run in runs([(r["start"], r["length"], r["first"]) for r in row["pieces"]], shortest, row["doc_id"])
+        for x in run
     ]
 
 
 def shared_passages(
     df: DataFrame, key: str = "doc_id", text: str = "text", shortest: int = SHORTEST
 ) -> DataFrame:
-    """One row for each shared passage in each document.
+    """One row for each part of a shared passage in each document.
 
     Columns: ``doc_id``, ``start``, ``end`` (code points, end exclusive), ``first_doc_id`` (the
-    smallest id that shares a chunk of it) and ``is_first``. Exact copies share their whole text.
+    smallest id that shares a chunk of it) and ``is_first``: whether no document with a smaller id
+    has any chunk of it. Exact copies share their whole text.
     Null and empty texts have no chunks; repeats inside one document do not count; rows with a null
     key cannot be named and are not compared; rows with equal keys are one document.
 
@@ -114,7 +133,7 @@ def shared_passages(
     found = (
         pieces.groupBy("doc_id")
         .agg(F.collect_list(F.struct("start", "length", "first")).alias("pieces"))
-        .select("doc_id", make_runs("pieces").alias("flat"))
+        .select("doc_id", make_runs(F.struct("doc_id", "pieces")).alias("flat"))
     )
     third = F.expr(
         "transform(sequence(0, size(flat) - 1, 3), i ->"
