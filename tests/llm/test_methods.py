@@ -72,6 +72,27 @@ def test_paraphrase_is_found_and_other_text_is_not(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, items).collect()} == {(1, 7)}
 
 
+def test_answer_decides_weaker_matches_only(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(3000)}" for _ in range(40)]
+    filler = " ".join(f"o{rng.randrange(3000)}" for _ in range(100))
+    last = [f"z{k}" for k in range(11)]
+    weak = [w for k, w in enumerate(words) if k % 4 != 1]  # three quarters of an item that ends in one word
+    texts = [
+        " ".join(words),  # without the last sentence of one word
+        f"{' '.join(words)}. other",
+        f"{' '.join(weak)}",
+        f"{' '.join(words)} {' '.join(f'q{k}' for k in range(11))}",  # without a last sentence of eleven words
+    ]
+    docs = spark.createDataFrame(
+        [(k, f"{filler}. {t}. {filler}") for k, t in enumerate(texts)], "doc_id bigint, text string"
+    )
+    items = [(7, f"{' '.join(words)}. end"), (8, f"{' '.join(words)}. {' '.join(last)}")]
+    found = decontamination.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(0, 7), (1, 7), (2, 7), (3, 7)}
+    assert decontamination.Item.read(1, "One two three four. Five six. End.").answer == ["one", "two", "three", "four", "five", "six", "end"]
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
