@@ -239,6 +239,34 @@ def test_literals_of_sensitive_names():
     assert "zX81kd02ms" not in secrets.redacted(text, secrets.spans_of(text))
 
 
+@pytest.mark.parametrize(
+    ("text", "literal"),
+    [
+        ('const apiKey: string = "a8Zk29dkQ1xx";', "a8Zk29dkQ1xx"),
+        ('credential: Optional[str] = "a8Zk29dkQ1xx"', "a8Zk29dkQ1xx"),
+        ("let api_key: &'static str = \"a8Zk29dkQ1xx\";", "a8Zk29dkQ1xx"),
+        ('api_key_prod = "a8Zk29dkQ1xx"', "a8Zk29dkQ1xx"),
+        ('apiKeyProd = "a8Zk29dkQ1xx"', "a8Zk29dkQ1xx"),
+        ('encryption_key = "a8Zk29dkQ1xx"', "a8Zk29dkQ1xx"),
+        ('passphrase = "correct horse battery staple"', "correct horse battery staple"),
+        ('credential = LATER\nLATER = "a8Zk29dkQ1xx"', "a8Zk29dkQ1xx"),
+        ('X="a8Zk29dkQ1xx"\nexport CREDENTIAL=$X', "a8Zk29dkQ1xx"),
+        ('export CREDENTIAL="${X}"\nX=$Y\nY=a8Zk29dkQ1xx', "a8Zk29dkQ1xx"),
+        ("credential: QUJDRE9xVGRw= next", "QUJDRE9xVGRw="),
+    ],
+)
+def test_literals_in_ordinary_source(text, literal):
+    assert [text[a:b] for a, b, _ in secrets.literal_spans(text)] == [literal]
+    assert literal not in secrets.redacted(text, secrets.spans_of(text))
+
+
+def test_literals_of_loops_and_other_names():
+    assert secrets.literal_spans('public_key = "a8Zk29dkQ1xx"\ncredential = ${UNKNOWN_NAME}') == []
+    assert len(secrets.literal_spans("password = secondname\nsecondname = password\n")) == 1
+    chain = "token_0 = a8Zk29dkQ1xx\n" + "".join(f"token_{i} = token_{i - 1}\n" for i in range(1, 20_000))
+    assert secrets.literal_spans(chain) == [(10, 22, "literal")]
+
+
 def test_fingerprints(spark, documents):
     order = sorted(documents, reverse=True)
     after = {d: order[(i + 1) % len(order)] for i, d in enumerate(order)}
