@@ -93,6 +93,27 @@ def test_answer_decides_weaker_matches_only(spark):
     assert decontamination.Item.read(1, "One two three four. Five six. End.").answer == ["one", "two", "three", "four", "five", "six", "end"]
 
 
+def test_full_block_of_items_is_found_as_by_brute_force(spark):
+    """Short paraphrased items at any offset, against the longest common subsequence of every item."""
+    rng = random.Random(7)
+
+    def words(n):
+        return [f"w{int(4000 * rng.random() ** 2)}" for _ in range(n)]
+
+    items = {k: words(rng.randrange(22, 32)) for k in range(decontamination.ITEMS)}
+    rows, wanted = [], set()
+    for k, item in items.items():
+        edited = [w if rng.random() > 0.26 else f"n{rng.randrange(10**6)}" for w in item]
+        rows.append((k, " ".join([*words(rng.randrange(30, 60)), *edited, *words(40)])))
+        masks = decontamination.Item(k, item, item).masks(item)
+        if decontamination.common_subsequence(masks, len(item), edited) >= decontamination.COMMON * len(item):
+            wanted.add((k, k))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, benchmark).collect()}
+    assert len(wanted) > 600 and len(wanted - found) <= 0.01 * len(wanted)
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(50):
