@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardgrid.llm import bpe, common, decontamination, fingerprint, language, near_dedup, secrets, sharding, substrings, token_counts, toxicity
+from yardgrid.llm import bpe, common, decontamination, fingerprint, language, near_dedup, quality, secrets, sharding, substrings, token_counts, toxicity
+from yardgrid.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(run: Query) -> Query:
@@ -115,3 +115,17 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decimal", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op11_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document: its counts and the verdict of the ordered rules."""
+    docs = common.documents(spark, folder).select("doc_id", "text")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    order = quality.estimate_order(docs, report=counts)
+    found = quality.apply_rules(docs, order, report=counts).select("doc_id", "quality.*")
+    return found.select(
+        "doc_id", *counts,
+        F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words").alias("base_failed"),
+        "kept",
+    )
