@@ -36,3 +36,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR 2 * n_dup_lines > n_lines OR 2 * n_letters < word_chars OR 2 * n_capitals > n_letters) AS kept
 FROM based
 """
+
+ORACLES["op12_source_divergence"] = r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), words AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM rows
+), kept AS (
+  SELECT lang, term, count(*) AS all_n FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+), langs AS (
+  SELECT lang, count(*) AS v, sum(all_n) AS all_words FROM kept GROUP BY lang
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT lang, source, coalesce(words, 0) AS words, coalesce(v, 0) AS v, all_words
+  FROM (SELECT DISTINCT lang, source FROM rows)
+  LEFT JOIN (SELECT lang, source, sum(n) AS words FROM counted GROUP BY lang, source) USING (lang, source)
+  LEFT JOIN langs USING (lang)
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (words + 5 * v) AS p,
+    1 + (1000000000::HUGEINT * (all_n + 5)) // (all_words + 5 * v) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), distances AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source
+), results AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM results
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 50
+"""

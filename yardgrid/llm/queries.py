@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardgrid.llm import bpe, common, decontamination, fingerprint, language, near_dedup, quality, secrets, sharding, substrings, token_counts, toxicity
+from yardgrid.llm import bpe, common, decontamination, divergence, fingerprint, language, near_dedup, quality, secrets, sharding, substrings, token_counts, toxicity
 from yardgrid.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +129,9 @@ def op11_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
         F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words").alias("base_failed"),
         "kept",
     )
+
+
+@query
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms of each source."""
+    return divergence.source_divergence(common.documents(spark, folder))
