@@ -77,3 +77,39 @@ WITH rows AS (
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
 FROM ranked WHERE part = 'pair' OR rank <= 50
 """
+
+ORACLES["op13_prefix_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS said
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), hashed AS (
+  SELECT c, said, xor(list_reduce(
+    flatten(list_transform(string_split(c::VARCHAR, ''), lambda t: [ord(t), -1, -1, -1, -1, -1, -1, -1, -1]))::BIGINT[],
+    lambda crc, t: CASE WHEN t >= 0 THEN xor(crc, t) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END,
+    4294967295::BIGINT), 4294967295) % 9 AS h
+  FROM turns
+), whole AS (
+  SELECT a.c, list_concat(coalesce(b.said, [])[1:a.h], a.said[a.h + 1:]) AS said
+  FROM hashed a LEFT JOIN turns b ON b.c = a.c - a.c % 5
+), prefixes AS (
+  SELECT c, d, said[1:d] AS said, len(said) AS n FROM whole, LATERAL (SELECT unnest(range(0, len(said) + 1)) AS d)
+), nodes AS (
+  SELECT d, said, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(said[d]['text']) END AS saved
+  FROM prefixes GROUP BY d, said
+), children AS (
+  SELECT d - 1 AS d, said[1:d - 1] AS said, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), full_nodes AS (
+  SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (d, said)
+), above AS (
+  SELECT up AS d, said[1:up] AS said, saved, n_children
+  FROM full_nodes, LATERAL (SELECT unnest(range(0, d + 1)) AS up)
+), sums AS (
+  SELECT d, said, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above GROUP BY d, said
+)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, s.n_leaves, s.saved_tokens, x.ends_sha256
+FROM full_nodes x JOIN sums s USING (d, said)
+LEFT JOIN nodes p ON p.d = x.d - 1 AND p.said = x.said[1:x.d - 1]
+"""

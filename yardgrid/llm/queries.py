@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yardgrid.llm import bpe, common, decontamination, divergence, fingerprint, language, near_dedup, quality, secrets, sharding, substrings, token_counts, toxicity
+from yardgrid.llm import bpe, common, decontamination, divergence, fingerprint, language, near_dedup, prefix_trie, quality, secrets, sharding, substrings, token_counts, toxicity
 from yardgrid.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +135,10 @@ def op11_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
 def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """Distances between the sources of each language, and the terms of each source."""
     return divergence.source_divergence(common.documents(spark, folder))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the trie of the rebuilt conversations."""
+    conversations = common.table(common.prepare(spark), folder, "conversations")
+    return prefix_trie.prefix_trie(conversations, prefix_trie.rebuilt)
