@@ -96,3 +96,19 @@ def test_empty_table_and_other_columns(spark):
     assert divergence.source_divergence(docs.limit(0)).count() == 0
     extra = docs.withColumns({"digest": F.lit(1), "copies": F.lit("x"), "term": F.lit(2), "n": F.lit(0), "z": F.lit(0)})
     assert divergence.source_divergence(extra).exceptAll(divergence.source_divergence(docs)).count() == 0
+
+
+def test_terms_are_those_of_the_pattern():
+    rng = random.Random(9)
+    lower = str.maketrans(divergence.UPPER, divergence.LOWER)
+    alphabet = [chr(c) for c in range(0x180)] + ["日", "\U0001f600", " ", "\x85", "\xa0"]
+    for _ in range(300):
+        text = "".join(rng.choice(alphabet) for _ in range(60))
+        wanted = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate(lower))
+        assert [t.decode() for t in divergence.terms_of(text)] == wanted
+
+
+def test_sums_of_a_task_come_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "HELD", 5)
+    docs = spark.createDataFrame(texts(), SCHEMA)
+    assert {tuple(r) for r in divergence.source_divergence(docs, 12).collect()} == dense(texts(), 12)

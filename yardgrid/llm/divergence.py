@@ -26,62 +26,101 @@ the table are not read.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yardgrid.llm.common import filled
 from yardgrid.session import settle
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# Every byte of UTF-8 text in a term as it is, A to Z in lower case, all others a space: bytes from
+# 0x80 on belong to characters beyond ASCII, and all of these are parts of terms.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TERM_BYTES = bytes(
+    b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
+)
+# Sums a task keeps before it hands them on.
+HELD = 400_000
 LEAST_DOCUMENTS = 30
 SMOOTHING = 5
 SCALE = 1_000_000_000
 TOP_TERMS = 50
 
 
-def lower_ascii(text: Column) -> Column:
-    """Only A to Z in lower case; a text of one-byte characters takes the faster way."""
-    plain = F.octet_length(text) == F.length(text)
-    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+def terms_of(text: str) -> list[bytes]:
+    """The terms of a text in order, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(TERM_BYTES).split()
+
+
+def _task_sums(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Sums by (lang, source, term) of the texts of a task, handed on in parts of bounded size.
+
+    Rows of one text are neighbours, so the text is split for the first of them only.
+    """
+    sums: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    held, last, terms = 0, None, {}
+
+    def part() -> pa.RecordBatch:
+        rows = [(lang, source, term, n, df) for (lang, source), found in sums.items() for term, (n, df) in found.items()]
+        columns = zip(*rows, strict=True)
+        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([*arrays[:2], arrays[2].cast(pa.string()), *arrays[3:]], ["lang", "source", "term", "n", "df"])
+
+    for batch in batches:
+        for lang, digest, text, source, copies in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (lang, digest) != last:
+                last, terms = (lang, digest), Counter(terms_of(text))
+            found = sums.setdefault((lang, source), {})
+            before = len(found)
+            for term, n in terms.items():
+                pair = found.get(term)
+                if pair is None:
+                    found[term] = [n * copies, copies]
+                else:
+                    pair[0] += n * copies
+                    pair[1] += copies
+            held += len(found) - before
+            if held >= most:
+                yield part()
+                sums, held = {}, 0
+    if held:
+        yield part()
 
 
 def term_counts(df: DataFrame) -> DataFrame:
     """Occurrences ``n`` of every term in every (lang, source), and the documents ``df`` with it.
 
-    Each distinct text of a language is split once and weighted with its rows in each source.
+    Each distinct text of a language is split once and weighted with its rows in each source. The
+    result is partitioned by language and term.
     """
     rows = df.select(
         filled("lang").alias("lang"), filled("source").alias("source"), filled("text").alias("text")
     ).withColumn("digest", F.unhex(F.sha2("text", 256)))
     texts = rows.groupBy("lang", "digest").agg(F.max("text").alias("text"))
     copies = rows.groupBy("lang", "digest", "source").agg(F.count(F.lit(1)).alias("copies"))
-    sorted_terms = texts.select(
-        "lang", "digest",
-        F.sort_array(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(TERM), F.lit(0))).alias("terms"),
-    )
-    # The first of equal neighbours stands for the document.
-    marked = F.transform(
-        "terms",
-        lambda t, k: F.struct(t.alias("term"), F.when(F.get("terms", k - 1) == t, 0).otherwise(1).alias("first")),
-    )
     return (
-        sorted_terms.join(copies, ["lang", "digest"])
-        .select("lang", "source", "copies", F.explode(marked).alias("t"))
-        .groupBy("lang", "source", "t.term")
-        .agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("t.first")).alias("df"))
+        texts.join(copies, ["lang", "digest"])
+        .select("lang", "digest", "text", "source", "copies")
+        .mapInArrow(partial(_task_sums, most=HELD), "lang string, source string, term string, n bigint, df bigint")
+        .repartition("lang", "term")
+        .groupBy("lang", "source", "term")
+        .agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     )
 
 
 def kept_terms(counts: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """The counts of terms that enough documents of the language have; ``all_n`` is its total."""
-    kept = (
-        counts.groupBy("lang", "term")
-        .agg(F.sum("df").alias("df"), F.sum("n").alias("all_n"))
-        .filter(F.col("df") >= least)
-        .drop("df")
-    )
-    return counts.drop("df").join(kept, ["lang", "term"])
+    """The counts of terms that enough documents of the language have; ``all_n`` is its total.
+
+    A term has one row per source, and they are together already.
+    """
+    term = Window.partitionBy("lang", "term")
+    summed = counts.withColumns({"all_df": F.sum("df").over(term), "all_n": F.sum("n").over(term)})
+    return summed.filter(F.col("all_df") >= least).select("lang", "source", "term", "n", "all_n")
 
 
 def share(n: str, words: str, terms: str) -> Column:
