@@ -1,13 +1,21 @@
-"""Stage tables: Parquet directories partitioned by week and range of games."""
+"""Stage tables: Parquet directories partitioned by week and range of games, with an index of their parts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from yardgrid.functions.nulls import join_alike
+from yardgrid.session import settle
+
 PARTS = ("week", "bucket")
+SNAPSHOTS = "_snapshots"
+INDEX = (
+    "version string, week int, bucket int, file string, game bigint, rows bigint, first_play bigint, last_play bigint"
+)
 
 
 def game_buckets(games: DataFrame, n: int = 4) -> DataFrame:
@@ -35,47 +43,154 @@ def partition_by_game(df: DataFrame, game: str = "game", n: int = 4) -> DataFram
     return df.join(buckets, ["week", game])
 
 
-def _folders(spark: SparkSession, path: str, weeks: Iterable[int] | None) -> dict[str, set[str]]:
-    """The partition folders of some weeks (of all without) and the files in each."""
+def _hadoop(spark: SparkSession, path: str):
+    """The path and its file system, whatever store it is in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _snapshots(spark: SparkSession, root: str, stage: str) -> list[int]:
+    """The numbers of the published snapshots, ascending."""
+    place, system = _hadoop(spark, f"{root}/{stage}/{SNAPSHOTS}")
+    if not system.exists(place):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(place)]
+    return sorted(int(name) for name in names if name.isdigit())
+
+
+def part_index(spark: SparkSession, root: str, stage: str, snapshot: int | None = None) -> DataFrame:
+    """What a snapshot of a stage holds, the last one by default: a row per file and game.
+
+    ``version``, ``week`` and ``bucket`` name the folder; ``rows``, ``first_play`` and ``last_play``
+    tell what the file has of the ``game``.
+    """
+    numbers = _snapshots(spark, root, stage)
+    if not numbers:
+        raise FileNotFoundError(f"stage {stage} in {root} has no snapshot")
+    number = numbers[-1] if snapshot is None else snapshot
+    return spark.read.schema(INDEX).parquet(f"{root}/{stage}/{SNAPSHOTS}/{number}")
+
+
+def _described(spark: SparkSession, folder: str, version: str, parts: Sequence[str]) -> DataFrame:
+    """The index rows of the files of one version, from their narrow columns."""
+    files = spark.read.parquet(folder)
+    names = {c.lower(): c for c in files.columns}
+
+    def column(*choices: str, kind: str) -> Column:
+        found = next((names[c.lower()] for c in choices if c.lower() in names), None)
+        return (F.col(found) if found else F.lit(None)).cast(kind)
+
+    return (
+        files.select(
+            F.lit(version).alias("version"),
+            column("week", kind="int").alias("week"),
+            column("bucket", kind="int").alias("bucket"),
+            F.col("_metadata.file_path").alias("file"),
+            column("game", "gameId", kind="bigint").alias("game"),
+            column("play", "playId", kind="bigint").alias("play"),
+        )
+        .groupBy("version", "week", "bucket", "file", "game")
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("play").alias("first_play"), F.max("play").alias("last_play"))
+    )
+
+
+def _publish(spark: SparkSession, index: DataFrame, root: str, stage: str, number: int) -> None:
+    """Make a snapshot visible by one rename, which fails where the number is taken already."""
+    folder = f"{root}/{stage}/{SNAPSHOTS}"
+    draft = f"{folder}/draft-{uuid.uuid4().hex}"
+    index.coalesce(1).write.parquet(draft)
     hadoop = spark._jvm.org.apache.hadoop.fs
-    names = ["*"] if weeks is None else [str(int(week)) for week in weeks]
-    found: dict[str, set[str]] = {}
-    for name in names:
-        pattern = hadoop.Path(f"{path}/week={name}/bucket=*/*.parquet")
-        system = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-        for status in system.globStatus(pattern) or []:
-            found.setdefault(status.getPath().getParent().toString(), set()).add(status.getPath().getName())
-    return found
+    source, target = hadoop.Path(draft), hadoop.Path(f"{folder}/{number}")
+    system = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    context = hadoop.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
+    plain = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    context.rename(source, target, plain)
 
 
 def write_stage(
     df: DataFrame, root: str, stage: str, rebalance: bool = False, rows_per_file: int = 5_000_000,
     weeks: Iterable[int] | None = (),
 ) -> None:
-    """Write a stage; the partitions present in ``df`` are replaced.
+    """Write a stage; the partitions present in ``df`` are replaced, as one step.
+
+    The rows go to a folder of their own version. Then a new snapshot is published: an index of the
+    files that make up the stage, in which the new partitions take the place of the old ones. A
+    reader uses one snapshot, so it sees the stage before or after the step and never a mixture,
+    also when the run stops anywhere in between, and of two runs at the same time the second one
+    fails. Of the given ``weeks`` (of all for None) partitions that got no rows this time leave the
+    stage, so a second run over a week replaces the whole week and keeps the others. Files of older
+    snapshots stay for their readers until :func:`drop_snapshots`.
 
-    Of the given ``weeks`` (of all for None) partitions that got no rows this time are removed
-    afterwards, so a second run over a week replaces the whole week and leaves the others alone.
-    Narrow tables may be
-    rebalanced first: few files per partition, with partitions that hold most rows cut into
-    several. Cell tables are written from the tasks that made them.
+    Narrow tables may be rebalanced first: few files per partition, in the order of games, plays
+    and frames, with partitions that hold most rows cut into several. Cell tables are written from
+    the tasks that made them.
     """
+    spark = df.sparkSession
     parts = [name for name in PARTS if name in df.columns]
-    placed = df.hint("rebalance", *parts) if rebalance and parts else df
-    spark, path = df.sparkSession, f"{root}/{stage}"
-    before = _folders(spark, path, weeks)
-    (
-        placed.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", rows_per_file)
-        .partitionBy(*parts)
-        .parquet(path)
-    )
-    now = _folders(spark, path, weeks)
-    for folder, files in before.items():
-        if files & now.get(folder, set()):  # not written anew
-            stale = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            stale.getFileSystem(spark._jsc.hadoopConfiguration()).delete(stale, True)
+    number = (_snapshots(spark, root, stage) or [0])[-1] + 1
+    version = f"{number}-{uuid.uuid4().hex}"
+    folder = f"{root}/{stage}/version={version}"
+    placed = df
+    if rebalance and parts:
+        order = [c for c in ("game", "gameId", "play", "playId", "frame", "frameId") if c in df.columns]
+        placed = df.hint("rebalance", *parts).sortWithinPartitions(*parts, *order)
+    placed.write.option("maxRecordsPerFile", rows_per_file).partitionBy(*parts).parquet(folder)
+    index = settle(_described(spark, folder, version, parts)) if _holds_files(spark, folder) else spark.createDataFrame([], INDEX)
+    if number > 1:
+        old = part_index(spark, root, stage, number - 1)
+        gone = F.lit(True) if weeks is None or not parts else F.col("week").isin([int(w) for w in weeks])
+        places = index.select("week", "bucket").distinct()
+        kept = old.filter(~F.coalesce(gone, F.lit(False)))
+        index = join_alike(kept, places.withColumn("new", F.lit(True)), ["week", "bucket"], "left").filter(
+            "new is null"
+        ).select(*index.columns).unionByName(index)
+    _publish(spark, index, root, stage, number)
+
+
+def _holds_files(spark: SparkSession, folder: str) -> bool:
+    """Whether a written table has a data file; a partitioned table without rows has none."""
+    place, system = _hadoop(spark, folder)
+    files = system.listFiles(place, True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(".parquet"):
+            return True
+    return False
+
+
+def drop_snapshots(spark: SparkSession, root: str, stage: str, keep: int = 1) -> None:
+    """Remove all but the last ``keep`` snapshots and the files that only they hold.
+
+    For times when no older snapshot is being read and no run is writing.
+    """
+    numbers = _snapshots(spark, root, stage)
+    gone = numbers[: max(0, len(numbers) - max(1, keep))]
+    wanted: set[str] = set()
+    for number in numbers[len(gone):]:  # one row per part, not per file
+        rows = part_index(spark, root, stage, number).select("version", "week", "bucket").distinct().collect()
+        wanted |= {_part_folder(root, stage, *row) for row in rows}
+    for number in gone:
+        rows = part_index(spark, root, stage, number).select("version", "week", "bucket").distinct().collect()
+        for folder in {_part_folder(root, stage, *row) for row in rows} - wanted:
+            place, system = _hadoop(spark, folder)
+            system.delete(place, True)
+        place, system = _hadoop(spark, f"{root}/{stage}/{SNAPSHOTS}/{number}")
+        system.delete(place, True)
+
+
+def _part_folder(root: str, stage: str, version: str, week: int | None, bucket: int | None) -> str:
+    path = f"{root}/{stage}/version={version}"
+    if week is not None:
+        path += f"/week={week}"
+    return path if bucket is None else f"{path}/bucket={bucket}"
+
+
+def _stored(spark: SparkSession, root: str, stage: str, snapshot: int | None) -> DataFrame:
+    """The rows of a snapshot with their ``version``; only its folders are listed."""
+    parts = part_index(spark, root, stage, snapshot).select("version", "week", "bucket").distinct().collect()
+    folders = [_part_folder(root, stage, *row) for row in parts]
+    if not folders:
+        raise FileNotFoundError(f"stage {stage} in {root} holds no rows")
+    return spark.read.option("basePath", f"{root}/{stage}").parquet(*sorted(folders))
 
 
 def read_stage(
@@ -85,11 +200,67 @@ def read_stage(
     weeks: Iterable[int] | None = None,
     games: DataFrame | None = None,
     game: str = "game",
+    snapshot: int | None = None,
 ) -> DataFrame:
-    """Read a stage, optionally some weeks (partition pruning) or the games of another table."""
-    df = spark.read.parquet(f"{root}/{stage}")
+    """Read a stage, optionally some weeks (partition pruning) or the games of another table.
+
+    The last snapshot is read unless an older one is named.
+    """
+    df = _stored(spark, root, stage, snapshot).drop("version")
     if weeks is not None:
         df = df.filter(F.col("week").isin(list(weeks)))
     if games is not None:
         df = df.join(games.select(game).distinct(), game, "left_semi")
     return df
+
+
+def stage_lookup(
+    spark: SparkSession, root: str, stage: str, wanted: DataFrame, snapshot: int | None = None
+) -> DataFrame:
+    """The rows of some games, plays or frames of a stage, from the folders that hold them.
+
+    ``wanted`` has the key columns of the stage that count: the game, perhaps the play, perhaps the
+    frame. The index says which parts have such plays; the stage is joined to these parts on its
+    partition columns, so Spark prunes its folders while the query runs.
+    """
+    df = _stored(spark, root, stage, snapshot)
+    keys = [c for c in df.columns if c in wanted.columns]
+    game = next(c for c in keys if c in ("game", "gameId"))
+    play = next((c for c in keys if c in ("play", "playId")), None)
+    plays = wanted.select(F.col(game).cast("bigint").alias("game"), *([F.col(play).alias("_play")] if play else [])).distinct()
+    # The comparison also tells Spark that the parts are a selection, for which pruning pays.
+    index = part_index(spark, root, stage, snapshot).filter("rows > 0")
+    match = index.join(plays, "game")
+    if play:
+        match = match.filter(F.col("_play").between(F.col("first_play"), F.col("last_play")))
+    parts = [c for c in ("version", *PARTS) if c in df.columns]
+    held = match.select(*parts).distinct()
+    pruned = df.join(held, parts, "left_semi")
+    found = pruned.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    return found.select(*[c for c in df.columns if c != "version"])
+
+
+def stored_slice(
+    spark: SparkSession, root: str, stage: str, game: int, play: int, frame: int | None = None,
+    snapshot: int | None = None,
+) -> DataFrame:
+    """The rows of one play, or of one frame of it, of a stored stage.
+
+    Only the part of the game is opened; inside it the values are compared with the statistics of
+    the files.
+    """
+    df = _stored(spark, root, stage, snapshot)
+    names = [next(c for c in pair if c in df.columns) for pair in (("game", "gameId"), ("play", "playId"))]
+    if frame is not None:
+        names.append("frame" if "frame" in df.columns else "frameId")
+    condition = F.lit(True)
+    for name, value in zip(names, (game, play, frame), strict=False):
+        condition &= F.col(name) == int(value)
+    parts = [c for c in ("version", *PARTS) if c in df.columns]
+    held = (
+        part_index(spark, root, stage, snapshot)
+        .filter((F.col("game") == int(game)) & F.lit(int(play)).between(F.col("first_play"), F.col("last_play")))
+        .select(*parts).distinct()
+    )
+    found = df.filter(condition).join(held, parts, "left_semi")
+    return found.select(*[c for c in df.columns if c != "version"])
