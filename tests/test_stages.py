@@ -119,3 +119,47 @@ def test_weeks_that_get_no_rows_and_tables_without_parts(spark, stored):
     assert stages.read_stage(spark, stored, "plain").count() == 5
     with pytest.raises(FileNotFoundError):
         stages.read_stage(spark, stored, "never written")
+
+
+def cells_under_exchange(plan, marks):
+    """Scans of the marked stages, and whether an exchange lies above them."""
+    plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.getClass().getName() else plan
+    todo, found = [(plan, False)], []
+    while todo:
+        node, under = todo.pop()
+        name, text = node.getClass().getSimpleName(), node.simpleString(1000)
+        if "FileSourceScan" in name and any(mark in text for mark in marks):
+            found.append(under)
+        children = node.children()
+        todo += [(children.apply(i), under or "Exchange" in name) for i in range(children.size())]
+    return found
+
+
+def test_cells_stored_by_frame_are_joined_where_they_lie(spark, tmp_path):
+    from yardgrid.operators import quality
+
+    root, buckets = str(tmp_path), 5
+    cells = rows(spark).select("week", "game", "play", "frame", F.lit(3).alias("x"), F.lit(4).alias("y"), "v")
+    control = cells.withColumnRenamed("v", "PC")
+    for week in (1, 2):  # two runs, so every stage has two versions
+        stages.write_by_frame(control.filter(f"week = {week}"), root, "control", buckets)
+        stages.write_by_frame(cells.withColumnRenamed("v", "value").filter(f"week = {week}"), root, "value", buckets)
+    stages.write_by_frame(control.filter("week = 2").withColumn("PC", F.lit(9.0)), root, "control", buckets)
+    read = stages.read_by_frame(spark, root, "control")
+    assert read.count() == cells.count() and read.filter("week = 2 and PC <> 9").count() == 0
+    assert stages.read_by_frame(spark, root, "control", weeks=[1]).select("week").distinct().count() == 1
+    joined = quality.stored_control_value(
+        read.drop("week"), stages.read_by_frame(spark, root, "value").drop("week"), stages.part_index(spark, root, "control")
+    )
+    sums = joined.groupBy("game", "play", "frame").agg(F.sum("value"))
+    found = cells_under_exchange(sums._jdf.queryExecution().executedPlan(), ["default.by_frame_"])
+    assert len(found) == 2 and not any(found)
+    assert sums.count() == cells.select("game", "play", "frame").distinct().count()
+    # Another session knows nothing of the tables yet.
+    number = stages._snapshots(spark, root, "value")[-1]
+    spark.sql(f"DROP TABLE {stages._table_name(f'{root}/value/{number}')}")
+    assert stages.read_by_frame(spark.newSession(), root, "value").count() == cells.count()
+    stages.write_by_frame(control.filter("week = 1"), root, "control", 7)
+    with pytest.raises(ValueError, match="buckets"):
+        stages.read_by_frame(spark, root, "control")
+    assert stages.read_by_frame(spark, root, "control", snapshot=3).count() == cells.count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yardgrid.functions.geometry import REACH, add_foci, in_ellipse
+from yardgrid.functions.geometry import REACH, REACH_X, add_foci, in_ellipse
 from yardgrid.functions.nulls import strict, surely
 from yardgrid.operators.clean import PLAYER_PLAY
 from yardgrid.operators.influence import CELL, CELL_FRAME
@@ -37,21 +37,29 @@ def tackler_ellipses(tackle_frames: DataFrame, reach: float = 5) -> DataFrame:
     )
 
 
-def stored_control_value(control: DataFrame, value: DataFrame) -> DataFrame:
-    """Value cells of the games at hand with their control, from the stored tables."""
-    games = control.select("game").distinct()
+def stored_control_value(control: DataFrame, value: DataFrame, games: DataFrame | None = None) -> DataFrame:
+    """Value cells of the games at hand with their control, from the stored tables.
+
+    Tables that are bucketed by frame alike are joined where they lie. ``games`` lists the games of
+    the control table where they are known (the index of a stage has them); without it they are
+    found by a pass over its cells.
+    """
+    games = (control if games is None else games).select("game").distinct()
     # Both sides are cells, whose size Spark may underestimate: no broadcast.
     return value.join(games, "game", "left_semi").join(control.hint("merge"), CELL, "left")
 
 
-def quality_summary(cells: DataFrame, ellipses: DataFrame, k: int = REACH) -> DataFrame:
+def quality_summary(
+    cells: DataFrame, ellipses: DataFrame, k: int = REACH, partitions: int | None = None
+) -> DataFrame:
     """Sum, mean, median and maximum of ``PC * value`` per frame and tackler.
 
     A missing control makes the summary missing. ``cells`` that are already partitioned by frame
     (see ``control_value``) stay where they are: only the ellipses travel, copies of one ellipse as
-    a single row with its count.
+    a single row with its count. ``partitions`` is the number of the cells' partitions, where it is
+    not that of the session.
     """
-    partitions = fan_out(cells.sparkSession)
+    partitions = partitions or fan_out(cells.sparkSession)
     counted = ellipses.groupBy(*ellipses.columns).agg(F.count(F.lit(1)).alias("copies"))
     # The build side is named: Spark's estimate of spread cells misses their growth and could
     # have it broadcast them.
@@ -69,6 +77,116 @@ def quality_summary(cells: DataFrame, ellipses: DataFrame, k: int = REACH) -> Da
     )
 
 
+# Distance by which analytic ends are widened before the exact test decides, in yards.
+_SLACK = 1e-6
+
+
+def ellipse_strips(ellipses: DataFrame, k: float = REACH) -> DataFrame:
+    """One row per ellipse and field column ``x`` it reaches, with its first and last yard in y.
+
+    The ellipse is the set of points whose distances to the foci add up to ``k`` times the long
+    scale; its half axes along and across the line of the foci follow from that, and with them the
+    columns and the chord in each. Chords are widened a little and their end yards tested exactly.
+    """
+
+    def add(df: DataFrame, **columns: str) -> DataFrame:
+        return df.withColumns({f"_{name}": F.expr(text) for name, text in columns.items()})
+
+    def tested(y: str) -> str:
+        near = f"sqrt(pow(x - f1_1, 2) + pow({y} - f1_2, 2)) + sqrt(pow(x - f2_1, 2) + pow({y} - f2_2, 2))"
+        return f"{near} <= _reach"
+
+    shaped = add(
+        ellipses, reach=f"{float(k)}D * greatest(scal_x, scal_y)", cx="(f1_1 + f2_1) / 2", cy="(f1_2 + f2_2) / 2",
+        c="sqrt(pow(f2_1 - f1_1, 2) + pow(f2_2 - f1_2, 2)) / 2",
+    ).filter("scal_x is not null and scal_y is not null and _c < _reach / 2")
+    axes = add(
+        shaped, aa="_reach * _reach / 4", bb="_reach * _reach / 4 - _c * _c",
+        ux="CASE WHEN _c > 0 THEN (f2_1 - f1_1) / (2 * _c) ELSE 1D END",
+        uy="CASE WHEN _c > 0 THEN (f2_2 - f1_2) / (2 * _c) ELSE 0D END",
+    )
+    spans = add(
+        axes, half=f"sqrt(_aa * _ux * _ux + _bb * _uy * _uy) + {_SLACK}D", q2="_uy * _uy / _aa + _ux * _ux / _bb",
+        q1="_ux * _uy * (1 / _aa - 1 / _bb)",
+    )
+    bounds = add(
+        spans, lo=f"int(greatest(ceil(_cx - _half), {REACH_X[0]}))", hi=f"int(least(floor(_cx + _half), {REACH_X[1]}))"
+    )
+    columns = bounds.withColumn("x", F.explode(F.expr("CASE WHEN _lo <= _hi THEN sequence(_lo, _hi) END")))
+    chords = add(
+        columns, root="sqrt(greatest(_q2 - pow(x - _cx, 2) / (_aa * _bb), 0D))", middle="_cy - (x - _cx) * _q1 / _q2"
+    )
+    margin = f"_root / _q2 + {_SLACK}D + CASE WHEN _root < 1e-3D THEN 0.1D ELSE 0D END"
+    ends = add(chords, first=f"int(ceil(_middle - ({margin})))", last=f"int(floor(_middle + ({margin})))")
+    cut = ends.withColumns({
+        "y_from": F.expr(f"CASE WHEN {tested('_first')} THEN _first ELSE _first + 1 END"),
+        "y_to": F.expr(f"CASE WHEN {tested('_last')} THEN _last ELSE _last - 1 END"),
+    })
+    return cut.filter("y_from <= y_to").select(*ellipses.columns, "x", "y_from", "y_to")
+
+
+def _product_lanes(cells: DataFrame) -> DataFrame:
+    """Per frame and column the cells in order of y: ``ys`` and their products ``qs``. Cells stay in
+    the task that holds their frame."""
+    product = F.struct("y", (F.col("PC") * F.col("value")).alias("q"))
+    columns = cells.groupBy(*CELL_FRAME, "x").agg(F.sort_array(F.collect_list(product)).alias("_cells"))
+    return columns.select(*CELL_FRAME, "x", F.col("_cells")["y"].alias("ys"), F.col("_cells")["q"].alias("qs"))
+
+
+def quality_by_strips(cells: DataFrame, ellipses: DataFrame, k: float = REACH) -> DataFrame:
+    """The result of :func:`quality_summary`, with ellipses joined column by column.
+
+    An ellipse meets one row for each field column it reaches, not every cell of its frame; the
+    cells inside it are a slice of that row. Both sides are brought together by frame before they
+    grow: cells where they are, ellipses as narrow rows.
+    """
+    partitions = fan_out(cells.sparkSession)
+    counted = ellipses.groupBy(*ellipses.columns).agg(F.count(F.lit(1)).alias("copies"))
+    strips = ellipse_strips(counted.repartition(partitions, *CELL_FRAME), k)
+    met = _product_lanes(cells).join(strips.hint("shuffle_hash"), [*CELL_FRAME, "x"])
+    # Cells of the column before the chord and up to its end; columns without holes need no search.
+    whole = "size(ys) = element_at(ys, -1) - ys[0] + 1"
+    placed = met.withColumns({
+        "_i": F.expr(f"if({whole}, least(greatest(y_from - ys[0], 0), size(ys)), size(filter(ys, y -> y < y_from)))"),
+        "_j": F.expr(f"if({whole}, greatest(least(y_to - ys[0] + 1, size(ys)), 0), size(filter(ys, y -> y <= y_to)))"),
+    }).filter("_j > _i")
+    grouped = (
+        placed.select(
+            *CELL_FRAME, "tackler", "min_dist", "distance",
+            F.struct("copies", F.expr("slice(qs, _i + 1, _j - _i)").alias("qs")).alias("_slice"),
+        )
+        .groupBy(*CELL_FRAME, "tackler")
+        .agg(
+            F.collect_list("_slice").alias("_slices"), F.max("min_dist").alias("min_dist"), F.max("distance").alias("distance"),
+        )
+        .withColumn("_qs", F.sort_array(F.flatten(F.col("_slices")["qs"])))
+        # Where all ellipses of a tackler occur equally often, their number changes no quantile or mean.
+        .withColumn("_even", F.expr("array_min(_slices.copies) = array_max(_slices.copies)"))
+        .withColumn("_weighted", F.expr("""if(_even, null, array_sort(flatten(
+            transform(_slices, s -> transform(s.qs, q -> struct(q, s.copies as copies))))))"""))
+        .withColumn("_n", F.expr("if(_even, size(_qs), aggregate(_weighted, 0L, (n, e) -> n + e.copies))"))
+    )
+    # The middle of products that count differently: one pass in their order.
+    middle = """aggregate(_weighted, named_struct('seen', 0L, 'lo', cast(null as double), 'hi', cast(null as double)),
+        (s, e) -> named_struct('seen', s.seen + e.copies,
+          'lo', if(s.lo is null and s.seen + e.copies > (_n - 1) div 2, e.q, s.lo),
+          'hi', if(s.hi is null and s.seen + e.copies > _n div 2, e.q, s.hi)),
+        s -> (s.lo + s.hi) / 2)"""
+    results = {
+        "sum_quality": """if(_even, aggregate(_qs, 0D, (a, q) -> a + q) * _slices[0].copies,
+            aggregate(_weighted, 0D, (a, e) -> a + e.q * e.copies))""",
+        "mean_quality": "if(_even, aggregate(_qs, 0D, (a, q) -> a + q), aggregate(_weighted, 0D, (a, e) -> a + e.q * e.copies)) / _n",
+        "median_quality": f"if(_even, (_qs[int((_n - 1) div 2)] + _qs[int(_n div 2)]) / 2, {middle})",
+        "max_quality": "element_at(_qs, -1)",
+    }
+    # Missing products come first in the order; one makes the summary missing.
+    return grouped.select(
+        *CELL_FRAME, "tackler",
+        *[F.when(F.expr("_qs[0] is not null"), F.expr(text)).alias(name) for name, text in results.items()],
+        "min_dist", "distance",
+    )
+
+
 def frame_tackle_prob(cells: DataFrame, ellipses: DataFrame, k: int = 4) -> DataFrame:
     """Control times value added up per frame and tackler inside the smaller ellipse."""
     placed = ellipses.hint("shuffle_hash")

@@ -22,7 +22,7 @@ from yardgrid.operators import play_view as views
 from yardgrid.operators import quality as qualities
 from yardgrid.operators import tackles as tackling
 from yardgrid.plans.adapter import Season
-from yardgrid.session import configure, settle, shared_folder
+from yardgrid.session import configure, fan_out, settle, shared_folder
 from yardgrid.sources import signal, stages, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -428,6 +428,33 @@ def quality_stored(s: Season) -> DataFrame:
     return qualities.quality_summary(cells, qualities.tackler_ellipses(followed))
 
 
+@query("quality_by_frame")
+def quality_by_frame(s: Season) -> DataFrame:
+    """Quality from control and value tables that are stored by frame."""
+    root = f"{shared_folder(s.spark)}/cells-{uuid.uuid4().hex}"
+    clean = _stored(s)
+    frames = _frames(s, clean)
+    stages.write_by_frame(controls.control_surface(controls.without_carrier(frames)), root, "pitch_control")
+    carried = frames.repartition(fan_out(s.spark), *FRAME)
+    stages.write_by_frame(controls.value_surface(carried), root, "value_map")
+    cells = qualities.stored_control_value(
+        stages.read_by_frame(s.spark, root, "pitch_control"), stages.read_by_frame(s.spark, root, "value_map"),
+        stages.part_index(s.spark, root, "pitch_control"),
+    )
+    followed = tackling.tackle_frames(clean, s.plays, s.tackles)
+    return qualities.quality_summary(cells, qualities.tackler_ellipses(followed))
+
+
+@query("quality_strips")
+def quality_strips(s: Season) -> DataFrame:
+    """Quality with ellipses joined by field columns."""
+    clean = _stored(s)
+    followed = tackling.tackle_frames(clean, s.plays, s.tackles)
+    return qualities.quality_by_strips(
+        controls.control_value(_frames(s, clean)), qualities.tackler_ellipses(followed)
+    )
+
+
 @query("frame_tackle_prob")
 def frame_tackle_prob(s: Season) -> DataFrame:
     """Control times value in the smaller ellipse."""
@@ -673,6 +700,34 @@ def stage_files(s: Season) -> DataFrame:
     )
 
 
+@query("play_lookup")
+def play_lookup(s: Season) -> DataFrame:
+    """Cleaned frames of the plays that end in a touchdown, looked up in a stored stage."""
+    root = f"{shared_folder(s.spark)}/stages-{uuid.uuid4().hex}"
+    rows = stages.partition_by_game(_clean(s), "gameId")
+    stages.write_stage(rows, root, "clean", rebalance=True)
+    wanted = s.tracking.filter("event = 'touchdown'").select("gameId", "playId").distinct()
+    return stages.stage_lookup(s.spark, root, "clean", wanted).groupBy("gameId", "playId").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("frameId").alias("frames"), F.sum("x").alias("x")
+    )
+
+
+@query("replaced_week")
+def replaced_week(s: Season) -> DataFrame:
+    """A stage whose second week is written again without its fast rows, read from both snapshots."""
+    root = f"{shared_folder(s.spark)}/stages-{uuid.uuid4().hex}"
+    rows = stages.partition_by_game(s.tracking, "gameId")
+    stages.write_stage(rows, root, "tracking", rebalance=True)
+    stages.write_stage(rows.filter("week = 2 and s < 5"), root, "tracking", rebalance=True, weeks=[2])
+    both = [
+        stages.read_stage(s.spark, root, "tracking", snapshot=k).groupBy("week").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("s").alias("s")
+        ).withColumn("snapshot", F.lit(k))
+        for k in (1, 2)
+    ]
+    return both[0].unionByName(both[1])
+
+
 @query("signal_files")
 def signal_files(s: Season) -> DataFrame:
     """The export of one operator's measurements, read back."""

@@ -530,6 +530,8 @@ ORACLES["quality_summary"] = (
     f"SELECT game, play, frame, tackler, {rounded(QUALITY_VALUES)}, min_dist, {r('distance')} AS distance FROM quality"
 )
 ORACLES["quality_stored"] = ORACLES["quality_summary"]
+ORACLES["quality_by_frame"] = ORACLES["quality_summary"]
+ORACLES["quality_strips"] = ORACLES["quality_summary"]
 ORACLES["quality_all_players"] = (
     f"SELECT game, play, frame, tackler, {rounded(QUALITY_VALUES)}, min_dist, {r('distance')} AS distance FROM all_quality"
 )
@@ -683,6 +685,16 @@ SELECT week, count(*) AS n, count(DISTINCT gameId) AS games, {r('sum(x)')} AS x
 ORACLES["stage_files"] = f"""
 SELECT t.week, b.bucket, count(*) AS n, count(DISTINCT t.gameId) AS games, {r('sum(t.x)')} AS x
 FROM tracking t JOIN ({ORACLES["game_buckets"]}) b ON b.game = t.gameId AND b.week = t.week GROUP BY t.week, b.bucket"""
+ORACLES["play_lookup"] = f"""
+SELECT c.gameId, c.playId, count(*) AS n, count(DISTINCT c.frameId) AS frames, {r('sum(c.x)')} AS x
+FROM clean c JOIN (SELECT DISTINCT gameId, playId FROM tracking WHERE event = 'touchdown') w
+  ON c.gameId = w.gameId AND c.playId = w.playId
+GROUP BY c.gameId, c.playId"""
+ORACLES["replaced_week"] = f"""
+SELECT k AS snapshot, week, count(*) AS n, {r('sum(s)')} AS s
+FROM tracking, (VALUES (1), (2)) AS v(k)
+WHERE k = 1 OR week <> 2 OR s < 5
+GROUP BY k, week"""
 ORACLES["signal_files"] = f"""
 SELECT count(*) AS n, {r('sum(-value)')} AS rsrp, {r('sum(user_id % 90 * 1e0)')} AS latitude
 FROM events WHERE -value BETWEEN -121 AND -44 AND event_type = 'view'"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterable, Sequence
 
@@ -9,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from yardgrid.functions.nulls import join_alike
-from yardgrid.session import settle
+from yardgrid.session import fan_out, settle
 
 PARTS = ("week", "bucket")
+FRAME_KEYS = ("game", "play", "frame")
 SNAPSHOTS = "_snapshots"
 INDEX = (
     "version string, week int, bucket int, file string, game bigint, rows bigint, first_play bigint, last_play bigint"
@@ -71,7 +73,7 @@ def part_index(spark: SparkSession, root: str, stage: str, snapshot: int | None
     return spark.read.schema(INDEX).parquet(f"{root}/{stage}/{SNAPSHOTS}/{number}")
 
 
-def _described(spark: SparkSession, folder: str, version: str, parts: Sequence[str]) -> DataFrame:
+def _described(spark: SparkSession, folder: str, version: str) -> DataFrame:
     """The index rows of the files of one version, from their narrow columns."""
     files = spark.read.parquet(folder)
     names = {c.lower(): c for c in files.columns}
@@ -135,18 +137,87 @@ def write_stage(
         order = [c for c in ("game", "gameId", "play", "playId", "frame", "frameId") if c in df.columns]
         placed = df.hint("rebalance", *parts).sortWithinPartitions(*parts, *order)
     placed.write.option("maxRecordsPerFile", rows_per_file).partitionBy(*parts).parquet(folder)
-    index = settle(_described(spark, folder, version, parts)) if _holds_files(spark, folder) else spark.createDataFrame([], INDEX)
+    index = settle(_described(spark, folder, version)) if _holds_files(spark, folder) else spark.createDataFrame([], INDEX)
     if number > 1:
-        old = part_index(spark, root, stage, number - 1)
-        gone = F.lit(True) if weeks is None or not parts else F.col("week").isin([int(w) for w in weeks])
-        places = index.select("week", "bucket").distinct()
-        kept = old.filter(~F.coalesce(gone, F.lit(False)))
-        index = join_alike(kept, places.withColumn("new", F.lit(True)), ["week", "bucket"], "left").filter(
-            "new is null"
-        ).select(*index.columns).unionByName(index)
+        index = _replacing(spark, index, root, stage, number - 1, weeks, bool(parts))
     _publish(spark, index, root, stage, number)
 
 
+def _replacing(
+    spark: SparkSession, index: DataFrame, root: str, stage: str, last: int, weeks: Iterable[int] | None, parted: bool
+) -> DataFrame:
+    """The index of the next snapshot: the new rows, and the old ones of partitions that stay."""
+    old = part_index(spark, root, stage, last)
+    gone = F.lit(True) if weeks is None or not parted else F.col("week").isin([int(w) for w in weeks])
+    places = index.select("week", "bucket").distinct().withColumn("new", F.lit(True))
+    kept = join_alike(old.filter(~F.coalesce(gone, F.lit(False))), places, ["week", "bucket"], "left")
+    return kept.filter("new is null").select(*index.columns).unionByName(index)
+
+
+def write_by_frame(
+    df: DataFrame, root: str, stage: str, buckets: int | None = None, weeks: Iterable[int] | None = (),
+    keys: Sequence[str] = FRAME_KEYS,
+) -> None:
+    """Write a cell table bucketed and sorted by frame, published like :func:`write_stage`.
+
+    Stages with the same number of buckets (the session's shuffle partitions by default) are joined
+    and grouped by frame where they lie, without another exchange. Rows should come partitioned by
+    frame, so that a task writes one file. A table with a ``week`` replaces the weeks it has rows
+    of and the given ones.
+    """
+    spark = df.sparkSession
+    number = (_snapshots(spark, root, stage) or [0])[-1] + 1
+    version = f"{number}-{buckets or fan_out(spark)}-{uuid.uuid4().hex}"
+    folder = f"{root}/{stage}/version={version}"
+    writer = df.write.format("parquet").option("path", folder)
+    writer.bucketBy(buckets or fan_out(spark), *keys).sortBy(*keys).saveAsTable(_table_name(folder))
+    index = settle(_described(spark, folder, version)) if _holds_files(spark, folder) else spark.createDataFrame([], INDEX)
+    if number > 1:
+        index = _replacing(spark, index, root, stage, number - 1, weeks, "week" in df.columns)
+    _publish(spark, index, root, stage, number)
+
+
+def _table_name(folder: str) -> str:
+    """A catalogue name that depends on nothing but the folder."""
+    return "by_frame_" + hashlib.md5(folder.encode()).hexdigest()
+
+
+def read_by_frame(
+    spark: SparkSession, root: str, stage: str, weeks: Iterable[int] | None = None, snapshot: int | None = None,
+    keys: Sequence[str] = FRAME_KEYS,
+) -> DataFrame:
+    """Read a table of :func:`write_by_frame`; the plan knows how its rows are bucketed.
+
+    The versions that make up the snapshot are the partitions of one catalogue table, which a session
+    that has not read it yet enters first. All of them must have the same number of buckets.
+    """
+    number = _snapshots(spark, root, stage)[-1] if snapshot is None else snapshot
+    held = part_index(spark, root, stage, number).groupBy("version").agg(F.collect_set("week").alias("weeks")).collect()
+    if not held:
+        raise FileNotFoundError(f"stage {stage} in {root} holds no rows")
+    counts = {version.split("-")[1] for version, _ in held}
+    if len(counts) > 1:
+        raise ValueError(f"stage {stage} in {root} has versions of {sorted(counts)} buckets; write its weeks anew")
+    name = _table_name(f"{root}/{stage}/{number}")
+    if not spark.catalog.tableExists(name):
+        columns = spark.read.parquet(f"{root}/{stage}/version={held[0][0]}").schema.toDDL()
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}, version string) USING parquet PARTITIONED BY (version)"
+            f" CLUSTERED BY ({', '.join(keys)}) SORTED BY ({', '.join(keys)}) INTO {counts.pop()} BUCKETS"
+            f" LOCATION '{root}/{stage}'"
+        )
+        for version, _ in held:
+            spark.sql(f"ALTER TABLE {name} ADD PARTITION (version = '{version}') LOCATION '{root}/{stage}/version={version}'")
+    # A version may hold weeks that a later one has replaced.
+    own = F.lit(False)
+    for version, of_version in held:
+        own |= (F.col("version") == version) & (F.col("week").isin(of_version) if of_version else F.lit(True))
+    table = spark.table(name).filter(own)
+    if weeks is not None:
+        table = table.filter(F.col("week").isin(list(weeks)))
+    return table.drop("version")
+
+
 def _holds_files(spark: SparkSession, folder: str) -> bool:
     """Whether a written table has a data file; a partitioned table without rows has none."""
     place, system = _hadoop(spark, folder)
