@@ -21,21 +21,23 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every class of near-duplicates.
+    """One document of every class of near-duplicates, that of the smallest id.
 
-    Documents without an id cannot be compared and stay.
+    Rows are told apart by id and text; of repeated rows one stays. Documents without an id cannot
+    be compared and stay.
     """
     common.prepare(spark)
-    classes = near_dedup.near_duplicates(docs)
-    removed = classes.filter("doc_id <> class_id").select("doc_id")
-    return docs.join(removed, "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.keep_representatives(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; the text alone decides, whatever the id."""
     common.prepare(spark)
-    found = decontamination.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    key = common.fresh(docs, "_text_key")
+    keyed = docs.withColumn(key, F.xxhash64(common.filled("text")))
+    found = decontamination.contaminated(keyed, common.table(spark, sf_dir, "benchmark"), key=key)
+    leaks = found.select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(leaks, key, "left_anti").select(*docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

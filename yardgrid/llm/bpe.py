@@ -225,7 +225,7 @@ _BLOCKS = (
 class Known:
     """Words that were folded before: their numbers, and their ids one after the other."""
 
-    words: dict[str, int]
+    words: pa.Array  # one buffer, so that it is sent to tasks without an object for each word
     offsets: np.ndarray
     ids: np.ndarray
 
@@ -283,9 +283,10 @@ _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u024f\u2013\u2014\u2018-\u201d\u2026\u20ac]")
 
 
-def _split(path: str, pattern: str, known: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _split(path: str, pattern: str, known: pa.Array) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, words_in = load_ranks(path), splitter(pattern)
+        numbers = {w: i for i, w in enumerate(known.to_pylist())}
 
         def block() -> pa.RecordBatch:
             long = np.array([i for ids in codes.long for i in ids], np.int32)
@@ -297,7 +298,7 @@ def _split(path: str, pattern: str, known: dict[str, int]) -> Callable[[Iterator
             ]
             return pa.RecordBatch.from_arrays(columns, ["keys", "sizes", "codes", "words", "long"])
 
-        codes, keys, sizes, parts, seen = _Codes(ranks, known), [], [], [], 0
+        codes, keys, sizes, parts, seen = _Codes(ranks, numbers), [], [], [], 0
         for batch in batches:
             for key, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 part = np.fromiter(map(codes.__getitem__, words_in(text)), np.int32)
@@ -307,7 +308,7 @@ def _split(path: str, pattern: str, known: dict[str, int]) -> Callable[[Iterator
                 seen += len(text)
                 if seen >= BLOCK_CHARACTERS or len(codes.words) >= BLOCK_WORDS:
                     yield block()
-                    codes, keys, sizes, parts, seen = _Codes(ranks, known), [], [], [], 0
+                    codes, keys, sizes, parts, seen = _Codes(ranks, numbers), [], [], [], 0
         if keys:
             yield block()
 
@@ -411,12 +412,11 @@ def known_words(texts: DataFrame, path: str, pattern: str) -> Known:
     )
     found = frequent.select("word", fold_word(F.col("tokens"), path).alias("ids")).toArrow()
     if not found.num_rows:
-        return Known({}, np.zeros(1, np.int64), np.zeros(0, np.int32))
+        return Known(pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.int32))
     ids = found["ids"].combine_chunks()
     counts = ids.value_lengths().to_numpy(zero_copy_only=False)
-    words = {w: i for i, w in enumerate(found["word"].to_pylist())}
     flat = ids.flatten().to_numpy(zero_copy_only=False)
-    return Known(words, np.concatenate([[0], np.cumsum(counts)]), flat)
+    return Known(found["word"].combine_chunks(), np.concatenate([[0], np.cumsum(counts)]), flat)
 
 
 def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

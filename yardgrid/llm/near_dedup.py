@@ -16,6 +16,7 @@ of its shingle counts. Classes are the connected components of the verified link
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from yardgrid.llm.common import struct_udf, value_udf
+from yardgrid.llm.common import fresh, struct_udf, value_udf
 from yardgrid.llm.components import components
 from yardgrid.llm.shingles import (
     WordHashes,
@@ -127,12 +128,27 @@ def _comparing(weights: np.ndarray) -> Callable[[], Callable[[dict], float]]:
     return make
 
 
-def _measure(pairs: DataFrame, texts: DataFrame, weights: np.ndarray) -> DataFrame:
+@dataclass(frozen=True)
+class Texts:
+    """Where the text of a node is: ``names`` has (id, doc_id, digest) of one row for each different
+    text, ``rows`` has (doc_id, digest, text) of the documents."""
+
+    names: DataFrame
+    rows: DataFrame
+
+    def attach(self, df: DataFrame, node: str, out: str) -> DataFrame:
+        """``df`` with the text of a node; only the nodes of ``df`` are named before texts move."""
+        doc, digest = f"_{out}_doc", f"_{out}_digest"
+        names = self.names.select(F.col("id").alias(node), F.col("doc_id").alias(doc), F.col("digest").alias(digest))
+        rows = self.rows.select(F.col("doc_id").alias(doc), F.col("digest").alias(digest), F.col("text").alias(out))
+        return df.join(names, node).join(rows, [doc, digest]).drop(doc, digest)
+
+
+def _measure(pairs: DataFrame, texts: Texts, weights: np.ndarray) -> DataFrame:
     """The similarity of each pair (a, b)."""
     compare = value_udf("double", _comparing(weights))
-    x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", compare(F.struct("x", "y")).alias("similarity"))
+    both = texts.attach(texts.attach(pairs, "b", "y"), "a", "x")
+    return both.select("a", "b", compare(F.struct("x", "y")).alias("similarity"))
 
 
 def _plausible(x: str, y: str, similarity: float) -> Column:
@@ -159,7 +175,7 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 
 def _large_buckets(
-    members: DataFrame, like: DataFrame, texts: DataFrame, weights: np.ndarray, similarity: float
+    members: DataFrame, like: DataFrame, texts: Texts, weights: np.ndarray, similarity: float
 ) -> DataFrame:
     """Links between the components that share a large bucket.
 
@@ -198,9 +214,9 @@ def _large_buckets(
         )
     )
     dealt = placed.join(mixed, ["band", "key"]).withColumn("task", F.explode(tasks))
-    full = dealt.select(
-        "band", "key", "task.p", "task.q", "id", "label", "bands", "sketch", "weight",
-    ).join(texts, "id")
+    full = texts.attach(
+        dealt.select("band", "key", "task.p", "task.q", "id", "label", "bands", "sketch", "weight"), "id", "text"
+    )
     compare = _block_links(weights, similarity)
     return full.groupBy("band", "key", "p", "q").applyInArrow(compare, "a bigint, b bigint, similarity double")
 
@@ -249,12 +265,11 @@ def _block_links(weights: np.ndarray, similarity: float) -> Callable[[pa.Table],
 
 
 def links(
-    texts: DataFrame, signed: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY
+    texts: Texts, signed: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY
 ) -> DataFrame:
     """Verified pairs (a, b, similarity) of different texts that connect all that is alike.
 
-    ``texts`` has ``id`` and ``text``, one row per different text; ``signed`` has ``id`` and the
-    columns of a signature.
+    ``signed`` has ``id``, one for each different text, and the columns of a signature.
     """
     rows = signed.select("id", F.posexplode("bands").alias("band", "key"), *FIELDS)
     full = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
@@ -283,13 +298,15 @@ def links(
 def near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY
 ) -> DataFrame:
-    """Each row's key with ``class_id`` and ``copy_of``.
+    """Each row's key with ``class_id`` and ``copy_of``, its ``digest``, and whether it ``represents`` its class.
 
     ``class_id`` is the smallest key of the class and ``copy_of`` the smallest key with an equal
-    text. Null and
-    empty texts are copies of each other; texts without words are alike only if equal; texts of
-    fewer than five words are one shingle. Rows with a null key are left out, rows with equal keys
-    are given once for each text. An empty table gives an empty result.
+    text. Classes are classes of texts: two texts under one key are two nodes, and the key does not
+    link them. Among the rows of a class the one of the smallest key (of equal ones the smallest
+    digest) represents it, repeated rows alike. Null and empty texts are copies of each other; texts
+    without words are alike only if equal; texts of fewer than five words are one shingle. Rows with
+    a null key are left out, rows with equal keys are given once for each. An empty table gives an
+    empty result.
     """
     docs = df.filter(F.col(key).isNotNull()).select(
         F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
@@ -299,21 +316,51 @@ def near_duplicates(
     signed = settle(
         docs.select("doc_id", F.md5("text").alias("digest"), sign("text").alias("s")).select("doc_id", "digest", "s.*")
     )
+    # A node is a text; its number means nothing but is fixed, for the table is stored.
     different = settle(
         signed.groupBy("digest")
         .agg(F.min(F.struct("doc_id", *FIELDS)).alias("first"))
-        .select("digest", F.col("first.doc_id").alias("id"), *[f"first.{name}" for name in FIELDS])
+        .select(
+            F.monotonically_increasing_id().alias("id"), "digest", F.col("first.doc_id").alias("doc_id"),
+            *[f"first.{name}" for name in FIELDS],
+        )
     )
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    found = settle(links(texts, different.drop("digest"), weights, similarity))
+    texts = Texts(different.select("id", "doc_id", "digest"), docs.withColumn("digest", F.md5("text")))
+    found = settle(links(texts, different.drop("digest", "doc_id"), weights, similarity))
     labels = components(found)
     named = (
-        different.select("digest", "id")
+        different.select("digest", "id", F.col("doc_id").alias("copy_of"))
         .join(labels.withColumnRenamed("node", "id"), "id", "left")
-        .select("digest", "id", F.coalesce("label", "id").alias("label"))
+        .select("digest", "copy_of", F.coalesce("label", "id").alias("label"))
     )
+    first = named.groupBy("label").agg(F.min(F.struct("copy_of", "digest")).alias("first"))
     return (
         signed.select("doc_id", "digest")
-        .join(named, "digest")
-        .select("doc_id", F.col("label").alias("class_id"), F.col("id").alias("copy_of"))
+        .join(named.join(first, "label"), "digest")
+        .select(
+            "doc_id", F.col("first.copy_of").alias("class_id"), "copy_of", "digest",
+            ((F.col("doc_id") == F.col("first.copy_of")) & (F.col("digest") == F.col("first.digest"))).alias("represents"),
+        )
     )
+
+
+def keep_representatives(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class, with the columns it came with.
+
+    Rows are told apart by key and text, so a text leaves only for its own class. Of repeated rows
+    that represent their class one stays. Rows without a key cannot be compared and stay.
+    """
+    classes = settle(near_duplicates(df, key, text))
+    digest, ident = fresh(df, "_digest"), fresh(df, "_ident")
+    rows = df.withColumns({
+        digest: F.md5(F.coalesce(F.col(text), F.lit(""))), ident: F.col(key).cast("bigint"),
+    })
+
+    def marked(some: DataFrame) -> DataFrame:
+        return some.select(F.col("doc_id").alias(ident), F.col("digest").alias(digest)).distinct()
+
+    kept = rows.join(marked(classes.filter("not represents")), [ident, digest], "left_anti")
+    several = classes.filter("represents").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    once = kept.join(marked(several), [ident, digest], "left_anti")
+    again = kept.join(marked(several), [ident, digest], "left_semi").dropDuplicates([ident, digest])
+    return once.unionByName(again).select(*df.columns)
