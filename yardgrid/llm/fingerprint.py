@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 from collections.abc import Iterable, Iterator
 
@@ -119,6 +120,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+def _longs(values: list[int | None]) -> Column:
+    """A literal array, given as one text however long it is."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
 def compare_with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text against its edited form and against the next text by descending key.
 
@@ -134,15 +140,16 @@ def compare_with_next(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     parts = fan_out(spark)
     shares = [i / parts for i in range(1, parts)]
     cuts = rows.agg(F.percentile_approx(order, shares, 10_000)).first()[0] if shares else None
-    bounds = F.array(*[F.lit(c).cast("bigint") for c in sorted(set(cuts or []), reverse=True)])
-    bounds = bounds if cuts else F.array().cast("array<bigint>")
+    bounds = _longs(sorted(set(cuts or []), reverse=True))
     ranged = rows.withColumn("range", F.size(F.filter(bounds, lambda c: order <= c)))
-    # One row for each range: at most as many as there are shuffle partitions.
+    # One row for each range: at most as many as there are shuffle partitions. A row that opens its
+    # range also goes to the range before; both are looked up by the number of the range.
     firsts = sorted(ranged.groupBy("range").agg(F.max(order)).collect())
-    target = F.lit(None).cast("int")
+    opening: list[int | None] = [None] * (len(set(cuts or [])) + 1)
+    before = list(opening)
     for i, (part, first) in enumerate(firsts):
-        opens = (F.col("range") == part) & (order == first)
-        target = F.when(opens, F.lit(firsts[i - 1][0])).otherwise(target)
+        opening[part], before[part] = first, firsts[i - 1][0]
+    target = F.when(order == F.get(_longs(opening), "range"), F.get(_longs(before), "range").cast("int"))
     copies = F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("copy")))
     doubled = F.array(
         F.struct(F.col("range").alias("range"), F.lit(False).alias("copy")),
