@@ -75,6 +75,20 @@ def player_clubs(tracking: DataFrame) -> DataFrame:
     return tracking.select("nflId", "club").distinct()
 
 
+def single_clubs(tracking: DataFrame, by: Sequence[str] = ("nflId",)) -> DataFrame:
+    """One row per player (or per ``by``, for instance week and player) with its club.
+
+    A player with two clubs would double rows in a join on players, so the job fails and names the
+    key. The test is part of the aggregation that finds the clubs; it costs no further pass. Rows
+    without a club do not count; a key that has none keeps a null.
+    """
+    low, high = F.min("club"), F.max("club")
+    name = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in by])
+    message = F.concat(F.lit("more than one club for "), name, F.lit(": "), low, F.lit(", "), high)
+    club = F.when(high > low, F.raise_error(message)).otherwise(low)
+    return tracking.groupBy(*by).agg(club.alias("club"))
+
+
 def _play_keys() -> list[Column]:
     return [F.col("gameId").alias("game"), F.col("playId").alias("play")]
 
@@ -250,7 +264,7 @@ def without_carrier(frames: DataFrame) -> DataFrame:
 def pitch_control(influence: DataFrame, clubs: DataFrame, plays: DataFrame) -> DataFrame:
     """Pitch control from a stored influence table.
 
-    ``clubs`` holds the distinct (nflId, club) pairs of the tracking data. Cells are partially
+    ``clubs`` holds one club for each player (:func:`single_clubs`). Cells are partially
     summed where they are read before they travel by cell key.
     """
     sides = play_sides(plays).withColumnRenamed("team", "side")

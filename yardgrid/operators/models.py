@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -19,7 +20,7 @@ from yardgrid.functions.nulls import join_alike
 from yardgrid.functions.scoring import logistic
 from yardgrid.operators.clean import PLAY, PLAYER_PLAY
 from yardgrid.operators.influence import CELL_FRAME
-from yardgrid.operators.order import value_ranks
+from yardgrid.operators.order import exact_quantiles, value_ranks
 from yardgrid.session import settle
 
 LINKS = ("logit", "probit", "cloglog")
@@ -27,9 +28,12 @@ LINKS = ("logit", "probit", "cloglog")
 
 def _strata(df: DataFrame, target: str, groups: int) -> DataFrame:
     """Adds the number of the quantile interval of a continuous target; ``groups`` bounds, both
-    ends in. The inner bounds are one row of at most ``groups`` numbers."""
-    shares = [i / (groups - 1) for i in range(1, groups - 1)]
-    bounds = df.agg(F.percentile_approx(target, shares, 10_000).alias("bounds")).scalar()
+    ends in. The inner bounds are exact quantiles, interpolated between neighbouring values; their
+    ranks are found bucket by bucket. They are one row of at most ``groups`` numbers."""
+    shares = {f"q{i}": i / (groups - 1) for i in range(1, groups - 1)}
+    if not shares:
+        return df.withColumn("_stratum", F.lit(0))
+    bounds = exact_quantiles(df, target, shares).select(F.array(*shares).alias("bounds")).scalar()
     return (
         df.withColumn("_bounds", bounds)
         .withColumn("_stratum", F.size(F.filter("_bounds", lambda b: b < F.col(target))))
@@ -181,6 +185,59 @@ def pc_split(df: DataFrame, share: float = 0.8, seed: int = 12, groups: int | No
     return stratified_split(known, "PC", share, keys, seed, groups=groups)
 
 
+@dataclass(frozen=True)
+class StoppedFit:
+    """A regressor at its best round, and how it got there."""
+
+    model: GBTRegressionModel
+    best_round: int
+    rounds: int
+    errors: tuple[float, ...]
+
+
+def stop_round(errors: Sequence[float], patience: int) -> tuple[int, int] | None:
+    """The best round and the round at which ``patience`` rounds have brought nothing better,
+    counted from 1; nothing while the last improvement is more recent."""
+    best = 0
+    for k, error in enumerate(errors):
+        if error < errors[best]:
+            best = k
+        elif k - best >= patience:
+            return best + 1, k + 1
+    return None
+
+
+def fit_with_patience(
+    df: DataFrame, share: float = 0.8, seed: int = 12, most_rounds: int = 50, patience: int = 10, depth: int = 5
+) -> StoppedFit:
+    """Boosted trees of ``PC`` that stop when the held-out error has not improved for ``patience``
+    rounds, and keep the state of the best round.
+
+    The error of every round is the mean absolute one on the rows that are not for training. Rounds
+    are tried in lots that double, and a round is the same however many follow it; so the model of
+    the best round is the one fitted with just as many.
+    """
+    split = pc_split(df, share, seed)
+    data = settle(_featured(split.select(*INPUTS, "PC", "is_train"), INPUTS).select("features", "PC", "is_train"))
+    train, held = data.filter("is_train"), data.filter("not is_train")
+
+    def fit(rounds: int) -> GBTRegressionModel:
+        return GBTRegressor(
+            featuresCol="features", labelCol="PC", lossType="absolute", maxIter=rounds, maxDepth=depth, seed=seed
+        ).fit(train)
+
+    rounds = min(most_rounds, patience + 2)
+    while True:
+        model = fit(rounds)
+        errors = tuple(model.evaluateEachIteration(held, "absolute"))
+        stopped = stop_round(errors, patience)
+        if stopped or rounds == most_rounds:
+            break
+        rounds = min(most_rounds, 2 * rounds)
+    best, last = stopped or (errors.index(min(errors)) + 1, rounds)
+    return StoppedFit(model if best == rounds else fit(best), best, last, errors[:last])
+
+
 def fit_pc_regressor(
     df: DataFrame,
     share: float = 0.8,
@@ -204,10 +261,15 @@ def fit_pc_regressor(
     return estimator.fit(settle(data.select("features", "PC", "held_out")))
 
 
+def score_regressor(model: GBTRegressionModel, df: DataFrame) -> DataFrame:
+    """Rows with a known control and carrier, and the ``prediction`` for them."""
+    known = df.filter(F.col("x_car").isNotNull() & F.col("PC").isNotNull())
+    return model.transform(_featured(known, INPUTS)).drop("features")
+
+
 def evaluate_regressor(model: GBTRegressionModel, df: DataFrame) -> DataFrame:
     """Mean absolute and mean squared error of a regressor."""
-    known = df.filter(F.col("x_car").isNotNull() & F.col("PC").isNotNull())
-    scored = model.transform(_featured(known, INPUTS))
+    scored = score_regressor(model, df)
     errors = {
         name: RegressionEvaluator(labelCol="PC", metricName=name).evaluate(scored)
         for name in ("mae", "mse")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from yardgrid.functions.geometry import GRID_X, GRID_Y
 from yardgrid.functions.nulls import join_alike
 from yardgrid.functions.scoring import log_loss_term, tackle_probability
 from yardgrid.operators.clean import PLAY
@@ -139,6 +140,111 @@ def qq_uniform(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+SKETCH_K = 400
+# Normalised rank error of a sketch with this k: 0.7 % at 99 % confidence.
+
+
+def quantile_sketches(df: DataFrame, value: str, by: Sequence[str] = ("week", "bucket"), k: int = SKETCH_K) -> DataFrame:
+    """A mergeable quantile sketch of a column per part: ``by``, ``n`` and ``sketch``.
+
+    Kept as a stage next to the rows it stands for; when a week is written again its sketches are
+    replaced, and the others need no second look at their rows. A part without values has no sketch
+    that counts (``n`` is 0).
+    """
+    known = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return known.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch")
+    )
+
+
+def qq_uniform_grid(sketches: DataFrame, n: int, by: Sequence[str] = (), out: str = "value") -> DataFrame:
+    """``n`` quantiles against uniform ones, from sketches that are merged on read.
+
+    The i-th of the n points is at (i - a) / (n + 1 - 2a) with a = 3/8 for n up to 10, else 1/2, as
+    in :func:`qq_uniform`; its value has that rank up to the rank error of the sketches. The result
+    has n rows per group however many values there are.
+    """
+    shift = 0.375 if n <= 10 else 0.5
+    positions = [(i - shift) / (n + 1 - 2 * shift) for i in range(1, n + 1)]
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    points = F.arrays_zip(
+        F.lit(positions).alias("uniform"), F.kll_sketch_get_quantile_double("sketch", F.lit(positions)).alias(out)
+    )
+    return merged.filter("n > 0").select(*by, "n", F.posexplode(points).alias("i", "p")).select(
+        *by, "n", (F.col("i") + 1).alias("i"), F.col("p.uniform"), F.col(f"p.{out}")
+    )
+
+
+def contour_segments(surface: DataFrame, value: str, levels: Sequence[float], by: Sequence[str] = ("game", "play", "frame")) -> DataFrame:
+    """The iso-lines of a surface on the grid, as segments: ``by``, ``level``, x1, y1, x2, y2.
+
+    Squares of four neighbouring cells are classified by the corners that reach the level; a segment
+    joins the points where the level is met on the edges, by linear interpolation. Of the two ways
+    through a saddle the mean of the corners decides. A column of the grid is one array and its
+    right neighbour is the following row of the frame, so cells are neither joined nor moved from
+    the task that holds the frame. Squares with a missing corner have no line; rows off the grid do
+    not take part.
+    """
+    lanes = range(GRID_Y[0], GRID_Y[1] + 1)
+    on_grid = F.col("x").between(*GRID_X) & F.col("y").between(*GRID_Y)
+    columns = surface.filter(on_grid).groupBy(*by, "x").agg(
+        F.array(*[F.max(F.when(F.col("y") == y, F.col(value))) for y in lanes]).alias("left")
+    )
+    following = Window.partitionBy(*by).orderBy("x")
+    paired = columns.withColumns({"right": F.lead("left").over(following), "x_right": F.lead("x").over(following)})
+    squares = paired.filter(F.col("x_right") == F.col("x") + 1).select(
+        *by, "x", "left", "right", F.explode(F.sequence(F.lit(0), F.lit(len(lanes) - 2))).alias("_at")
+    )
+    corners = squares.select(
+        *by, "x", (F.col("_at") + GRID_Y[0]).alias("y"),
+        F.get("left", "_at").alias("a"), F.get("right", "_at").alias("b"),
+        F.get("right", F.col("_at") + 1).alias("c"), F.get("left", F.col("_at") + 1).alias("d"),
+    ).filter("a is not null and b is not null and c is not null and d is not null")
+    # Levels that the square crosses: at least one corner below and one at it or above.
+    crossed = F.filter(
+        F.lit([float(v) for v in levels]),
+        lambda v: (F.least("a", "b", "c", "d") < v) & (F.greatest("a", "b", "c", "d") >= v),
+    )
+    crossing = corners.withColumn("level", F.explode(crossed)).withColumn(
+        "_case", F.expr("int(a >= level) + 2 * int(b >= level) + 4 * int(c >= level) + 8 * int(d >= level)")
+    )
+    # An edge whose corners are equal is not met; its quotient is null and not used.
+    met = crossing.withColumns({
+        "_bottom": F.expr("struct(x + try_divide(level - a, b - a) as x, double(y) as y)"),
+        "_right": F.expr("struct(double(x + 1) as x, y + try_divide(level - b, c - b) as y)"),
+        "_top": F.expr("struct(x + try_divide(level - d, c - d) as x, double(y + 1) as y)"),
+        "_left": F.expr("struct(double(x) as x, y + try_divide(level - a, d - a) as y)"),
+    })
+    return _segments(met, by)
+
+
+# The edges that a line joins, by the corners that reach the level (1 lower left, 2 lower
+# right, 4 upper right, 8 upper left). At a saddle the second entry holds where the middle reaches it.
+_JOINS = {
+    1: (("left", "bottom"),), 2: (("bottom", "right"),), 3: (("left", "right"),), 4: (("right", "top"),),
+    6: (("bottom", "top"),), 7: (("left", "top"),), 8: (("left", "top"),), 9: (("bottom", "top"),),
+    11: (("right", "top"),), 12: (("left", "right"),), 13: (("bottom", "right"),), 14: (("left", "bottom"),),
+}
+_SADDLES = {
+    5: ((("left", "bottom"), ("right", "top")), (("left", "top"), ("bottom", "right"))),
+    10: ((("bottom", "right"), ("left", "top")), (("left", "bottom"), ("right", "top"))),
+}
+
+
+def _segments(met: DataFrame, by: Sequence[str]) -> DataFrame:
+    def lines(joins: Sequence[tuple[str, str]]) -> str:
+        return "array(" + ", ".join(f"struct(_{p} as p, _{q} as q)" for p, q in joins) + ")"
+
+    cases = " ".join(f"WHEN {case} THEN {lines(joins)}" for case, joins in _JOINS.items())
+    saddles = " ".join(
+        f"WHEN {case} THEN if((a + b + c + d) / 4 >= level, {lines(high)}, {lines(low)})" for case, (low, high) in _SADDLES.items()
+    )
+    found = met.select(*by, "level", F.explode(F.expr(f"CASE _case {cases} {saddles} END")).alias("s"))
+    return found.select(
+        *by, "level", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2")
+    )
+
+
 def level_bins(
     df: DataFrame, value: str, breaks: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:

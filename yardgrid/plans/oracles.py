@@ -453,6 +453,38 @@ SELECT game, play, frame, count(*) AS cells, count(*) FILTER (x <= 100) AS on_gr
 ORACLES["level_bins"] = f"""
 SELECT CASE WHEN PC < 0.4e0 THEN 1 WHEN PC < 0.6e0 THEN 2 WHEN PC < 0.8e0 THEN 3 ELSE 4 END AS level, count(*) AS n
 FROM control WHERE PC >= 0.2e0 AND PC < 1e0 GROUP BY 1"""
+def contours(levels: str) -> str:
+    """Segments of the iso-lines, edge by edge: every square whose corners lie on both sides of a
+    level is met on two or four of its edges, and pairs of met edges are its segments."""
+    return f"""
+WITH grid AS (SELECT * FROM control WHERE x BETWEEN 0 AND 100 AND y BETWEEN 0 AND 54),
+squares AS (
+    SELECT a.game, a.play, a.frame, a.x, a.y, a.PC AS a, b.PC AS b, c.PC AS c, d.PC AS d, level
+    FROM grid a
+    JOIN grid b ON b.game = a.game AND b.play = a.play AND b.frame = a.frame AND b.x = a.x + 1 AND b.y = a.y
+    JOIN grid c ON c.game = a.game AND c.play = a.play AND c.frame = a.frame AND c.x = a.x + 1 AND c.y = a.y + 1
+    JOIN grid d ON d.game = a.game AND d.play = a.play AND d.frame = a.frame AND d.x = a.x AND d.y = a.y + 1,
+    (VALUES {levels}) AS v(level)
+    WHERE least(a.PC, b.PC, c.PC, d.PC) < level AND greatest(a.PC, b.PC, c.PC, d.PC) >= level),
+edges AS (
+    SELECT *, [
+        CASE WHEN (a >= level) <> (b >= level) THEN {{'x': x + (level - a) / (b - a), 'y': y + 0e0}} END,
+        CASE WHEN (b >= level) <> (c >= level) THEN {{'x': x + 1e0, 'y': y + (level - b) / (c - b)}} END,
+        CASE WHEN (c >= level) <> (d >= level) THEN {{'x': x + (level - d) / (c - d), 'y': y + 1e0}} END,
+        CASE WHEN (a >= level) <> (d >= level) THEN {{'x': x + 0e0, 'y': y + (level - a) / (d - a)}} END] AS e,
+        (a >= level) = ((a + b + c + d) / 4 >= level) AS apart
+    FROM squares),
+lines AS (
+    SELECT game, play, frame, level, unnest(CASE
+        WHEN len(list_filter(e, lambda p: p IS NOT NULL)) = 2 THEN [list_filter(e, lambda p: p IS NOT NULL)]
+        WHEN apart THEN [[e[1], e[2]], [e[3], e[4]]] ELSE [[e[1], e[4]], [e[2], e[3]]] END) AS s
+    FROM edges)
+SELECT game, play, frame, level, count(*) AS segments,
+       {r('sum(sqrt((s[2].x - s[1].x) ** 2 + (s[2].y - s[1].y) ** 2))')} AS length, {r('avg(s[1].x + s[2].x)')} AS x
+FROM lines GROUP BY game, play, frame, level"""
+
+
+ORACLES["contour_lines"] = contours("(0.2e0), (0.4e0), (0.6e0), (0.8e0)")
 ORACLES["capped_control"] = by_frame(
     "(SELECT game, play, frame, x, y, least(sum(influ), 1) AS PC FROM close_cells GROUP BY ALL)", "PC"
 )
@@ -626,6 +658,9 @@ SELECT play_type, {r('s', 2)} AS speed, count(*) AS n, {r('(min(k) - 0.5) / any_
 FROM (SELECT play_type, s, row_number() OVER (PARTITION BY play_type ORDER BY s) AS k,
              count(*) OVER (PARTITION BY play_type) AS total FROM clean)
 GROUP BY play_type, s"""
+ORACLES["qq_uniform_grid"] = f"""
+SELECT i, {r('(i - 0.5e0) / 50')} AS uniform, n
+FROM (SELECT unnest(range(1, 51)) AS i), (SELECT count(*) AS n FROM tracking WHERE club <> 'football' AND (week <> 1 OR s < 5))"""
 ORACLES["confusion_matrix"] = f"""
 SELECT tp, fp, fn, tn, {r('(tp + tn) / (tp + tn + fp + fn)')} AS accuracy, {r('tp / (tp + fn)')} AS sensitivity,
        {r('tn / (tn + fp)')} AS specificity
@@ -706,6 +741,19 @@ def key_hash(keys: str, seed: int = 12) -> str:
     return f"CAST('0x' || md5({parts})[1:15] AS BIGINT)"
 
 
+ORACLES["pc_split_groups"] = f"""
+SELECT * FROM (WITH located AS MATERIALIZED (
+    SELECT c.*, {key_hash('c.game c.play c.frame c.x c.y')} AS h
+    FROM control c JOIN plays p ON p.gameId = c.game AND p.playId = c.play
+    JOIN tracking t ON t.gameId = c.game AND t.playId = c.play AND t.frameId = c.frame AND t.nflId = p.ballCarrierId
+    WHERE c.PC >= 0.1 AND t.x IS NOT NULL),
+bounds AS (SELECT quantile_cont(PC, [0.25, 0.5, 0.75]) AS q FROM located),
+ranked AS (
+    SELECT x, y, PC, row_number() OVER (PARTITION BY stratum ORDER BY h) AS k, count(*) OVER (PARTITION BY stratum) AS n
+    FROM (SELECT *, CAST(q[1] < PC AS INT) + CAST(q[2] < PC AS INT) + CAST(q[3] < PC AS INT) AS stratum FROM located, bounds))
+SELECT k <= ceil(0.8e0 * n) AS is_train, count(*) AS n, {r('sum(PC)')} AS total, {whole('sum(x * y)')} AS places
+FROM ranked GROUP BY 1)"""
+
 STEPS = {"logit": 8, "probit": 10, "cloglog": 12}
 
 
@@ -742,7 +790,8 @@ SELECT * FROM (WITH located AS MATERIALIZED (
     WHERE c.PC >= 0.1 AND t.x IS NOT NULL),
 middle AS (SELECT avg(PC) AS m FROM located WHERE k <= ceil(0.8e0 * n))
 SELECT count(*) FILTER (k <= ceil(0.8e0 * n)) AS n_train, count(*) FILTER (k > ceil(0.8e0 * n)) AS n_held_out,
-       {r('avg((PC - m) ** 2) FILTER (k > ceil(0.8e0 * n))')} AS mean_mse, true AS better
+       count(*) FILTER (k > ceil(0.8e0 * n)) AS n_scored,
+       {r('avg((PC - m) ** 2) FILTER (k > ceil(0.8e0 * n))')} AS mean_mse
 FROM located, middle)"""
 ORACLES["glm_probit"] = newton("probit", 10)
 ORACLES["glm_logit"] = newton("logit", 8)
