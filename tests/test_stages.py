@@ -148,9 +148,11 @@ def test_cells_stored_by_frame_are_joined_where_they_lie(spark, tmp_path):
     read = stages.read_by_frame(spark, root, "control")
     assert read.count() == cells.count() and read.filter("week = 2 and PC <> 9").count() == 0
     assert stages.read_by_frame(spark, root, "control", weeks=[1]).select("week").distinct().count() == 1
-    joined = quality.stored_control_value(
+    joined = quality.control_value_by_frame(
         read.drop("week"), stages.read_by_frame(spark, root, "value").drop("week"), stages.part_index(spark, root, "control")
     )
+    again = quality.stored_control_value(read.drop("week"), stages.read_by_frame(spark, root, "value").drop("week"))
+    assert joined.select(*again.columns).exceptAll(again).count() == 0 and joined.count() == again.count()
     sums = joined.groupBy("game", "play", "frame").agg(F.sum("value"))
     found = cells_under_exchange(sums._jdf.queryExecution().executedPlan(), ["default.by_frame_"])
     assert len(found) == 2 and not any(found)

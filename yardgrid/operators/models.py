@@ -13,7 +13,7 @@ from pyspark.ml.regression import (
     GeneralizedLinearRegression,
     GeneralizedLinearRegressionModel,
 )
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yardgrid.functions.nulls import join_alike
@@ -107,9 +107,13 @@ def fit_tackle_model(
 
 def coefficients(df: DataFrame, link: str, **columns: str) -> DataFrame:
     """Intercept and slope of the fit as one row next to its link."""
-    model = fit_tackle_model(df, link, **columns)
+    return curve_of(df.sparkSession, fit_tackle_model(df, link, **columns), link)
+
+
+def curve_of(spark: SparkSession, model: GeneralizedLinearRegressionModel, link: str) -> DataFrame:
+    """Intercept and slope of a fitted or loaded model as one row."""
     row = (link, float(model.intercept), float(model.coefficients[0]))
-    return df.sparkSession.createDataFrame([row], "link string, intercept double, slope double")
+    return spark.createDataFrame([row], "link string, intercept double, slope double")
 
 
 def score(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yardgrid.functions.geometry import REACH, REACH_X, add_foci, in_ellipse
+from yardgrid.functions.geometry import GRID_X, GRID_Y, REACH, REACH_X, add_foci, in_ellipse
 from yardgrid.functions.nulls import strict, surely
 from yardgrid.operators.clean import PLAYER_PLAY
 from yardgrid.operators.influence import CELL, CELL_FRAME
@@ -37,18 +37,35 @@ def tackler_ellipses(tackle_frames: DataFrame, reach: float = 5) -> DataFrame:
     )
 
 
-def stored_control_value(control: DataFrame, value: DataFrame, games: DataFrame | None = None) -> DataFrame:
-    """Value cells of the games at hand with their control, from the stored tables.
-
-    Tables that are bucketed by frame alike are joined where they lie. ``games`` lists the games of
-    the control table where they are known (the index of a stage has them); without it they are
-    found by a pass over its cells.
-    """
-    games = (control if games is None else games).select("game").distinct()
+def stored_control_value(control: DataFrame, value: DataFrame) -> DataFrame:
+    """Value cells of the games at hand with their control, from the stored tables."""
+    games = control.select("game").distinct()
     # Both sides are cells, whose size Spark may underestimate: no broadcast.
     return value.join(games, "game", "left_semi").join(control.hint("merge"), CELL, "left")
 
 
+def control_value_by_frame(control: DataFrame, value: DataFrame, games: DataFrame) -> DataFrame:
+    """The result of :func:`stored_control_value` from tables that are bucketed by frame alike.
+
+    Both are gathered per frame where they lie, so a frame meets a frame, on the keys of the
+    buckets. On a complete grid the place of a cell in its frame is known; a cell that is not there
+    is searched. ``games`` lists the games of the control table, as the index of the stage does.
+    """
+    width = GRID_Y[1] - GRID_Y[0] + 1
+    surface = control.groupBy(*CELL_FRAME).agg(F.sort_array(F.collect_list(F.struct("x", "y", "PC"))).alias("_surface"))
+    carried = (
+        value.join(games.select("game").distinct(), "game", "left_semi")
+        .groupBy(*CELL_FRAME).agg(F.collect_list(F.struct("x", "y", "value")).alias("_carried"))
+    )
+    place = f"get(_surface, (v.x - {GRID_X[0]}) * {width} + v.y - {GRID_Y[0]})"
+    met = carried.join(surface.hint("merge"), CELL_FRAME, "left").withColumn("_cells", F.expr(
+        f"""transform(_carried, v -> struct(v.x as x, v.y as y, v.value as value,
+            if({place}.x = v.x and {place}.y = v.y, {place}.PC,
+               get(filter(_surface, c -> c.x = v.x and c.y = v.y), 0).PC) as PC))"""
+    ))
+    return met.select(*CELL_FRAME, F.explode("_cells").alias("c")).select(*CELL_FRAME, "c.x", "c.y", "c.value", "c.PC")
+
+
 def quality_summary(
     cells: DataFrame, ellipses: DataFrame, k: int = REACH, partitions: int | None = None
 ) -> DataFrame:
@@ -81,48 +98,58 @@ def quality_summary(
 _SLACK = 1e-6
 
 
-def ellipse_strips(ellipses: DataFrame, k: float = REACH) -> DataFrame:
-    """One row per ellipse and field column ``x`` it reaches, with its first and last yard in y.
-
-    The ellipse is the set of points whose distances to the foci add up to ``k`` times the long
-    scale; its half axes along and across the line of the foci follow from that, and with them the
-    columns and the chord in each. Chords are widened a little and their end yards tested exactly.
-    """
+def _add(df: DataFrame, **columns: str) -> DataFrame:
+    return df.withColumns({f"_{name}": F.expr(text) for name, text in columns.items()})
 
-    def add(df: DataFrame, **columns: str) -> DataFrame:
-        return df.withColumns({f"_{name}": F.expr(text) for name, text in columns.items()})
 
-    def tested(y: str) -> str:
-        near = f"sqrt(pow(x - f1_1, 2) + pow({y} - f1_2, 2)) + sqrt(pow(x - f2_1, 2) + pow({y} - f2_2, 2))"
-        return f"{near} <= _reach"
+def _columns_reached(ellipses: DataFrame, k: float) -> DataFrame:
+    """The ellipses with the shape of their chords and the field columns they reach, ``_lo`` to ``_hi``.
 
-    shaped = add(
+    An ellipse is the set of points whose distances to the foci add up to ``k`` times the long scale;
+    its half axes along and across the line of the foci follow from that.
+    """
+    shaped = _add(
         ellipses, reach=f"{float(k)}D * greatest(scal_x, scal_y)", cx="(f1_1 + f2_1) / 2", cy="(f1_2 + f2_2) / 2",
         c="sqrt(pow(f2_1 - f1_1, 2) + pow(f2_2 - f1_2, 2)) / 2",
     ).filter("scal_x is not null and scal_y is not null and _c < _reach / 2")
-    axes = add(
+    axes = _add(
         shaped, aa="_reach * _reach / 4", bb="_reach * _reach / 4 - _c * _c",
         ux="CASE WHEN _c > 0 THEN (f2_1 - f1_1) / (2 * _c) ELSE 1D END",
         uy="CASE WHEN _c > 0 THEN (f2_2 - f1_2) / (2 * _c) ELSE 0D END",
     )
-    spans = add(
+    spans = _add(
         axes, half=f"sqrt(_aa * _ux * _ux + _bb * _uy * _uy) + {_SLACK}D", q2="_uy * _uy / _aa + _ux * _ux / _bb",
         q1="_ux * _uy * (1 / _aa - 1 / _bb)",
     )
-    bounds = add(
+    return _add(
         spans, lo=f"int(greatest(ceil(_cx - _half), {REACH_X[0]}))", hi=f"int(least(floor(_cx + _half), {REACH_X[1]}))"
     )
-    columns = bounds.withColumn("x", F.explode(F.expr("CASE WHEN _lo <= _hi THEN sequence(_lo, _hi) END")))
-    chords = add(
+
+
+def _with_chords(columns: DataFrame) -> DataFrame:
+    """Adds ``y_from`` and ``y_to``, the yards in y that an ellipse has in the column ``x``; columns
+    without one go. The analytic ends are widened a little and then tested exactly."""
+
+    def tested(y: str) -> str:
+        near = f"sqrt(pow(x - f1_1, 2) + pow({y} - f1_2, 2)) + sqrt(pow(x - f2_1, 2) + pow({y} - f2_2, 2))"
+        return f"{near} <= _reach"
+
+    chords = _add(
         columns, root="sqrt(greatest(_q2 - pow(x - _cx, 2) / (_aa * _bb), 0D))", middle="_cy - (x - _cx) * _q1 / _q2"
     )
     margin = f"_root / _q2 + {_SLACK}D + CASE WHEN _root < 1e-3D THEN 0.1D ELSE 0D END"
-    ends = add(chords, first=f"int(ceil(_middle - ({margin})))", last=f"int(floor(_middle + ({margin})))")
-    cut = ends.withColumns({
+    ends = _add(chords, first=f"int(ceil(_middle - ({margin})))", last=f"int(floor(_middle + ({margin})))")
+    return ends.withColumns({
         "y_from": F.expr(f"CASE WHEN {tested('_first')} THEN _first ELSE _first + 1 END"),
         "y_to": F.expr(f"CASE WHEN {tested('_last')} THEN _last ELSE _last - 1 END"),
-    })
-    return cut.filter("y_from <= y_to").select(*ellipses.columns, "x", "y_from", "y_to")
+    }).filter("y_from <= y_to")
+
+
+def ellipse_strips(ellipses: DataFrame, k: float = REACH) -> DataFrame:
+    """One row per ellipse and field column ``x`` it reaches, with its first and last yard in y."""
+    reached = _columns_reached(ellipses, k)
+    columns = reached.withColumn("x", F.explode(F.expr("CASE WHEN _lo <= _hi THEN sequence(_lo, _hi) END")))
+    return _with_chords(columns).select(*ellipses.columns, "x", "y_from", "y_to")
 
 
 def _product_lanes(cells: DataFrame) -> DataFrame:
@@ -136,14 +163,14 @@ def _product_lanes(cells: DataFrame) -> DataFrame:
 def quality_by_strips(cells: DataFrame, ellipses: DataFrame, k: float = REACH) -> DataFrame:
     """The result of :func:`quality_summary`, with ellipses joined column by column.
 
-    An ellipse meets one row for each field column it reaches, not every cell of its frame; the
-    cells inside it are a slice of that row. Both sides are brought together by frame before they
+    An ellipse meets the rows of field columns, not the cells of its frame; the cells inside it are
+    a slice of such a row. Both sides are brought together by frame before they
     grow: cells where they are, ellipses as narrow rows.
     """
     partitions = fan_out(cells.sparkSession)
     counted = ellipses.groupBy(*ellipses.columns).agg(F.count(F.lit(1)).alias("copies"))
-    strips = ellipse_strips(counted.repartition(partitions, *CELL_FRAME), k)
-    met = _product_lanes(cells).join(strips.hint("shuffle_hash"), [*CELL_FRAME, "x"])
+    reached = _columns_reached(counted.repartition(partitions, *CELL_FRAME), k).hint("shuffle_hash")
+    met = _with_chords(_product_lanes(cells).join(reached, CELL_FRAME).filter("x between _lo and _hi"))
     # Cells of the column before the chord and up to its end; columns without holes need no search.
     whole = "size(ys) = element_at(ys, -1) - ys[0] + 1"
     placed = met.withColumns({

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, ShortType
 
 from yardgrid.functions.geometry import add_foci, ellipse_axes, radius, raw_velocity
+from yardgrid.functions.nulls import zero_nulls
 from yardgrid.functions.scoring import logistic, tackle_probability
 from yardgrid.operators import clean as cleaning
 from yardgrid.operators import contact as contacts
@@ -448,7 +449,7 @@ def quality_by_frame(s: Season) -> DataFrame:
     stages.write_by_frame(controls.control_surface(controls.without_carrier(frames)), root, "pitch_control")
     carried = frames.repartition(fan_out(s.spark), *FRAME)
     stages.write_by_frame(controls.value_surface(carried), root, "value_map")
-    cells = qualities.stored_control_value(
+    cells = qualities.control_value_by_frame(
         stages.read_by_frame(s.spark, root, "pitch_control"), stages.read_by_frame(s.spark, root, "value_map"),
         stages.part_index(s.spark, root, "pitch_control"),
     )
@@ -715,6 +716,62 @@ def tracking_files(s: Season) -> DataFrame:
     return _by_week(tables.read_tracking(s.spark, folder))
 
 
+def _written(df: DataFrame, name: str, sep: str = ",") -> str:
+    """The path of a table written as CSV."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}.csv"
+    df.write.csv(path, header=True, nullValue="NA", sep=sep)
+    return path
+
+
+@query("season_files")
+def season_files(s: Season) -> DataFrame:
+    """Plays, tackles, players and games written as CSV and read back: rows and a total of each."""
+    read = {
+        "plays": (tables.read_plays(s.spark, _written(s.plays, "plays")), F.col("yardsToGo")),
+        "tackles": (tables.read_tackles(s.spark, _written(s.tackles, "tackles")), F.col("tackle") + F.col("assist")),
+        "players": (tables.read_players(s.spark, _written(s.players, "players")), F.col("weight")),
+        "games": (tables.read_games(s.spark, _written(s.games, "games")), F.col("week")),
+    }
+    rows = [
+        df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+        for name, (df, value) in read.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("pbp_file")
+def pbp_file(s: Season) -> DataFrame:
+    """Play-by-play records written and read back, per type of play."""
+    return tables.read_pbp(s.spark, _written(s.pbp, "pbp")).groupBy("play_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("sack").alias("sacks"), F.count_distinct("old_game_id").alias("games")
+    )
+
+
+@query("roster_file")
+def roster_file(s: Season) -> DataFrame:
+    """Rosters written and read back."""
+    return tables.read_rosters(s.spark, _written(s.rosters, "rosters"))
+
+
+@query("color_file")
+def color_file(s: Season) -> DataFrame:
+    """Team colours written and read back, separated by tabs."""
+    return tables.read_team_colors(s.spark, _written(s.colors, "colors", "\t"))
+
+
+@query("play_columns")
+def play_columns(s: Season) -> DataFrame:
+    """A contiguous range of the columns of the plays, without one of them."""
+    return cleaning.select_range(s.plays, "gameId", "yardsToGo").drop("down")
+
+
+@query("zeroed_players")
+def zeroed_players(s: Season) -> DataFrame:
+    """Missing numbers as zero: the ball's player and week sums."""
+    numbers = zero_nulls(s.tracking.select("week", "nflId", "x"))
+    return numbers.groupBy("week").agg(F.sum("nflId").alias("ids"), F.count_if(F.col("nflId") == 0).alias("balls"))
+
+
 @query("stage_files")
 def stage_files(s: Season) -> DataFrame:
     """Tracking rows as a stage by week and range of games, written twice and read back."""
@@ -780,7 +837,7 @@ def stratified_split(s: Season) -> DataFrame:
 @query("pc_split_groups")
 def pc_split_groups(s: Season) -> DataFrame:
     """The split of the control training set over five exact quantile bounds."""
-    rows = models.pc_training_set(_control(s), s.tracking, s.plays)
+    rows = settle(models.pc_training_set(_control(s), s.tracking, s.plays))  # ranked, cut and split
     split = models.pc_split(rows, groups=5)
     return split.groupBy("is_train").agg(
         F.count(F.lit(1)).alias("n"), F.sum("PC").alias("total"), F.sum(F.col("x") * F.col("y")).alias("places")
@@ -793,6 +850,14 @@ def glm_logit(s: Season) -> DataFrame:
     return models.coefficients(_contact(s), "logit")
 
 
+@query("glm_saved", digits=3)
+def glm_saved(s: Season) -> DataFrame:
+    """The logit fit, saved and loaded."""
+    folder = f"{shared_folder(s.spark)}/model-{uuid.uuid4().hex}"
+    models.save_model(models.fit_tackle_model(_contact(s), "logit"), folder)
+    return models.curve_of(s.spark, models.load_model(folder), "logit")
+
+
 @query("glm_probit", digits=3)
 def glm_probit(s: Season) -> DataFrame:
     """Probit fit on all contacts."""

@@ -717,6 +717,23 @@ LEFT JOIN tracking t ON t.gameId = c.game AND t.playId = c.play AND t.frameId =
 WHERE c.PC >= 0.1 GROUP BY c.game, c.play, c.frame"""
 ORACLES["tracking_files"] = f"""
 SELECT week, count(*) AS n, count(DISTINCT gameId) AS games, {r('sum(x)')} AS x FROM tracking GROUP BY week"""
+ORACLES["season_files"] = f"""
+SELECT 'plays' AS name, count(*) AS n, {whole('sum(yardsToGo)')} AS total FROM plays
+UNION ALL SELECT 'tackles', count(*), {whole('sum(tackle + assist)')} FROM tackles
+UNION ALL SELECT 'players', count(*), {whole('sum(weight)')} FROM players
+UNION ALL SELECT 'games', count(*), {whole('sum(week)')} FROM games"""
+ORACLES["pbp_file"] = f"""
+SELECT play_type, count(*) AS n, {whole('sum(sack)')} AS sacks, count(DISTINCT game_id) AS games FROM pbp GROUP BY play_type"""
+ORACLES["roster_file"] = """
+SELECT CAST(nflId AS VARCHAR) AS gsis_it_id, position, CASE WHEN nflId <= 11 THEN 'AAA' ELSE 'BBB' END AS team,
+       'img/' || nflId AS headshot_url
+FROM players"""
+ORACLES["color_file"] = """
+SELECT DISTINCT club AS teams, 'first ' || club AS color1, 'second ' || club AS color2, 'red' AS color1_family
+FROM tracking WHERE club <> 'football'"""
+ORACLES["play_columns"] = "SELECT gameId, playId, ballCarrierId, quarter, yardsToGo FROM plays"
+ORACLES["zeroed_players"] = f"""
+SELECT week, {whole('sum(coalesce(nflId, 0))')} AS ids, count(*) FILTER (nflId IS NULL) AS balls FROM tracking GROUP BY week"""
 ORACLES["stage_files"] = f"""
 SELECT t.week, b.bucket, count(*) AS n, count(DISTINCT t.gameId) AS games, {r('sum(t.x)')} AS x
 FROM tracking t JOIN ({ORACLES["game_buckets"]}) b ON b.game = t.gameId AND b.week = t.week GROUP BY t.week, b.bucket"""
@@ -795,6 +812,7 @@ SELECT count(*) FILTER (k <= ceil(0.8e0 * n)) AS n_train, count(*) FILTER (k > c
 FROM located, middle)"""
 ORACLES["glm_probit"] = newton("probit", 10)
 ORACLES["glm_logit"] = newton("logit", 8)
+ORACLES["glm_saved"] = ORACLES["glm_logit"]
 ORACLES["glm_cloglog"] = newton("cloglog", 12)
 
 

@@ -16,8 +16,6 @@ ADAPTIVE = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A skewed join is split even where that costs one more shuffle afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Rows that are together by frame are joined by frame and column without another exchange.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
 }
 
