@@ -13,7 +13,7 @@ CHECKED = [
     "quality_summary", "play_probability", "box_stats", "qq_uniform", "histogram_default_bins",
     "game_buckets", "signal_export", "team_colors", "contact_set", "stratified_split", "tracking_files",
     "stage_files", "signal_files", "season_files", "pbp_file", "roster_file", "color_file", "play_columns", "zeroed_players",
-    "quality_by_frame", "quality_strips", "play_lookup", "replaced_week", "contour_lines", "qq_uniform_grid", "pc_split_groups",
+    "quality_by_frame", "quality_strips", "replaced_week", "contour_lines", "qq_uniform_grid", "pc_split_groups",
 ]
 
 

@@ -798,11 +798,11 @@ def play_lookup(s: Season) -> DataFrame:
 
 @query("replaced_week")
 def replaced_week(s: Season) -> DataFrame:
-    """A stage whose second week is written again without its fast rows, read from both snapshots."""
+    """A stage whose first week is written again without its fast rows, read from both snapshots."""
     root = f"{shared_folder(s.spark)}/stages-{uuid.uuid4().hex}"
     rows = stages.partition_by_game(s.tracking, "gameId")
     stages.write_stage(rows, root, "tracking", rebalance=True)
-    stages.write_stage(rows.filter("week = 2 and s < 5"), root, "tracking", rebalance=True, weeks=[2])
+    stages.write_stage(rows.filter("week = 1 and s < 5"), root, "tracking", rebalance=True, weeks=[1])
     both = [
         stages.read_stage(s.spark, root, "tracking", snapshot=k).groupBy("week").agg(
             F.count(F.lit(1)).alias("n"), F.sum("s").alias("s")

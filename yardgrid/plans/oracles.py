@@ -745,7 +745,7 @@ GROUP BY c.gameId, c.playId"""
 ORACLES["replaced_week"] = f"""
 SELECT k AS snapshot, week, count(*) AS n, {r('sum(s)')} AS s
 FROM tracking, (VALUES (1), (2)) AS v(k)
-WHERE k = 1 OR week <> 2 OR s < 5
+WHERE k = 1 OR week <> 1 OR s < 5
 GROUP BY k, week"""
 ORACLES["signal_files"] = f"""
 SELECT count(*) AS n, {r('sum(-value)')} AS rsrp, {r('sum(user_id % 90 * 1e0)')} AS latitude
