@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from yardgrid.operators import models, profile
-from yardgrid.operators.order import exact_quantiles, next_value, running_total, value_ranks
+from yardgrid.operators.order import exact_quantiles, next_value, ranks_around, running_total, value_ranks
 
 
 def test_running_total_over_chunks(spark):
@@ -156,3 +156,28 @@ def test_rows_without_a_target_stay_in_the_split(spark):
     for label in (0, 1, None):
         part = [r.is_train for r in split if r.y == label]
         assert sum(part) == -(-3 * len(part) // 4)
+
+
+def test_ranks_around_are_exact_and_leave_the_other_rows(spark):
+    rng = random.Random(4)
+    data = {c: [rng.gauss(c, 2) for _ in range(400)] + [0.5] * 300 for c in (1, 2)}
+    df = spark.createDataFrame([(c, v) for c, vs in data.items() for v in vs] + [(None, 1.0), (1, None)], "c int, v double")
+    found = ranks_around(df, "v", [F.floor(F.col("total") * 0.3)], ["c"]).collect()
+    for c, values in data.items():
+        ordered = sorted(values)
+        near = [r for r in found if r.c == c]
+        assert all(r.n == values.count(r.v) and r.below == sum(v < r.v for v in values) and r.total == 700 for r in near)
+        assert any(r.v == ordered[210] for r in near) and len(near) < 100
+    assert [(r.v, r.n, r.below, r.total) for r in found if r.c is None] == [(1.0, 1, 0, 1)]
+
+
+def test_split_keeps_the_rows_where_they_are(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(2000).selectExpr("id", "id * 0.001 as v").write.parquet(path)
+    df = spark.read.parquet(path)
+    plain = models.stratified_split(df, "v", 0.75, ["id"], seed=5, groups=4)
+    stored = models.stratified_split(df.withColumn("h", models.key_hash(["id"], 5)), "v", 0.75, ["id"], 5, 4, hashed_as="h")
+    assert {r.id for r in plain.filter("is_train").collect()} == {r.id for r in stored.filter("is_train").collect()}
+    # Joins of the rows with the cuts and the chosen buckets have a built side that is broadcast.
+    plan = plain._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan

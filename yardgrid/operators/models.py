@@ -20,8 +20,8 @@ from yardgrid.functions.nulls import join_alike
 from yardgrid.functions.scoring import logistic
 from yardgrid.operators.clean import PLAY, PLAYER_PLAY
 from yardgrid.operators.influence import CELL_FRAME
-from yardgrid.operators.order import exact_quantiles, value_ranks
-from yardgrid.session import settle
+from yardgrid.operators.order import exact_quantiles, ranks_around
+from yardgrid.session import fan_out, settle
 
 LINKS = ("logit", "probit", "cloglog")
 
@@ -48,23 +48,24 @@ def stratified_split(
     keys: Sequence[str],
     seed: int = 12,
     groups: int | None = None,
+    hashed_as: str | None = None,
 ) -> DataFrame:
     """Adds ``is_train``: within each stratum the ``ceil(share * n)`` rows of smallest key hash.
 
     A stratum is a label (a missing one too), or with ``groups`` a quantile interval of a
-    continuous target. The cut of a stratum comes from hash ranks found bucket by bucket (the
-    leading 16 bits), so a stratum that holds most rows is still ranked by many tasks, and the
-    result does not depend on partitions. Rows only meet the table of cuts.
+    continuous target. Rows are counted by stratum and leading 16 bits of the hash where they lie;
+    of each stratum only the bucket that holds the cut is ranked. So rows do not travel, and the
+    result does not depend on partitions. Rows only meet the table of cuts, one for each stratum.
+
+    ``hashed_as`` names a column that holds :func:`key_hash` of the same keys and seed already; it
+    goes with the result.
     """
     layered = df.withColumn("_stratum", F.col(target)) if groups is None else _strata(df, target, groups)
-    hashed = layered.withColumn("_hash", key_hash(keys, seed))
-    ranks = value_ranks(hashed, "_hash", ["_stratum"], bucket=F.shiftright("_hash", 44))
-    cuts = (
-        ranks.filter(F.col("below") < F.ceil(F.col("total") * F.lit(share)))
-        .groupBy("_stratum")
-        .agg(F.max("_hash").alias("_cut"))
-    )
-    placed = join_alike(hashed, cuts, ["_stratum"])
+    hashed = layered.withColumn("_hash", F.col(hashed_as) if hashed_as else key_hash(keys, seed))
+    wanted = F.ceil(F.col("total") * F.lit(share))
+    ranks = ranks_around(hashed, "_hash", [wanted - 1], ["_stratum"], bucket=F.shiftright("_hash", 44))
+    cuts = ranks.filter(F.col("below") < wanted).groupBy("_stratum").agg(F.max("_hash").alias("_cut"))
+    placed = join_alike(hashed, F.broadcast(cuts), ["_stratum"])
     return placed.withColumn("is_train", F.col("_hash") <= F.col("_cut")).drop("_stratum", "_hash", "_cut")
 
 
@@ -151,13 +152,12 @@ def pc_training_set(
     x, y, x_car, y_car, PC, and the frame they belong to.
 
     Carriers are found by one join of the tracking rows with the plays; only they meet the cells.
+    Cells that are partitioned by frame stay where they are and are not sorted.
     """
     strong = control.filter(F.col("PC") >= floor)
-    games = strong.select(F.col("game").alias("gameId")).distinct()
     carriers = plays.select(*PLAY, F.col("ballCarrierId").alias("nflId"))
     located = (
-        tracking.join(games, "gameId", "left_semi")
-        .join(carriers, PLAYER_PLAY)
+        tracking.join(carriers, PLAYER_PLAY)
         .select(
             F.col("gameId").alias("game"),
             F.col("playId").alias("play"),
@@ -166,7 +166,8 @@ def pc_training_set(
             F.col("y").alias("y_car"),
         )
     )
-    return strong.join(located, CELL_FRAME, "left").select(
+    placed = located.repartition(fan_out(tracking.sparkSession), *CELL_FRAME).hint("shuffle_hash")
+    return strong.join(placed, CELL_FRAME, "left").select(
         *CELL_FRAME, "x", "y", "x_car", "y_car", "PC"
     )
 
@@ -174,6 +175,15 @@ def pc_training_set(
 INPUTS = ("x", "y", "x_car", "y_car")
 
 
+SPLIT_KEYS = [*CELL_FRAME, "x", "y"]
+
+
+def settled_for_split(df: DataFrame, seed: int = 12) -> DataFrame:
+    """A control training set stored with the hash of its keys, for :func:`pc_split` with the same
+    seed: rows are ranked, cut and split, and none of these passes spreads or hashes them again."""
+    return settle(df.withColumn("_key_hash", key_hash(SPLIT_KEYS, seed)))
+
+
 def pc_split(df: DataFrame, share: float = 0.8, seed: int = 12, groups: int | None = 5) -> DataFrame:
     """The rows of a control training set with ``is_train``, balanced over ranges of ``PC``.
 
@@ -182,11 +192,11 @@ def pc_split(df: DataFrame, share: float = 0.8, seed: int = 12, groups: int | No
     if "is_train" in df.columns:
         return df
     known = df.filter(F.col("x_car").isNotNull() & F.col("PC").isNotNull())
-    keys = [*CELL_FRAME, "x", "y"]
+    stored = "_key_hash" if "_key_hash" in df.columns else None
     if groups is None:  # one stratum
-        split = stratified_split(known.withColumn("_all", F.lit(1)), "_all", share, keys, seed)
-        return split.drop("_all")
-    return stratified_split(known, "PC", share, keys, seed, groups=groups)
+        split = stratified_split(known.withColumn("_all", F.lit(1)), "_all", share, SPLIT_KEYS, seed, hashed_as=stored)
+        return split.drop("_all", "_key_hash")
+    return stratified_split(known, "PC", share, SPLIT_KEYS, seed, groups=groups, hashed_as=stored).drop("_key_hash")
 
 
 @dataclass(frozen=True)

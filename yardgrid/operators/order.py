@@ -152,12 +152,67 @@ def value_ranks(
     )
 
 
+def _bounds_below(value: Column, bounds: Column, first: int, last: int) -> Column:
+    """How many of the ascending bounds are smaller than a value, by bisection: a few comparisons
+    a row, where a function over the array would visit all of it."""
+    if first == last:
+        return F.lit(first)
+    middle = (first + last) // 2
+    return F.when(
+        F.get(bounds, F.lit(middle)) < value, _bounds_below(value, bounds, middle + 1, last)
+    ).otherwise(_bounds_below(value, bounds, first, middle))
+
+
+def ranks_around(
+    df: DataFrame, value: str, ranks: Sequence[Column], by: Sequence[str] = (), bucket: Column | None = None,
+    buckets: int = 32,
+) -> DataFrame:
+    """The rows of :func:`value_ranks` near some ranks (counted from 0, columns of ``total``).
+
+    The rows of each bucket are counted where they lie; only the buckets that hold a wanted rank are
+    then read again, and only their rows travel. ``df`` is read three times (twice with a given
+    ``bucket``), so it should be a stored table. The chosen buckets are at most as many as the groups
+    times the ranks.
+    """
+    by = list(by)
+    known = df.filter(F.col(value).isNotNull()).select(*by, value)
+    if bucket is None:
+        shares = [i / buckets for i in range(1, buckets)]
+        bounds = known.agg(F.percentile_approx(value, shares, 100 * buckets).alias("bounds"))
+        known = known.withColumn("_bounds", bounds.scalar())
+        known = known.withColumn("_bucket", _bounds_below(F.col(value), F.col("_bounds"), 0, buckets - 1)).drop("_bounds")
+    else:
+        known = known.withColumn("_bucket", bucket)
+    group = Window.partitionBy(*by)
+    upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = known.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
+        *by, "_bucket", "_n", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"),
+        F.sum("_n").over(group).alias("total"),
+    )
+    held = F.lit(False)
+    for rank in ranks:
+        held |= (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
+    chosen = F.broadcast(sizes.filter(held).drop("_n"))  # few rows; the long side stays where it is
+    counts = (
+        join_alike(known, chosen, [*by, "_bucket"])
+        .groupBy(*by, "_bucket", "_before", "total", value)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    inside = (
+        Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    below = F.col("_before") + F.sum("n").over(inside) - F.col("n")
+    return counts.select(*by, value, "n", below.alias("below"), "total")
+
+
 def exact_quantiles(
     df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Quantiles with linear interpolation between the two neighbouring order statistics."""
     by = list(by)
-    ranked = value_ranks(df, value, by)
+    positions = [(F.col("total") - 1) * F.lit(share) for share in shares.values()]
+    ends = [end for position in positions for end in (F.floor(position), F.ceil(position))]
+    ranked = ranks_around(df, value, ends, by)
     low_n, high_n = F.col("below"), F.col("below") + F.col("n")
 
     def at(rank: Column) -> Column:

@@ -837,7 +837,7 @@ def stratified_split(s: Season) -> DataFrame:
 @query("pc_split_groups")
 def pc_split_groups(s: Season) -> DataFrame:
     """The split of the control training set over five exact quantile bounds."""
-    rows = settle(models.pc_training_set(_control(s), s.tracking, s.plays))  # ranked, cut and split
+    rows = models.settled_for_split(models.pc_training_set(_control(s), s.tracking, s.plays))
     split = models.pc_split(rows, groups=5)
     return split.groupBy("is_train").agg(
         F.count(F.lit(1)).alias("n"), F.sum("PC").alias("total"), F.sum(F.col("x") * F.col("y")).alias("places")
