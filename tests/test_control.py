@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,3 +207,33 @@ def test_surfaces_do_not_shuffle_cells(spark, plays):
     plan = surface_._jdf.queryExecution().executedPlan().toString()
     # Ordinary frames come together where the crowded ones are taken out, before they are spread.
     assert "Exchange" not in plan.split("LeftAnti")[0]
+
+
+def _exchanged_keys(df):
+    """The keys of the exchanges of a plan, without numbers."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)}
+
+
+def test_cells_of_an_influence_table_by_play_are_not_exchanged(spark, plays):
+    clean = field.clean_frame(spark, one_frame())
+    stored = inf.influence_by_play(clean)
+    control = k.pitch_control(stored, k.player_clubs(clean), plays)
+    value = k.value_map(stored, plays)
+    for df in (control, value):
+        summed = df.groupBy("game", "play", "frame").count()
+        assert not any("frame" in keys or ", x" in keys for keys in _exchanged_keys(summed))
+    close(surface(control), by_hand(one_frame())[0])
+    close(surface(value, "value"), by_hand(one_frame())[1])
+
+
+def test_stored_control_meets_value_by_frame(spark, plays, tmp_path):
+    frames = k.framed_sides(field.clean_frame(spark, one_frame()), plays)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, df in (("control", k.control_surface(k.without_carrier(frames))), ("value", k.value_surface(frames))):
+        df.write.parquet(str(tmp_path / name))
+    placed = [spark.read.parquet(str(tmp_path / n)).repartition(parts, "game", "play", "frame") for n in ("control", "value")]
+    joined = q.stored_control_value(*placed)
+    assert not any(", x" in keys for keys in _exchanged_keys(joined))
+    twice = q.stored_control_value(placed[0], placed[1].unionByName(placed[1]))
+    assert twice.count() == 2 * joined.count() == 2 * placed[1].count()

@@ -264,18 +264,66 @@ def without_carrier(frames: DataFrame) -> DataFrame:
 def pitch_control(influence: DataFrame, clubs: DataFrame, plays: DataFrame) -> DataFrame:
     """Pitch control from a stored influence table.
 
-    ``clubs`` holds one club for each player (:func:`single_clubs`). Cells are partially
-    summed where they are read before they travel by cell key.
+    ``clubs`` holds one club for each player (:func:`single_clubs`). What a play says of its players
+    is one row, which meets the cells by play. A table that is partitioned by play is tagged, summed
+    column by column and completed where it lies.
     """
-    sides = play_sides(plays).withColumnRenamed("team", "side")
+    signed = (
+        play_sides(plays).withColumnRenamed("team", "side")
+        .join(clubs.withColumnRenamed("nflId", "player"), "club")
+        .withColumn("sign", signed_weight("def", "off"))
+        .filter("player is not null")
+        .groupBy("game", "play", "player").agg(F.sum("sign").alias("sign"))
+        .groupBy("game", "play").agg(F.map_from_entries(F.collect_list(F.struct("player", "sign"))).alias("_signs"))
+    )
     tagged = (
-        influence.join(carriers_of(plays), ["game", "play", "player"], "left_anti")
-        .join(clubs.withColumnRenamed("nflId", "player"), "player", "left")
-        .join(sides, ["game", "play", "club"], "left")
+        influence.join(_carriers_by_play(plays), ["game", "play"], "left")
+        .filter(~F.coalesce(F.array_contains("_carriers", F.col("player")), F.lit(False)))
+        .join(_by_play(signed), ["game", "play"], "left")
+    )
+    sign = F.coalesce(F.try_element_at("_signs", F.col("player")), F.lit(0.0))
+    part = F.coalesce(sign * F.col("influ"), F.lit(0.0))
+    frames = tagged.select(*CELL_FRAME).distinct()
+    return _summed_by_column(tagged.select(*CELL, part.alias("_part")), frames).select(
+        *CELL, logistic(F.col("net")).alias("PC")
+    )
+
+
+def _by_play(df: DataFrame) -> DataFrame:
+    """A table of one row per play, brought to the cells of the play while it is narrow."""
+    return df.repartition(fan_out(df.sparkSession), "game", "play").hint("shuffle_hash")
+
+
+def _carriers_by_play(plays: DataFrame) -> DataFrame:
+    """The ball carriers of each play as one row."""
+    carriers = carriers_of(plays).filter("player is not null")
+    return _by_play(carriers.groupBy("game", "play").agg(F.collect_list("player").alias("_carriers")))
+
+
+def _summed_by_column(cells: DataFrame, frames: DataFrame) -> DataFrame:
+    """Sums ``net`` of ``_part`` per cell, with 0 for the grid cells that ``frames`` lack.
+
+    Yards in y are added up in bands as high as the grid, one row for each field column and band, so
+    a task holds a hundred rows of a frame instead of its thousands of cells.
+    """
+    height = GRID_Y[1] - GRID_Y[0] + 1
+    band = F.floor((F.col("y") - GRID_Y[0]) / height)
+    placed = cells.select(
+        *CELL_FRAME, "x", band.alias("_band"), (F.col("y") - GRID_Y[0] - band * height).alias("_lane"), "_part"
+    )
+    blank = frames.select(*CELL_FRAME, F.explode(F.sequence(F.lit(GRID_X[0]), F.lit(GRID_X[1]))).alias("x")).select(
+        *CELL_FRAME, "x", F.lit(0).cast("bigint").alias("_band"), F.lit(None).cast("bigint").alias("_lane"),
+        F.lit(None).cast("double").alias("_part"),
     )
-    sums = tagged.groupBy(*CELL).agg(signed_sum("def", "off"))
-    surface = sums.select(*CELL, logistic(F.col("net")).alias("PC"))
-    return complete_grid(surface, CELL_FRAME, "PC", 0.5)
+    lanes = [F.sum(F.when(F.col("_lane") == k, F.col("_part"))).alias(f"_{k}") for k in range(height)]
+    sums = placed.unionByName(blank).groupBy(*CELL_FRAME, "x", "_band").agg(*lanes)
+    unfolded = sums.select(
+        *CELL_FRAME, "x", "_band", F.posexplode(F.array(*[f"_{k}" for k in range(height)])).alias("_lane", "net")
+    )
+    on_grid = (F.col("_band") == 0) & F.col("x").between(*GRID_X)
+    kept = unfolded.filter(F.col("net").isNotNull() | on_grid)
+    y = (F.col("_band") * height + F.col("_lane") + GRID_Y[0]).cast("int")
+    return kept.select(*CELL_FRAME, "x", y.alias("y"), F.coalesce("net", F.lit(0.0)).alias("net"))
 
 
 def home_away_control(influence: DataFrame, sides: DataFrame) -> DataFrame:
@@ -360,10 +408,14 @@ def individual_control(
 
 
 def value_map(influence: DataFrame, plays: DataFrame) -> DataFrame:
-    """The ball carrier's influence as ``value``, from a stored influence table."""
-    return influence.join(carriers_of(plays), ["game", "play", "player"]).select(
-        *CELL, F.col("influ").alias("value")
-    )
+    """The ball carrier's influence as ``value``, from a stored influence table.
+
+    The carriers of a play are one row, so a table that is partitioned by play stays where it is.
+    """
+    met = influence.join(_carriers_by_play(plays), ["game", "play"]).filter(F.array_contains("_carriers", F.col("player")))
+    # A carrier that a play names more than once counts as often.
+    times = F.explode(F.filter("_carriers", lambda c: c == F.col("player")))
+    return met.select(*CELL, F.col("influ").alias("value"), times.alias("_time")).drop("_time")
 
 
 def value_surface(frames: DataFrame) -> DataFrame:

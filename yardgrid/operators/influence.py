@@ -16,6 +16,7 @@ from yardgrid.functions.geometry import (
     add_foci,
     in_ellipse,
 )
+from yardgrid.session import fan_out
 
 CELL_FRAME = ["game", "play", "frame"]
 CELL = [*CELL_FRAME, "x", "y"]
@@ -248,6 +249,12 @@ def with_reach(frames: DataFrame, k: int = REACH) -> DataFrame:
     return flagged.select(*frames.columns, "reaches")
 
 
+def influence_by_play(clean: DataFrame) -> DataFrame:
+    """The influence table partitioned by play: the narrow rows travel before they are spread."""
+    frames = player_frames(clean).repartition(fan_out(clean.sparkSession), "game", "play")
+    return spread(frames, ["player"]).select(*CELL_FRAME, "player", "x", "y", "influ")
+
+
 def influence(clean: DataFrame) -> DataFrame:
     """The influence table: game, play, frame, player, x, y, influ."""
     return spread(player_frames(clean), ["player"]).select(*CELL_FRAME, "player", "x", "y", "influ")

@@ -274,7 +274,7 @@ def pitch_control_frame(s: Season) -> DataFrame:
 def pitch_control_stored(s: Season) -> DataFrame:
     """Pitch control from an influence table, grid completed, per frame."""
     clubs = controls.single_clubs(cleaning.players_only(s.tracking))
-    return by_frame(controls.pitch_control(spreading.influence(_stored(s)), clubs, s.plays), "PC")
+    return by_frame(controls.pitch_control(spreading.influence_by_play(_stored(s)), clubs, s.plays), "PC")
 
 
 @query("pitch_control_home_away")
