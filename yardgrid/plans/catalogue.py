@@ -349,7 +349,7 @@ def value_map_frame(s: Season) -> DataFrame:
 @query("value_map_stored")
 def value_map_stored(s: Season) -> DataFrame:
     """Value cells from an influence table, per frame."""
-    return by_frame(controls.value_map(spreading.influence(_stored(s)), s.plays), "value")
+    return by_frame(controls.value_map(spreading.influence_by_play(_stored(s)), s.plays), "value")
 
 
 @query("pc_training_set")
