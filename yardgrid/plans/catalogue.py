@@ -289,11 +289,9 @@ def pitch_control_home_away(s: Season) -> DataFrame:
 def home_away_ungrouped(s: Season) -> DataFrame:
     """First form of control: carrier included, grid completed once."""
     sides = s.games.select("gameId", "homeTeamAbbr", "visitorTeamAbbr")
-    cells = spreading.spread(
-        controls.framed_home_away(_clean(s), s.plays, sides), ["player", "side"]
-    )
     # The sides of the given tables change from game to game, so they come with the frames.
-    sums = cells.groupBy(*FRAME, "x", "y").agg(controls.signed_sum("home", "away"))
+    frames = settle(controls.framed_home_away(_clean(s), s.plays, sides))
+    sums = controls.cell_totals(frames, {"net": controls.signed_weight("home", "away")})
     surface = sums.select("game", "play", "x", "y", logistic(F.col("net")).alias("PC"))
     return by_frame(spreading.complete_grid(surface, [], "PC", 0.5), "PC", ["game", "play"])
 
