@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from yardgrid.functions.geometry import GRID_X, GRID_Y, REACH, REACH_X, add_foci, in_ellipse
@@ -38,10 +38,23 @@ def tackler_ellipses(tackle_frames: DataFrame, reach: float = 5) -> DataFrame:
 
 
 def stored_control_value(control: DataFrame, value: DataFrame) -> DataFrame:
-    """Value cells of the games at hand with their control, from the stored tables."""
-    games = control.select("game").distinct()
-    # Both sides are cells, whose size Spark may underestimate: no broadcast.
-    return value.join(games, "game", "left_semi").join(control.hint("merge"), CELL, "left")
+    """Value cells of the games at hand with their control, from the stored tables.
+
+    Only control cells in the window of a frame's value cells take part. They meet by frame, so
+    tables that are partitioned by frame stay where they are, and so does the result.
+    """
+    games = F.broadcast(control.select("game").distinct())  # a row per game; the cells stay
+    carried = value.join(games, "game", "left_semi")
+    window = carried.groupBy(*CELL_FRAME).agg(
+        F.min("x").alias("_x_min"), F.max("x").alias("_x_max"), F.min("y").alias("_y_min"), F.max("y").alias("_y_max")
+    )
+    placed = window.repartition(fan_out(control.sparkSession), *CELL_FRAME).hint("shuffle_hash")
+    near = control.join(placed, CELL_FRAME).filter("x between _x_min and _x_max and y between _y_min and _y_max")
+    both = carried.withColumns({"PC": F.lit(None).cast("double"), "_carried": F.lit(True)}).unionByName(
+        near.select(*CELL, "PC", F.lit(False).alias("_carried")), allowMissingColumns=True
+    )
+    met = both.withColumn("_controls", F.collect_list("PC").over(Window.partitionBy(*CELL))).filter("_carried")
+    return met.select(*value.columns, F.explode_outer("_controls").alias("PC"))
 
 
 def control_value_by_frame(control: DataFrame, value: DataFrame, games: DataFrame) -> DataFrame:

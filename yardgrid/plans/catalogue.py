@@ -431,8 +431,9 @@ def quality_stored(s: Season) -> DataFrame:
     """Quality from control and value tables."""
     clean = _stored(s)
     frames = _frames(s, clean)
+    carried = frames.filter("carries").repartition(fan_out(s.spark), *FRAME)
     cells = qualities.stored_control_value(
-        controls.control_surface(controls.without_carrier(frames)), controls.value_surface(frames)
+        controls.control_surface(controls.without_carrier(frames)), controls.value_surface(carried)
     )
     followed = tackling.tackle_frames(clean, s.plays, s.tackles)
     return qualities.quality_summary(cells, qualities.tackler_ellipses(followed))
