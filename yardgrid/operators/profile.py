@@ -201,11 +201,13 @@ def contour_segments(surface: DataFrame, value: str, levels: Sequence[float], by
         F.get("right", F.col("_at") + 1).alias("c"), F.get("left", F.col("_at") + 1).alias("d"),
     ).filter("a is not null and b is not null and c is not null and d is not null")
     # Levels that the square crosses: at least one corner below and one at it or above.
-    crossed = F.filter(
-        F.lit([float(v) for v in levels]),
-        lambda v: (F.least("a", "b", "c", "d") < v) & (F.greatest("a", "b", "c", "d") >= v),
-    )
-    crossing = corners.withColumn("level", F.explode(crossed)).withColumn(
+    low, high = F.least("a", "b", "c", "d"), F.greatest("a", "b", "c", "d")
+    crossed = F.filter(F.lit([float(v) for v in levels]), lambda v: (low < v) & (high >= v))
+    # Most squares cross no level: they go by plain comparisons, before a function over the levels.
+    any_level = F.lit(False)
+    for v in levels:
+        any_level |= (low < F.lit(float(v))) & (high >= F.lit(float(v)))
+    crossing = corners.filter(any_level).withColumn("level", F.explode(crossed)).withColumn(
         "_case", F.expr("int(a >= level) + 2 * int(b >= level) + 4 * int(c >= level) + 8 * int(d >= level)")
     )
     # An edge whose corners are equal is not met; its quotient is null and not used.
