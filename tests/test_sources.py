@@ -119,3 +119,14 @@ def test_second_run_of_a_week_replaces_all_of_it(spark, tmp_path):
     stages.write_stage(rows, root, "s", weeks=[1, 2])
     stages.write_stage(rows.filter("week = 1 and bucket = 0"), root, "s", weeks=[1])
     assert {r.v for r in stages.read_stage(spark, root, "s").collect()} == {1.0, 3.0}
+
+
+def test_weeks_are_written_and_read_without_a_plan_for_each(spark, tmp_path):
+    rows = spark.range(60).selectExpr("id as gameId", "id % 4 as playId", "id * 0.5 as x", "cast(id % 20 + 1 as int) as week")
+    for odd, names in ((0, ["gameId", "playId", "x"]), (1, ["x", "playId", "gameId"])):
+        tables.write_tracking(rows.filter(F.col("week") % 2 == odd).select(*names, "week"), str(tmp_path))
+    read = tables.read_tracking(spark, str(tmp_path))
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    found = {(r.week, r.gameId, r.playId, r.x) for r in read.collect()}
+    assert found == {(r.week, r.gameId, r.playId, r.x) for r in rows.collect()}
+    assert {r.week for r in tables.read_tracking(spark, str(tmp_path), [3, 4]).collect()} == {3, 4}

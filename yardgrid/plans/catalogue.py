@@ -707,11 +707,8 @@ def tracking_files(s: Season) -> DataFrame:
     and read back by their headers."""
     folder = f"{shared_folder(s.spark)}/tracking-{uuid.uuid4().hex}"
     names = s.tracking.drop("week").columns
-    for row in s.games.select("week").distinct().collect():  # one file a week
-        week = s.tracking.filter(F.col("week") == row["week"])
-        ordered = names if row["week"] % 2 == 0 else names[::-1]
-        path = f"{folder}/tracking_week_{row['week']}.csv"
-        week.select(*ordered).write.csv(path, header=True, nullValue="NA")
+    for odd, ordered in ((0, names), (1, names[::-1])):
+        tables.write_tracking(s.tracking.filter(F.col("week") % 2 == odd).select(*ordered, "week"), folder)
     return _by_week(tables.read_tracking(s.spark, folder))
 
 
