@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -428,3 +429,38 @@ def test_both_patterns_split_alike():
     for _ in range(3000):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(30)))
         assert split(text) == full(text)
+
+
+@pytest.mark.parametrize("limit", [3, 10**6])
+def test_small_blocks_share_the_words_of_their_task(spark, monkeypatch, limit):
+    """Blocks of few words: a word is folded once by a task, until the task forgets its words."""
+    ranks, rng = bpe.load_ranks(BPE), random.Random(14)
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", 4)
+    monkeypatch.setattr(bpe, "TASK_WORDS", limit)
+    words = ["".join(rng.choice("qxzjvkw") for _ in range(rng.randrange(5, 12))) for _ in range(30)] + ["zq" * 200]
+    texts = [" ".join(rng.choice(words) for _ in range(6)) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], ["key", "text"])
+    known = pa.array([" " + words[0], words[1]])
+    blocks = list(bpe._split(BPE, public_tokenizers.PATTERN, known)(iter([batch])))
+    added = [b["words"].to_pylist()[0] for b in blocks]
+    assert len(blocks) > 5 and max(map(len, added)) < 10
+    if limit > 1000:  # every word in one block only
+        assert sum(map(len, added)) == len({tuple(w) for ws in added for w in ws})
+    exact = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids_known = [exact.encode_ordinary(w) for w in known.to_pylist()]
+    offsets, flat = np.cumsum([0, *map(len, ids_known)]), np.array(sum(ids_known, []), np.int32)
+
+    def folded(block):  # the ids of the words of a block, as the fold gives them
+        pieces = [exact._encode_single_piece(w) for w in words_of(block)]
+        lists = pa.array([pieces], pa.list_(pa.list_(pa.int32())))
+        columns = [lists if n == "words" else block[n] for n in block.schema.names]
+        return pa.RecordBatch.from_arrays(columns, block.schema.names)
+
+    def words_of(block):
+        single = {i: bytes([b]) for b in range(256) for i in [ranks[bytes([b])]]}
+        return [b"".join(single[t % bpe._START] for t in w[1:-1]).decode() for w in block["words"].to_pylist()[0]]
+
+    found = {}
+    for out in bpe._joiner(offsets, flat, BPE)(map(folded, blocks)):
+        found |= dict(zip(out["key"].to_pylist(), out["ids"].to_pylist(), strict=True))
+    assert found == {i: exact.encode_ordinary(t) for i, t in enumerate(texts)}

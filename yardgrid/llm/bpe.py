@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding by folds over the distinct words, decoding by joining pieces.
 
 Texts are taken in blocks. A task splits the texts of a block into words by the pattern and numbers
-its distinct words. Words that are in the vocabulary have their id at once, and so have the frequent words of a bounded sample, which
+its distinct words; a word of an earlier block of the task keeps its number and is not folded again. Words that are in the vocabulary have their id at once, and so have the frequent words of a bounded sample, which
 were folded before; the byte arrays of the others are folded by a higher-order function: in every step the pair of lowest rank, the leftmost of
 equals, becomes one id. Ranks come from a literal map from pairs of ids to the merged id. A task then
 puts the ids of the words together in the order of the texts.
@@ -31,12 +31,15 @@ from pyspark.sql import functions as F
 from yardgrid.session import fan_out, settle
 
 LONGEST = 256
-# A block ends when it has this many characters or distinct words to fold.
-BLOCK_CHARACTERS, BLOCK_WORDS = 16_000_000, 200_000
+# A block ends when it has this many characters or new words to fold.
+BLOCK_CHARACTERS, BLOCK_WORDS = 4_000_000, 50_000
+# A task forgets the words of its blocks when it has this many, or as many characters of long ones.
+TASK_WORDS, TASK_LONG = 250_000, 4_000_000
 # Words whose ids are put together at once, and words packed at once.
 GROUP, PACKED = 200_000, 50_000
-# Texts of the sample whose frequent words are folded before, and how many of those are kept.
-SAMPLE, KNOWN = 40_000, 250_000
+# Texts of the sample whose frequent words are folded before, how many of those are kept, and how
+# many words a task counts before it hands their counts on.
+SAMPLE, KNOWN, COUNTED = 40_000, 400_000, 100_000
 # Two primes, so that no two keys below 2^32 agree in both; the factor spreads neighbouring keys.
 _GROUPS, _SLOTS, _FACTOR = 32_749, 262_147, 1_580_030_168
 
@@ -216,7 +219,7 @@ def heap_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 _BLOCKS = (
-    "keys array<bigint>, sizes array<int>, codes array<int>,"
+    "anew boolean, keys array<bigint>, sizes array<int>, codes array<int>,"
     " words array<array<bigint>>, long array<array<int>>"
 )
 
@@ -231,28 +234,36 @@ class Known:
 
 
 class _Codes(dict):
-    """Codes of the words of a block.
+    """Codes of the words of a task's blocks.
 
     -1 - id for a word of the vocabulary, else 3 * number + 0 for a word to fold, 1 for a long
-    word, 2 for a known one.
+    word, 2 for a known one. ``words`` and ``long`` are those that the current block adds.
     """
 
-    def __init__(self, ranks: dict[bytes, int], known: dict[str, int]) -> None:
-        super().__init__()
-        self.ranks, self.known, self.words, self.long = ranks, known, [], []
+    def __init__(self, ranks: dict[bytes, int], known: pa.Array) -> None:
+        super().__init__(zip(known.to_pylist(), range(2, 3 * len(known) + 2, 3), strict=True))
+        self.ranks, self.n_words, self.n_long, self.long_characters = ranks, 0, 0, 0
+        self.next_block()
+
+    def next_block(self) -> None:
+        self.words, self.long = [], []
+
+    def full(self) -> bool:
+        return self.n_words >= TASK_WORDS or self.long_characters >= TASK_LONG
 
     def __missing__(self, word: str) -> int:
         data = word.encode("utf-8", "surrogatepass")
-        whole, number = self.ranks.get(data), self.known.get(word)
+        whole = self.ranks.get(data)
         if whole is not None:
             code = -1 - whole
-        elif number is not None:
-            code = 3 * number + 2
         elif len(data) <= LONGEST:
-            code = 3 * len(self.words)
+            code = 3 * self.n_words
+            self.n_words += 1
             self.words.append(data)
         else:
-            code = 3 * len(self.long) + 1
+            code = 3 * self.n_long + 1
+            self.n_long += 1
+            self.long_characters += len(word)
             self.long.append(heap_word(data, self.ranks))
         self[word] = code
         return code
@@ -286,19 +297,18 @@ _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u024f\u2013\u2014\u2018-\u201d\u
 def _split(path: str, pattern: str, known: pa.Array) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, words_in = load_ranks(path), splitter(pattern)
-        numbers = {w: i for i, w in enumerate(known.to_pylist())}
 
         def block() -> pa.RecordBatch:
             long = np.array([i for ids in codes.long for i in ids], np.int32)
             columns = [
-                pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
+                pa.array([anew]), pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
                 pa.array([np.concatenate(parts)], pa.list_(pa.int32())),
                 _nested(*packed(codes.words, ranks), pa.int64()),
                 _nested(np.array([len(ids) for ids in codes.long], np.int64), long, pa.int32()),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["keys", "sizes", "codes", "words", "long"])
+            return pa.RecordBatch.from_arrays(columns, ["anew", "keys", "sizes", "codes", "words", "long"])
 
-        codes, keys, sizes, parts, seen = _Codes(ranks, numbers), [], [], [], 0
+        codes, anew, keys, sizes, parts, seen = _Codes(ranks, known), True, [], [], [], 0
         for batch in batches:
             for key, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 part = np.fromiter(map(codes.__getitem__, words_in(text)), np.int32)
@@ -308,7 +318,10 @@ def _split(path: str, pattern: str, known: pa.Array) -> Callable[[Iterator[pa.Re
                 seen += len(text)
                 if seen >= BLOCK_CHARACTERS or len(codes.words) >= BLOCK_WORDS:
                     yield block()
-                    codes, keys, sizes, parts, seen = _Codes(ranks, numbers), [], [], [], 0
+                    anew, keys, sizes, parts, seen = codes.full(), [], [], [], 0
+                    if anew:
+                        codes = _Codes(ranks, known)
+                    codes.next_block()
         if keys:
             yield block()
 
@@ -319,16 +332,22 @@ def _joiner(
     offsets_known: np.ndarray, ids_known: np.ndarray, path: str
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The ids of every text of a block, in groups of texts of about ``GROUP`` words, with the
-    bytes they stand for and their decimal form."""
+    bytes they stand for and their decimal form. The blocks of a task come in their order; one that
+    begins ``anew`` does not use the words of those before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, decimals = _bytes_of(path)
+        nothing = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        folded = long = nothing
         for batch in batches:
             for row in range(batch.num_rows):
-                keys, sizes, codes, folded, long = (batch.column(i)[row] for i in range(5))
+                anew, keys, sizes, codes, *added = (batch.column(i)[row] for i in range(6))
+                if anew.as_py():
+                    folded = long = nothing
+                folded, long = _extended(folded, _flat(added[0])), _extended(long, _flat(added[1]))
                 keys, sizes = keys.values, sizes.values.to_numpy(zero_copy_only=False)
                 codes = codes.values.to_numpy(zero_copy_only=False)
-                lists = [_flat(folded), _flat(long), (offsets_known, ids_known)]
+                lists = [folded, long, (offsets_known, ids_known)]
                 ends, at = np.cumsum(sizes), 0
                 while at < len(sizes):
                     start = int(ends[at - 1]) if at else 0
@@ -358,6 +377,14 @@ def _flat(lists: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(counts)]), values
 
 
+def _extended(
+    lists: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray]
+) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of some lists and then some more."""
+    (offsets, values), (added, more_values) = lists, more
+    return np.concatenate([offsets, offsets[-1] + added[1:]]), np.concatenate([values, more_values])
+
+
 def _gather(codes: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the coded words one after the other, and their number for each word."""
     counts, starts = np.ones(len(codes), np.int64), np.zeros(len(codes), np.int64)
@@ -378,21 +405,38 @@ def _gather(codes: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]]) -> tu
 
 
 def _count_words(path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Words to fold and how often they occur; a task may return a word several times."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, words_in, found = load_ranks(path), splitter(pattern), Counter()
+
+        def counted() -> pa.RecordBatch:
+            kept = [(w, n) for w, n in found.items() if len(d := w.encode("utf-8", "surrogatepass")) <= LONGEST and d not in ranks]
+            words, counts = zip(*kept, strict=True) if kept else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 found.update(words_in(text))
-        coded = [(w, n, d) for w, n in found.items() if (d := w.encode("utf-8", "surrogatepass")) not in ranks]
-        kept = [(w, n, d) for w, n, d in coded if len(d) <= LONGEST]
-        lengths, tokens = packed([d for _, _, d in kept], ranks)
-        inner = pa.ListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(tokens, pa.int64())
-        )
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([w for w, _, _ in kept], pa.string()), pa.array([n for _, n, _ in kept], pa.int64()), inner],
-            ["word", "n", "tokens"],
-        )
+                if len(found) >= COUNTED:
+                    yield counted()
+                    found.clear()
+        yield counted()
+
+    return run
+
+
+def _pack_words(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Words with the packed tokens of their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = load_ranks(path)
+        for batch in batches:
+            words = batch.column(0)
+            lengths, tokens = packed([w.encode("utf-8", "surrogatepass") for w in words.to_pylist()], ranks)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(tokens, pa.int64()))
+            yield pa.RecordBatch.from_arrays([words, lists], ["word", "tokens"])
 
     return run
 
@@ -405,12 +449,13 @@ def known_words(texts: DataFrame, path: str, pattern: str) -> Known:
     share = min(1.0, SAMPLE / max(texts.select("key").count(), 1))
     sample = texts.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000))
     frequent = settle(
-        sample.select("text").mapInArrow(_count_words(path, pattern), "word string, n bigint, tokens array<bigint>")
-        .groupBy("word").agg(F.sum("n").alias("n"), F.any_value("tokens").alias("tokens"))
+        sample.select("text").mapInArrow(_count_words(path, pattern), "word string, n bigint")
+        .groupBy("word").agg(F.sum("n").alias("n"))
         .filter("n > 1").orderBy(F.desc("n"), "word").limit(KNOWN)
         .repartition(fan_out(texts.sparkSession))
     )
-    found = frequent.select("word", fold_word(F.col("tokens"), path).alias("ids")).toArrow()
+    tokens = frequent.select("word").mapInArrow(_pack_words(path), "word string, tokens array<bigint>")
+    found = tokens.select("word", fold_word(F.col("tokens"), path).alias("ids")).toArrow()
     if not found.num_rows:
         return Known(pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.int32))
     ids = found["ids"].combine_chunks()
@@ -430,7 +475,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     known = known_words(texts, path, pattern)
     blocks = texts.mapInArrow(_split(path, pattern, known.words), _BLOCKS)
     folded = blocks.select(
-        "keys", "sizes", "codes", fold_words(F.col("words"), path).alias("folded"), "long"
+        "anew", "keys", "sizes", "codes", fold_words(F.col("words"), path).alias("folded"), "long"
     )
     schema = "key bigint, ids array<int>, decoded binary, decimal binary"
     return folded.mapInArrow(_joiner(known.offsets, known.ids, path), schema).withColumnRenamed("key", key)

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows handed to a Python task at once. Texts may be long, so batches stay small.
-BATCH_ROWS = 256
+BATCH_ROWS, BATCH_BYTES = 256, 1 << 24
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the size of the batches that go to Python tasks and of plans kept as text."""
     spark.conf.set("spark.sql.maxPlanStringLength", "20000")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
