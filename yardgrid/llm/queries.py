@@ -80,9 +80,9 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learned from labelled rows that are not held out."""
     docs = common.documents(spark, folder)
     labels = common.table(spark, folder, "labels")
-    examples = toxicity.sample(docs, labels, ~common.held_out())
-    net = toxicity.train(examples)
-    limits = toxicity.thresholds(net, examples)
+    rows = toxicity.examples(docs, labels, ~common.held_out())
+    net = toxicity.train(rows)
+    limits = toxicity.thresholds(net, rows)
     scored = toxicity.score_toxicity(docs.select("doc_id", "text", "lang"), net)
     return toxicity.decide(scored, limits).select(
         "doc_id", common.held_out().alias("held_out"), "score",

@@ -2,24 +2,29 @@
 
 The vector of a word is the sum of two rows of a table, hashed from the word and from its first
 characters, so that unseen forms of a known stem have a meaning. Filters of widths one to three run over the word vectors,
-each filter keeps its largest response in the whole text, and a logistic layer weighs them. The
-network is trained here with numpy on a bounded sample of labelled texts. Scores come from the text
-alone. Decisions may use thresholds calibrated for each language on the training rows.
+each filter keeps its largest response in the whole text, and a logistic layer weighs them. All
+labelled texts train the network: they are dealt into replicas of some thousand rows, in every round
+each replica descends from the common weights over its rows, in a task, and the changes are averaged
+weight by weight in Spark. Scores come from the text alone. The scale of the scores, and thresholds
+for each language, are calibrated on all training rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from yardgrid.llm.common import value_udf
+from yardgrid.session import fan_out, settle
 
 BUCKETS = 1 << 16
 DIMENSIONS = 8
@@ -27,12 +32,9 @@ STEM = 4
 SHRINKAGE = 8.0
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-# The bounded training sample: rows of each label, characters of the longest text in it, and the
-# words of a text used in one step.
-ROWS_PER_LABEL = 3_000
-LONGEST_EXAMPLE = 20_000
-TRAINING_WORDS = 400
-EPOCHS = 6
+# Rows of a replica, about, and rounds over all rows.
+REPLICA_ROWS = 4_096
+EPOCHS = 3
 THRESHOLD = 0.3
 # Words remembered by a task, and words put through the network at once.
 REMEMBERED, BLOCK = 400_000, 1 << 16
@@ -60,17 +62,41 @@ def word_rows(text: str, buckets: Buckets) -> np.ndarray:
     return np.stack([both // BUCKETS, both % BUCKETS], axis=1)
 
 
+# Rows of weights after those of the table: the filters of each width, their biases, the logistic layer and
+# its bias. All have DIMENSIONS columns, which is also the number of filters of a width.
+_DENSE = sum(w * DIMENSIONS for w in WIDTHS) + 2 * len(WIDTHS) + 1
+assert FILTERS == DIMENSIONS
+
+
 @dataclass
 class Network:
-    """Weights; ``filters[w]`` has the shape (w * DIMENSIONS, FILTERS)."""
+    """All weights as one matrix; the parts below are views of it.
+
+    ``filters[w]`` has the shape (w * DIMENSIONS, FILTERS).
+    """
 
-    table: np.ndarray
-    filters: dict[int, np.ndarray]
-    biases: dict[int, np.ndarray]
-    out: np.ndarray
-    bias: float
+    weights: np.ndarray
     scale: tuple[float, float] = (1.0, 0.0)
 
+    def __post_init__(self) -> None:
+        self.table, at = self.weights[:BUCKETS], BUCKETS
+        self.filters, self.biases = {}, {}
+        for w in WIDTHS:
+            self.filters[w] = self.weights[at : at + w * DIMENSIONS]
+            at += w * DIMENSIONS
+        for w in WIDTHS:
+            self.biases[w] = self.weights[at]
+            at += 1
+        self.out = self.weights[at : at + len(WIDTHS)].reshape(-1)
+        self.last = self.weights[at + len(WIDTHS)]
+
+    def __reduce__(self) -> tuple:
+        return Network, (self.weights, self.scale)
+
+    @property
+    def bias(self) -> float:
+        return float(self.last[0])
+
     def pooled(self, rows: np.ndarray) -> np.ndarray:
         """The largest response of every filter, over all positions of a text, at least 0.
 
@@ -102,149 +128,211 @@ class Network:
         return float(1.0 / (1.0 + np.exp(-np.clip(a * self.logit(rows) + b, -30, 30))))
 
 
-def sample(
-    df: DataFrame, labels: DataFrame, usable: Column, rows: int = ROWS_PER_LABEL
-) -> list[tuple[str, str | None, int]]:
-    """At most ``rows`` (text, language, label) of each label, in hashed order of their ids.
+_PACKED = BUCKETS  # both rows of a word in one unsigned number of 32 bits
+
+
+def packed_words(text: str) -> Callable[..., Column]:
+    """The table rows of the words of a text column, four bytes a word."""
+
+    def make() -> Callable[[str], bytes]:
+        buckets = Buckets()
 
-    The labels are cut to the sample first, so only sampled texts reach the driver; of those, texts
-    longer than ``LONGEST_EXAMPLE`` are left out.
+        def pack(value: str) -> bytes:
+            rows = word_rows(value, buckets)
+            return (rows[:, 0] * _PACKED + rows[:, 1]).astype("<u4").tobytes()
+
+        return pack
+
+    return value_udf("binary", make)(F.coalesce(F.col(text), F.lit("")))
+
+
+def _unpacked(words: bytes) -> np.ndarray:
+    both = np.frombuffer(words, "<u4").astype(np.int64)
+    return np.stack([both // _PACKED, both % _PACKED], axis=1)
+
+
+def examples(df: DataFrame, labels: DataFrame, usable: Column, rows: int = REPLICA_ROWS) -> DataFrame:
+    """replica, toxic, lang and packed words of every labelled text that is ``usable``, stored.
+
+    Replicas have about ``rows`` rows, chosen by hashed ids, and lie in the order of these in a file.
     """
-    wanted = labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id"), "toxic").filter(usable)
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = wanted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
-    short = F.coalesce(F.length("text"), F.lit(0)) <= LONGEST_EXAMPLE
-    joined = df.select("doc_id", "text", "lang").filter(short).join(F.broadcast(chosen), "doc_id")
-    found = joined.select(F.coalesce("text", F.lit("")), "lang", "toxic", "rank").collect()
-    return [tuple(r[:3]) for r in sorted(found, key=lambda r: (r[3], r[2]))]
+    wanted = labels.filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(usable)
+    replicas = max(1, -(-wanted.count() // rows))
+    # Texts and labels meet in the task that holds their replica, so texts travel once, whatever the size.
+    both = df.select("doc_id", "text", "lang", F.lit(None).cast("int").alias("toxic"), F.lit(True).alias("_text")).filter(
+        usable & F.col("doc_id").isNotNull()
+    ).unionByName(wanted.withColumn("_text", F.lit(False)), allowMissingColumns=True)
+    replica = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(replicas)).cast("int")
+    placed = both.withColumn("replica", replica).repartition(fan_out(df.sparkSession), "replica")
+    met = placed.withColumn("_labels", F.collect_list("toxic").over(Window.partitionBy("replica", "doc_id"))).filter("_text")
+    found = met.select(
+        "replica", "doc_id", F.explode("_labels").alias("toxic"), "lang", packed_words("text").alias("words")
+    )
+    order = ("replica", F.xxhash64("doc_id", F.lit(1)), "doc_id", "toxic", "words")
+    return settle(found.sortWithinPartitions(*order).drop("doc_id"))
 
 
-def train(examples: list[tuple[str, str | None, int]], seed: int = 3) -> Network:
-    """Fit the network; without both labels it answers the share of toxic examples."""
+def train(rows: DataFrame, seed: int = 3) -> Network:
+    """Fit the network to all rows of :func:`examples`; without both labels it answers the share of
+    toxic examples."""
     rng = np.random.default_rng(seed)
-    buckets = Buckets()
-    rows = [word_rows(text, buckets) for text, _, _ in examples]
-    truth = np.array([label for _, _, label in examples], np.float32)
-    width = len(WIDTHS) * FILTERS
-    net = Network(
-        rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32),
-        {w: rng.normal(0, 0.5, (w * DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS},
-        {w: np.zeros(FILTERS, np.float32) for w in WIDTHS},
-        rng.normal(0.3, 0.1, width).astype(np.float32),
-        -1.0,
-    )
-    if len(set(truth.tolist())) < 2:
-        share = float(truth.mean()) if len(truth) else 0.0
+    net = Network(np.zeros((BUCKETS + _DENSE, DIMENSIONS), np.float32))
+    net.table[:] = rng.normal(0, 0.1, net.table.shape)
+    for w in WIDTHS:
+        net.filters[w][:] = rng.normal(0, 0.5, net.filters[w].shape)
+    net.out[:] = rng.normal(0.3, 0.1, net.out.shape)
+    net.last[0] = -1.0
+    found = dict(rows.groupBy("toxic").count().collect())
+    counts = np.array([[found.get(0, 0)], [found.get(1, 0)]], np.float64)
+    if not counts.all():
+        share = float(counts[1, 0] / counts.sum()) if counts.any() else 0.0
         net.out[:] = 0
-        net.bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+        net.last[0] = np.log((share + 1e-6) / (1 - share + 1e-6))
         return net
     # The first dimension starts as the log-odds of a word in toxic against other texts.
-    seen = np.zeros((2, BUCKETS), np.float32)
-    for row, label in zip(rows, truth, strict=True):
-        seen[int(label)][np.unique(row)] += 1
-    counts = np.array([[(truth == 0).sum()], [(truth == 1).sum()]], np.float32)
+    seen = np.zeros((2, BUCKETS))
+    total = rows.select("toxic", "words").mapInArrow(_count_rows, "row int, clean bigint, toxic bigint")
+    sums = total.groupBy("row").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    seen[:, sums["row"].to_numpy()] = sums["clean"].to_numpy(), sums["toxic"].to_numpy()
     rate = (seen + 0.5) / (counts + 1.0)
     total = seen.sum(axis=0)  # shrunk where a row was seen in few texts
     net.table[:, 0] = np.log(rate[1] / rate[0]) * total / (total + SHRINKAGE) / 2
     net.filters[1][0, :2] = 1.0
-    _descend(net, rows, truth, rng)
-    net.scale = _calibrate(np.array([net.logit(r) for r in rows]), truth)
+    columns = [f"d{i}" for i in range(DIMENSIONS)]
+    for epoch in range(EPOCHS):
+        changed = rows.select("replica", "toxic", "words").mapInArrow(
+            partial(_descend, net, 0.05 / (1 + epoch)), "row int, " + ", ".join(f"{c} float" for c in columns)
+        )
+        # At most one row for each row of the weights, whatever the number of replicas.
+        mean = changed.groupBy("row").agg(*[F.avg(c).alias(c) for c in columns]).toArrow()
+        net.weights[mean["row"].to_numpy()] += np.stack([mean[c].to_numpy() for c in columns], axis=1).astype(np.float32)
+    net.scale = _calibrate(logits(rows, net))
     return net
 
 
-def _descend(net: Network, rows: list[np.ndarray], truth: np.ndarray, rng: np.random.Generator) -> None:
-    """Stochastic gradient descent; of a long text one window of words is used in a step."""
-    for epoch in range(EPOCHS):
-        rate = 0.05 / (1 + epoch)
-        for i in rng.permutation(len(rows)):
-            row = rows[i]
-            if len(row) > TRAINING_WORDS and truth[i] == 0:
-                start = rng.integers(0, len(row) - TRAINING_WORDS + 1)
-                row = row[start : start + TRAINING_WORDS]
-            _step(net, row, truth[i], rate)
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of each label a table row occurs."""
+    seen = np.zeros((2, BUCKETS), np.int64)
+    for batch in batches:
+        for label, words in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            seen[label, np.unique(_unpacked(words))] += 1
+    found = np.flatnonzero(seen.any(axis=0))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(found, pa.int32()), pa.array(seen[0, found]), pa.array(seen[1, found])], ["row", "clean", "toxic"]
+    )
+
+
+def _descend(net: Network, rate: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stochastic gradient descent of each replica from the same weights; its changes, by row."""
+
+    def changes() -> pa.RecordBatch:
+        change = own.weights - net.weights
+        moved = np.flatnonzero(change.any(axis=1))
+        columns = [pa.array(moved, pa.int32()), *[pa.array(change[moved, i]) for i in range(DIMENSIONS)]]
+        return pa.RecordBatch.from_arrays(columns, ["row", *[f"d{i}" for i in range(DIMENSIONS)]])
+
+    current = None
+    for batch in batches:
+        for replica, label, words in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if replica != current:
+                if current is not None:
+                    yield changes()
+                own, current = Network(net.weights.copy()), replica
+            _step(own, _unpacked(words), label, rate)
+    if current is not None:
+        yield changes()
 
 
 def _step(net: Network, row: np.ndarray, label: float, rate: float) -> None:
-    """One example: responses, their places, and the gradient through the places only."""
-    vectors = net.table[row[:, 0]] + net.table[row[:, 1]]
+    """One whole text: responses, their places, and the gradient through the places only. Long
+    texts go block by block."""
     pooled = np.zeros(len(net.out), np.float32)
-    places: list[np.ndarray | None] = []
+    places = np.zeros(len(net.out), np.int64)
     for k, width in enumerate(WIDTHS):
-        n = len(row) - width + 1
-        if n < 1:
-            places.append(None)
+        if len(row) < width:
             continue
+        span, best = slice(k * FILTERS, (k + 1) * FILTERS), np.full(FILTERS, -np.inf, np.float32)
         weights = net.filters[width]
-        response = vectors[:n] @ weights[:DIMENSIONS]
-        for j in range(1, width):
-            response += vectors[j : j + n] @ weights[j * DIMENSIONS : (j + 1) * DIMENSIONS]
-        place = response.argmax(axis=0)
-        places.append(place)
-        pooled[k * FILTERS : (k + 1) * FILTERS] = response[place, np.arange(FILTERS)] + net.biases[width]
+        for at in range(0, len(row) - width + 1, BLOCK):
+            part = row[at : at + BLOCK + width - 1]
+            vectors, n = net.table[part[:, 0]] + net.table[part[:, 1]], len(part) - width + 1
+            response = vectors[:n] @ weights[:DIMENSIONS]
+            for j in range(1, width):
+                response += vectors[j : j + n] @ weights[j * DIMENSIONS : (j + 1) * DIMENSIONS]
+            place = response.argmax(axis=0)
+            top = response[place, np.arange(FILTERS)]
+            places[span] = np.where(top > best, at + place, places[span])
+            best = np.maximum(best, top)
+        pooled[span] = best + net.biases[width]
     active = pooled > 0
     pooled = np.where(active, pooled, 0)
     z = float(np.clip(pooled @ net.out + net.bias, -30, 30))
     error = 1 / (1 + np.exp(-z)) - label
     if abs(error) < 1e-3:
         return
-    back = np.where(active, error * net.out, 0).astype(np.float32)
+    steps = rate * np.where(active, error * net.out, 0).astype(np.float32)
     net.out -= rate * error * pooled
-    net.bias -= rate * error
+    net.last[0] -= rate * error
     for k, width in enumerate(WIDTHS):
-        place, step = places[k], rate * back[k * FILTERS : (k + 1) * FILTERS]
-        if place is None:
-            continue
-        for f in np.flatnonzero(step):
-            window = slice(place[f], place[f] + width)
-            around = vectors[window].reshape(-1)
-            filter_ = net.filters[width][:, f].copy()
-            net.filters[width][:, f] -= step[f] * around
-            net.biases[width][f] -= step[f]
-            change = (step[f] * filter_).reshape(width, DIMENSIONS)
-            for half in row[window].T:
+        for f in range(FILTERS):
+            step = steps[k * FILTERS + f]
+            if not step:
+                continue
+            place = places[k * FILTERS + f]
+            both = row[place : place + width]
+            around = (net.table[both[:, 0]] + net.table[both[:, 1]]).reshape(-1)
+            change = (step * net.filters[width][:, f]).reshape(width, DIMENSIONS)
+            net.filters[width][:, f] -= step * around
+            net.biases[width][f] -= step
+            for half in both.T:
                 np.subtract.at(net.table, half, change)
 
 
-def _calibrate(logits: np.ndarray, truth: np.ndarray, steps: int = 200) -> tuple[float, float]:
-    """Slope and shift of a logistic curve by Newton's method with a little shrinkage."""
-    weights = np.where(truth == 1, 0.5 / max(truth.sum(), 1), 0.5 / max((1 - truth).sum(), 1))
-    design = np.stack([logits, np.ones_like(logits)], axis=1)
-    beta = np.array([1.0, 0.0])
+def logits(rows: DataFrame, net: Network) -> DataFrame:
+    """lang, toxic and logit of all rows of :func:`examples`, stored."""
+    logit = value_udf("double", lambda: lambda words: net.logit(_unpacked(words)))
+    return settle(rows.select("lang", "toxic", logit(F.col("words")).alias("logit")))
+
+
+def _score(logit: Column, scale: tuple[float, float]) -> Column:
+    a, b = scale
+    return 1 / (1 + F.exp(-F.greatest(F.least(a * logit + b, F.lit(30.0)), F.lit(-30.0))))
+
+
+def _calibrate(rows: DataFrame, steps: int = 200) -> tuple[float, float]:
+    """Slope and shift of a logistic curve by Newton's method with a little shrinkage; the sums of a
+    step are taken over all rows, and the labels weigh alike."""
+    counts = dict(rows.groupBy("toxic").count().collect())
+    weight = F.when(F.col("toxic") == 1, 0.5 / max(counts.get(1, 0), 1)).otherwise(0.5 / max(counts.get(0, 0), 1))
+    beta, z = np.array([1.0, 0.0]), F.col("logit")
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (weights * (p - truth)) + 1e-3 * (beta - [1.0, 0.0])
-        curve = (design * (weights * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
-        change = np.linalg.solve(curve, gradient)
+        p = _score(z, tuple(beta.tolist()))
+        slope, curve = weight * (p - F.col("toxic")), weight * p * (1 - p)
+        g0, g1, c0, c1, c2 = rows.agg(*map(F.sum, (slope * z, slope, curve * z * z, curve * z, curve))).first()
+        gradient = np.array([g0, g1]) + 1e-3 * (beta - [1.0, 0.0])
+        change = np.linalg.solve(np.array([[c0, c1], [c1, c2]]) + 1e-3 * np.eye(2), gradient)
         beta = beta - np.clip(change, -1, 1)
         if np.abs(change).max() < 1e-6:
             break
     return max(float(beta[0]), 1e-3), float(beta[1])
 
 
-def thresholds(
-    net: Network, examples: list[tuple[str, str | None, int]], least: int = 50
-) -> dict[str, float]:
-    """For each language with enough examples, the score that makes the fewest errors there.
+def thresholds(net: Network, rows: DataFrame, least: int = 50) -> dict[str, float]:
+    """For each language with enough rows of :func:`examples`, the score that makes the fewest errors there.
 
     Errors of the two labels weigh alike. ``""`` has the threshold of all other languages.
     """
-    buckets = Buckets()
-    scored: dict[str, list[tuple[float, int]]] = {"": []}
-    for text, lang, label in examples:
-        pair = (net.score(word_rows(text, buckets)), label)
-        scored[""].append(pair)
-        if lang is not None:
-            scored.setdefault(lang, []).append(pair)
+    cuts = np.linspace(0.05, 0.95, 19)
+    scored = logits(rows, net).withColumn("score", _score(F.col("logit"), net.scale))
+    wrong = [F.count_if((F.col("score") >= float(c)) != (F.col("toxic") == 1)).alias(f"e{i}") for i, c in enumerate(cuts)]
+    tallies = [F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"), *wrong]
+    by_lang = scored.filter("lang is not null").groupBy("lang").agg(*tallies).filter(F.least("bad", "good") >= least)
+    whole = scored.agg(*tallies).withColumn("lang", F.lit("")).filter("bad + good > 0")
     found = {}
-    for lang, pairs in scored.items():
-        positives = sum(y for _, y in pairs)
-        if lang and min(positives, len(pairs) - positives) < least or not pairs:
-            continue
-        cuts = np.linspace(0.05, 0.95, 19)
-        s, y = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-        errors = [((s >= c) & (y == 0)).mean() + ((s < c) & (y == 1)).mean() for c in cuts]
-        best = np.flatnonzero(np.isclose(errors, min(errors)))
-        found[lang] = float(cuts[best[len(best) // 2]])
+    for row in [*whole.collect(), *by_lang.filter("lang <> ''").collect()]:
+        errors = np.array([row[f"e{i}"] for i in range(len(cuts))])
+        best = np.flatnonzero(errors == errors.min())
+        found[row["lang"]] = float(cuts[best[len(best) // 2]])
     return found or {"": THRESHOLD}
 
 
