@@ -237,3 +237,51 @@ def test_stored_control_meets_value_by_frame(spark, plays, tmp_path):
     assert not any(", x" in keys for keys in _exchanged_keys(joined))
     twice = q.stored_control_value(placed[0], placed[1].unionByName(placed[1]))
     assert twice.count() == 2 * joined.count() == 2 * placed[1].count()
+
+
+def _unfolded(columns, values, name):
+    cells = columns.select("x", "y", F.posexplode(values).alias("i", name)).filter(f"{name} is not null")
+    return cells.select("x", (F.col("y") + F.col("i")).alias("y"), name)
+
+
+@pytest.mark.parametrize("crowd", [2000, 2])
+def test_field_columns_hold_every_cell_of_the_surfaces(spark, plays, crowd):
+    """Also the cells beside the lanes, of a centre far off the field, as the carrier's and as another's."""
+    for far in (2, 1):
+        rows = [*one_frame()[:3], field.clean_row(far, "AAA", 50, -1, 14.0, 0, 0.0, frame=2), field.clean_row(3, "BBB", 20, 10, 3, 0, 9.0, frame=2)]
+        frames = k.framed_sides(field.clean_frame(spark, rows), plays)
+        others = k.without_carrier(frames)
+        control, value = k.control_columns(others, crowd=crowd), k.value_columns(frames)
+        for frame in (1, 2):
+            where = f"frame = {frame}"
+            cells = surface(k.control_surface(others, crowd=crowd).filter(where))
+            close(surface(_unfolded(control.filter(where), "PCs", "PC")), cells)
+            close(surface(_unfolded(value.filter(where), "values", "value"), "value"), surface(k.value_surface(frames).filter(where), "value"))
+        assert control.filter("y = 0").count() < 260  # not a row for each of more than 11,110 cells
+        strays = control.filter("y <> 0").count() + value.filter("y > 54 or y < 0").count()
+        assert strays > 0
+
+
+def test_field_columns_stored_by_frame_meet_where_they_lie(spark, plays, tmp_path):
+    from tests.test_stages import cells_under_exchange
+    from yardgrid.sources import stages
+
+    rows = [*one_frame(), field.clean_row(1, "AAA", 105, 20, 5, 0, 0.0, frame=2), field.clean_row(3, "BBB", 20, 10, 3, 0, 9.0, frame=2)]
+    frames = k.framed_sides(field.clean_frame(spark, rows), plays)
+    others = k.without_carrier(frames)
+    stages.write_by_frame(k.control_columns(others), str(tmp_path), "control", 3)
+    stages.write_by_frame(k.value_columns(frames), str(tmp_path), "value", 3)
+    index = stages.part_index(spark, str(tmp_path), "control")
+    control, value = (stages.read_by_frame(spark, str(tmp_path), name) for name in ("control", "value"))
+    cells = q.control_value_by_column(control, value, index)
+    wanted = q.stored_control_value(k.control_surface(others), k.value_surface(frames))
+    found, wanted = ({(r.frame, r.x, r.y): (r.PC, r.value) for r in df.collect()} for df in (cells, wanted))
+    close({c: v[0] for c, v in found.items()}, {c: v[0] for c, v in wanted.items()})
+    close({c: v[1] for c, v in found.items()}, {c: v[1] for c, v in wanted.items()})
+    assert cells.count() == len(found) and {v[0] is None for v in found.values()} == {True, False}
+    sums = cells.groupBy("game", "play", "frame").agg(F.sum("value"))
+    under = cells_under_exchange(sums._jdf.queryExecution().executedPlan(), ["default.by_frame_"])
+    assert len(under) == 2 and not any(under)
+    twice = q.control_value_by_column(control, value.unionByName(value), index)
+    assert twice.count() == 2 * len(found)
+    assert q.control_value_by_column(control, value, index.filter("false")).count() == 0

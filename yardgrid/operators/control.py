@@ -21,6 +21,7 @@ from yardgrid.operators.influence import (
     leaves_lanes,
     player_frames,
     spread,
+    spread_columns,
     strips,
     unfold,
     with_reach,
@@ -175,6 +176,26 @@ def cell_totals(
     ``frames`` is narrow and read several times, so it should be a stored table (``settle`` or a
     stage).
     """
+    keys, names = [*CELL_FRAME, *extra_keys], list(weights)
+    sums, strays = _column_totals(frames, weights, extra_keys, grid, floor, crowd)
+    taking_part = F.lit(False)
+    for name in names:
+        taking_part = taking_part | F.col(name).isNotNull()
+    if grid:
+        taking_part = taking_part | F.col("x").between(*GRID_X)
+    return unfold(sums, keys, names).filter(taking_part).unionByName(strays)
+
+
+def _column_totals(
+    frames: DataFrame,
+    weights: dict[str, Column],
+    extra_keys: Sequence[str] = (),
+    grid: bool = False,
+    floor: float | None = None,
+    crowd: int = CROWD,
+) -> tuple[DataFrame, DataFrame]:
+    """The sums of :func:`cell_totals` as a row per field column, with an array for the yards in y,
+    and cell by cell those of the few cells outside these yards."""
     partitions = fan_out(frames.sparkSession)
     keys, names = [*CELL_FRAME, *extra_keys], list(weights)
 
@@ -199,16 +220,8 @@ def cell_totals(
     for rows, local in _by_crowding(frames, crowd):
         sums = columns(rows)
         parts.append(sums if local else sums.repartition(partitions, *CELL_FRAME))
-    sums = reduce(DataFrame.unionByName, parts)
-
-    taking_part = F.lit(False)
-    for name in names:
-        taking_part = taking_part | F.col(name).isNotNull()
-    if grid:
-        taking_part = taking_part | F.col("x").between(*GRID_X)
-    cells = unfold(sums, keys, names).filter(taking_part)
     few = weighted(leaves_lanes(frames).filter("strays"))
-    return cells.unionByName(_stray_cells(few, keys, names, floor))
+    return reduce(DataFrame.unionByName, parts), _stray_cells(few, keys, names, floor)
 
 
 def _stray_cells(
@@ -256,6 +269,27 @@ def control_surface(
     return totals.select(*CELL, logistic(F.coalesce("net", F.lit(0.0))).alias("PC"))
 
 
+def control_columns(
+    frames: DataFrame, plus: str = "def", minus: str = "off", crowd: int = CROWD
+) -> DataFrame:
+    """The cells of :func:`control_surface` by field column: game, play, frame, x, y, PCs.
+
+    ``PCs`` has the control of the yards from ``y`` on, null where there is no cell. A column of the
+    grid is one row; the few cells outside its yards are a row each. So a frame is stored, sorted and
+    read as a hundred rows instead of its thousands of cells.
+    """
+    sums, strays = _column_totals(frames, {"net": signed_weight(plus, minus)}, grid=True, crowd=crowd)
+    on_grid = F.col("x").between(*GRID_X)
+
+    # One function over the array: an expression for each yard makes a method too long to be compiled.
+    # The sums are named twice, so Spark keeps them apart from it and compiles the aggregation.
+    whole = F.transform("net", lambda n: F.when(n.isNull(), 0.5).otherwise(logistic(n)))
+    pcs = F.when(on_grid, whole).otherwise(F.transform("net", lambda n: logistic(n)))
+    columns = sums.select(*CELL_FRAME, "x", F.lit(GRID_Y[0]).alias("y"), pcs.alias("PCs"))
+    single = F.array(logistic(F.coalesce("net", F.lit(0.0))))
+    return columns.unionByName(strays.select(*CELL, single.alias("PCs")))
+
+
 def without_carrier(frames: DataFrame) -> DataFrame:
     """Player-frames of everybody but the ball carrier."""
     return frames.filter(~F.col("carries"))
@@ -423,6 +457,14 @@ def value_surface(frames: DataFrame) -> DataFrame:
     return spread(frames.filter(F.col("carries"))).withColumnRenamed("influ", "value")
 
 
+def value_columns(frames: DataFrame) -> DataFrame:
+    """The cells of :func:`value_surface` by field column: game, play, frame, x, y, values.
+
+    ``values`` has the value of the yards from ``y`` on; see :func:`spread_columns`.
+    """
+    return spread_columns(frames.filter(F.col("carries"))).withColumnRenamed("influs", "values")
+
+
 def control_value(frames: DataFrame, crowd: int = CROWD) -> DataFrame:
     """The carrier's cells with ``value`` and ``PC``: both surfaces in one pass.
 

@@ -169,6 +169,21 @@ def spread(
     return cells.select(*CELL_FRAME, *keep, "x", "y", F.expr(_strip_influence("y")).alias("influ"))
 
 
+def spread_columns(frames: DataFrame) -> DataFrame:
+    """The cells of :func:`spread` by field column: game, play, frame, x, y, influs.
+
+    ``influs`` has the influence of the yards from ``y`` on. The yards 0..54 of a column are one row;
+    the few outside are a row each, so a row lies within a lane or beside all of them.
+    """
+    low, high = GRID_Y
+    inside = _with(strips(frames), y=f"greatest(_from, {low})", _end=f"least(_to, {high})").filter("y <= _end")
+    columns = inside.select(
+        *CELL_FRAME, "x", "y", F.expr(f"transform(sequence(y, _end), at -> {_strip_influence('at')})").alias("influs")
+    )
+    cells = spread(leaves_lanes(frames).filter("strays")).filter(f"y NOT BETWEEN {low} AND {high}")
+    return columns.unionByName(cells.select(*CELL, F.array("influ").alias("influs")))
+
+
 def ellipse_window(k: int = REACH) -> dict[str, str]:
     """Bounds of a player-frame's ellipse in whole yards, as SQL expressions by name."""
     half = f"{k / 2.0}D * greatest(scal_x, scal_y)"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yardgrid.functions.geometry import GRID_X, GRID_Y, REACH, REACH_X, add_foci, in_ellipse
@@ -79,6 +81,29 @@ def control_value_by_frame(control: DataFrame, value: DataFrame, games: DataFram
     return met.select(*CELL_FRAME, F.explode("_cells").alias("c")).select(*CELL_FRAME, "c.x", "c.y", "c.value", "c.PC")
 
 
+def control_value_by_column(control: DataFrame, value: DataFrame, games: DataFrame) -> DataFrame:
+    """The result of :func:`stored_control_value` from tables of field columns that are bucketed by
+    frame alike (``control_columns``, ``value_columns``).
+
+    The columns of a frame meet where they lie, on the keys of the buckets; a value column lies within
+    one control column at most. ``games`` lists the games of the control table, as the index of the
+    stage does.
+    """
+    carried = value.join(games.select("game").distinct(), "game", "left_semi").alias("v")
+    surface = control.hint("merge").alias("c")
+    met = [F.col(f"v.{k}") == F.col(f"c.{k}") for k in CELL_FRAME]
+    # As bounds, so that the frame alone is the key of the join and fits the buckets.
+    same_column = F.expr("v.x >= c.x and v.x <= c.x and v.y >= c.y and v.y < c.y + size(c.PCs)")
+    both = carried.join(surface, reduce(Column.__and__, met) & same_column, "left")
+    cells = both.select(
+        *[f"v.{k}" for k in CELL_FRAME], "v.x", F.col("v.y").alias("_y"), F.col("c.y").alias("_first"), "c.PCs",
+        F.posexplode("v.values").alias("_i", "value"),
+    )
+    return cells.select(
+        *CELL_FRAME, "x", F.expr("_y + _i").alias("y"), "value", F.expr("get(PCs, _y + _i - _first)").alias("PC")
+    )
+
+
 def quality_summary(
     cells: DataFrame, ellipses: DataFrame, k: int = REACH, partitions: int | None = None
 ) -> DataFrame:

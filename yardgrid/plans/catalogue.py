@@ -445,10 +445,11 @@ def quality_by_frame(s: Season) -> DataFrame:
     root = f"{shared_folder(s.spark)}/cells-{uuid.uuid4().hex}"
     clean = _stored(s)
     frames = _frames(s, clean)
-    stages.write_by_frame(controls.control_surface(controls.without_carrier(frames)), root, "pitch_control")
+    # A row per field column: every cell is stored, but a frame is sorted and read as some hundred rows.
+    stages.write_by_frame(controls.control_columns(controls.without_carrier(frames)), root, "pitch_control")
     carried = frames.repartition(fan_out(s.spark), *FRAME)
-    stages.write_by_frame(controls.value_surface(carried), root, "value_map")
-    cells = qualities.control_value_by_frame(
+    stages.write_by_frame(controls.value_columns(carried), root, "value_map")
+    cells = qualities.control_value_by_column(
         stages.read_by_frame(s.spark, root, "pitch_control"), stages.read_by_frame(s.spark, root, "value_map"),
         stages.part_index(s.spark, root, "pitch_control"),
     )
