@@ -464,3 +464,27 @@ def test_small_blocks_share_the_words_of_their_task(spark, monkeypatch, limit):
     for out in bpe._joiner(offsets, flat, BPE)(map(folded, blocks)):
         found |= dict(zip(out["key"].to_pylist(), out["ids"].to_pylist(), strict=True))
     assert found == {i: exact.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_a_task_makes_its_byte_tables_once(monkeypatch):
+    made = []
+    tables = bpe._byte_tables
+    monkeypatch.setattr(bpe, "_byte_tables", lambda ranks: made.append(1) or tables(ranks))
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", 1)
+    words = pa.array(["qxzjv", "zzkwq", "jjqzx", "wqkxv"])
+    batches = [pa.RecordBatch.from_arrays([words.slice(i, 1)], ["word"]) for i in range(4)]
+    found = list(bpe._pack_words(BPE)(iter(batches)))
+    assert len(found) == 4 and len(made) == 1
+    texts = pa.RecordBatch.from_arrays([pa.array(range(4)), words], ["key", "text"])
+    blocks = list(bpe._split(BPE, public_tokenizers.PATTERN, pa.array([], pa.string()))(iter([texts])))
+    assert len(blocks) == 4 and len(made) == 2
+    ranks = bpe.load_ranks(BPE)
+    ids, pairs = tables(ranks)
+    assert ids.tolist() == [ranks[bytes([b])] for b in range(256)]
+    assert pairs.tolist() == [ranks.get(bytes([a, b]), bpe._NO_RANK) for a in range(256) for b in range(256)]
+
+
+def test_a_fold_step_finds_its_pair_without_array_position(spark):
+    plan = spark.range(1).select(bpe.fold_word(F.array(F.col("id")), BPE).alias("ids"))._jdf.queryExecution().analyzed()
+    text = plan.expressions().toString()
+    assert "array_position" not in text and text.count("array_min") == 1

@@ -125,9 +125,14 @@ def _rank_function(table: Column) -> Callable[[Column, Column], Column]:
     return rank
 
 
-def packed(words: list[bytes], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, tokens): the tokens of the single bytes of each word, between two marks."""
-    tables = _byte_tables(ranks)
+def packed(
+    words: list[bytes], ranks: dict[bytes, int], tables: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, tokens): the tokens of the single bytes of each word, between two marks.
+
+    A task that packs more than once gives the ``tables`` of the ranks, which it makes once.
+    """
+    tables = tables or _byte_tables(ranks)
     parts = [_pack(words[at : at + PACKED], *tables) for at in range(0, max(len(words), 1), PACKED)]
     return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
 
@@ -140,7 +145,8 @@ def _pack(words: list[bytes], ids: np.ndarray, pairs: np.ndarray) -> tuple[np.nd
     place = np.arange(len(data)) - np.repeat(ends - lengths, lengths)
     tokens = rank * _RANK + place * _START + ids[data]
     mark = _NO_RANK * _RANK + _NO_ID
-    tokens[ends - lengths] = tokens[ends - 1] = mark
+    tokens[ends - lengths] = mark
+    tokens[ends - 1] = mark + (lengths - 1) * _START  # places rise to the end
     last = ends - 2  # the last byte pairs with nothing
     tokens[last] = _NO_RANK * _RANK + tokens[last] % _RANK
     return lengths, tokens
@@ -149,8 +155,11 @@ def _pack(words: list[bytes], ids: np.ndarray, pairs: np.ndarray) -> tuple[np.nd
 def _byte_tables(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the single bytes, and the ranks of all pairs of bytes."""
     ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-    pairs = [ranks.get(bytes([a, b]), _NO_RANK) for a in range(256) for b in range(256)]
-    return ids, np.array(pairs, np.int64)
+    pairs = np.full(65_536, _NO_RANK, np.int64)
+    for piece, rank in ranks.items():
+        if len(piece) == 2:
+            pairs[piece[0] * 256 + piece[1]] = rank
+    return ids, pairs
 
 
 def fold_words(words: Column, path: str) -> Column:
@@ -181,10 +190,12 @@ def _fold(tokens: Column, table: Column) -> Column:
                 )
                 return F.filter(changed, lambda _, i: i != at)
 
-            return _let(F.array_position(state, low).cast("int"), at_place)
+            # Tokens stand in the order of their starts. ``array_position`` leaves its search by an exception.
+            return _let(F.size(F.filter(state, lambda x: x % _RANK <= low % _RANK)), at_place)
 
-        done = F.array_min(state) >= F.lit(_NO_RANK * _RANK)
-        return F.when(done, state).otherwise(_let(F.array_min(state), merge))
+        return _let(
+            F.array_min(state), lambda low: F.when(low >= F.lit(_NO_RANK * _RANK), state).otherwise(merge(low))
+        )
 
     return F.aggregate(
         F.sequence(F.lit(4), F.size(tokens)), tokens, step,
@@ -297,13 +308,14 @@ _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u024f\u2013\u2014\u2018-\u201d\u
 def _split(path: str, pattern: str, known: pa.Array) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, words_in = load_ranks(path), splitter(pattern)
+        tables = _byte_tables(ranks)
 
         def block() -> pa.RecordBatch:
             long = np.array([i for ids in codes.long for i in ids], np.int32)
             columns = [
                 pa.array([anew]), pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
                 pa.array([np.concatenate(parts)], pa.list_(pa.int32())),
-                _nested(*packed(codes.words, ranks), pa.int64()),
+                _nested(*packed(codes.words, ranks, tables), pa.int64()),
                 _nested(np.array([len(ids) for ids in codes.long], np.int64), long, pa.int32()),
             ]
             return pa.RecordBatch.from_arrays(columns, ["anew", "keys", "sizes", "codes", "words", "long"])
@@ -431,9 +443,10 @@ def _pack_words(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(path)
+        tables = _byte_tables(ranks)
         for batch in batches:
             words = batch.column(0)
-            lengths, tokens = packed([w.encode("utf-8", "surrogatepass") for w in words.to_pylist()], ranks)
+            lengths, tokens = packed([w.encode("utf-8", "surrogatepass") for w in words.to_pylist()], ranks, tables)
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(tokens, pa.int64()))
             yield pa.RecordBatch.from_arrays([words, lists], ["word", "tokens"])
