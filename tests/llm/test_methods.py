@@ -238,6 +238,62 @@ def test_components(spark):
     assert got == {k: label[k] for k in got} and set(label) - set(got) <= {a for a, b in pairs if a == b}
 
 
+def joined(plan):
+    """Rows that the joins of a plan that has run made."""
+    kind = plan.nodeName()
+    if kind == "AdaptiveSparkPlan":
+        return joined(plan.executedPlan())
+    if kind.endswith("QueryStage"):
+        return joined(plan.plan())
+    below = plan.children()
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in kind else 0
+    return own + sum(joined(below.apply(i)) for i in range(below.size()))
+
+
+def test_components_read_the_links_of_a_group_twice_at_most(spark, monkeypatch):
+    """24 leaders of a group, each linked with most others, and some members that hang on a chain."""
+    made = []
+
+    def settled(df):
+        rows = df.collect()
+        made.append(joined(df._jdf.queryExecution().executedPlan()))
+        return spark.createDataFrame(rows, df.schema)
+
+    monkeypatch.setattr(components, "settle", settled)
+    for size in (100, 200):
+        rng = random.Random(size)
+        names = rng.sample(range(10**6), size)
+        pairs = [(a, b) for a in names[:24] for b in names[24:] if rng.random() < 0.7]
+        pairs += [(names[-1], 10**6)] + [(10**6 + i, 10**6 + i + 1) for i in range(12)]
+        made.clear()
+        got = components.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()
+        assert {(r["node"], r["label"]) for r in got} == {(x, min(names)) for p in pairs for x in p}
+        assert len(pairs) <= sum(made) <= 3 * len(pairs)
+
+
+def test_large_buckets_link_two_components_once(spark):
+    """Members that no leader resembles meet many of the main component, in each of its blocks."""
+    rng = random.Random(9)
+    seed = [f"s{i}" for i in range(120)]
+    texts = []
+    for i in range(900):
+        words = list(seed)
+        words[rng.randrange(120)] = f"n{i}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    weights = shingles.shingle_weights(docs)
+    hashes = shingles.WordHashes()
+    signed = [near_dedup.signature(*shingles.weighted(t, hashes, weights)) for t in texts]
+    rows = [(0, 1, i, [1], sketch, weight) for i, (_, sketch, weight) in enumerate(signed)]
+    members = spark.createDataFrame(rows, "band int, key bigint, id bigint, bands array<bigint>, sketch array<bigint>, weight double")
+    labels = spark.createDataFrame([(i, 0) for i in range(880)], "node bigint, label bigint")
+    names = docs.select("id", F.col("id").alias("doc_id"), F.md5("text").alias("digest"))
+    places = near_dedup.Texts(names, docs.select(F.col("id").alias("doc_id"), F.md5("text").alias("digest"), "text"))
+    found = [(r["a"], r["b"]) for r in near_dedup._large_buckets(members, labels, places, weights, 0.8).collect()]
+    assert len(found) == len(set(found))
+    assert {x for p in found for x in p} == {0, *range(880, 900)}
+
+
 def test_base_spans_by_the_given_patterns(spark, documents):
     patterns = (
         ("assign", re.compile(secrets.ASSIGN.pattern, re.I | re.A), lambda m: len(m[2]) >= 6),

@@ -10,7 +10,8 @@ a bucket of few texts all other pairs are compared. In a larger one every member
 two leaders; what is then not in the bucket's largest component is compared with the rest of the
 bucket block by block, each task skipping pairs that are connected already. A pair is verified by
 its weighted similarity or, because a large group makes its own shingles frequent, by the plain one
-of its shingle counts. Classes are the connected components of the verified links.
+of its shingle counts. Classes are the connected components of the verified links; links that blocks
+add are drawn between the components of the links with leaders, two components having one at most.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from yardgrid.llm.common import fresh, struct_udf, value_udf
-from yardgrid.llm.components import components
+from yardgrid.llm.components import components, relabelled
 from yardgrid.llm.shingles import (
     WordHashes,
     least_weighted,
@@ -175,16 +176,18 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 
 def _large_buckets(
-    members: DataFrame, like: DataFrame, texts: Texts, weights: np.ndarray, similarity: float
+    members: DataFrame, labels: DataFrame, texts: Texts, weights: np.ndarray, similarity: float
 ) -> DataFrame:
-    """Links between the components that share a large bucket.
+    """Links (a, b) between the components that share a large bucket, by their labels, each once.
+
+    ``labels`` has (node, label); members that it leaves out are components of their own.
 
     Members outside the largest component of a bucket (the rest) and those in it are dealt into
     blocks. A task gets two blocks with their texts: two of the rest, or one of the rest and one
     of the largest component. So the work follows the size of the rest.
     """
     placed = (
-        members.join(components(like).withColumnRenamed("node", "id"), "id", "left")
+        members.join(labels.withColumnRenamed("node", "id"), "id", "left")
         .withColumn("label", F.coalesce("label", "id"))
     )
     sizes = placed.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -218,15 +221,14 @@ def _large_buckets(
         dealt.select("band", "key", "task.p", "task.q", "id", "label", "bands", "sketch", "weight"), "id", "text"
     )
     compare = _block_links(weights, similarity)
-    return full.groupBy("band", "key", "p", "q").applyInArrow(compare, "a bigint, b bigint, similarity double")
+    return full.groupBy("band", "key", "p", "q").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def _block_links(weights: np.ndarray, similarity: float) -> Callable[[pa.Table], pa.Table]:
     def compare(table: pa.Table) -> pa.Table:
-        """Links that connect different components of two blocks."""
+        """Links between different components of two blocks, by their labels."""
         band = table["band"][0].as_py()
-        ids, texts = table["id"].to_pylist(), table["text"].to_pylist()
-        labels = table["label"].to_pylist()
+        labels, texts = table["label"].to_pylist(), table["text"].to_pylist()
         bands = np.array(table["bands"].to_pylist(), np.int64)
         sketches = np.array(table["sketch"].to_pylist(), np.int64)
         total = table["weight"].to_numpy()
@@ -242,7 +244,7 @@ def _block_links(weights: np.ndarray, similarity: float) -> Callable[[pa.Table],
                 sets[i] = weighted(texts[i], hashes, weights)
             return sets[i]
 
-        for i in range(len(ids) - 1):
+        for i in range(len(labels) - 1):
             z = sketches[i] ^ sketches[i + 1 :]
             z = z | (z >> 1)
             z = z | (z >> 2)
@@ -253,21 +255,19 @@ def _block_links(weights: np.ndarray, similarity: float) -> Callable[[pa.Table],
             near &= (bands[i] == bands[i + 1 :]).argmax(axis=1) == band
             for j in np.flatnonzero(near)[np.argsort(-agree[near], kind="stable")] + i + 1:
                 if top(labels[i]) != top(labels[j]):
-                    alike = likeness(set_of(i), set_of(j), weights)
-                    if alike >= similarity:
+                    if likeness(set_of(i), set_of(j), weights) >= similarity:
                         parent[top(labels[i])] = top(labels[j])
-                        found.append((min(ids[i], ids[j]), max(ids[i], ids[j]), alike))
-        columns = zip(*found, strict=True) if found else ([], [], [])
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("a", "b", "similarity"), columns, kinds, strict=True)})
+                        found.append((min(labels[i], labels[j]), max(labels[i], labels[j])))
+        columns = zip(*found, strict=True) if found else ([], [])
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("a", "b"), columns, strict=True)})
 
     return compare
 
 
-def links(
+def linked(
     texts: Texts, signed: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY
 ) -> DataFrame:
-    """Verified pairs (a, b, similarity) of different texts that connect all that is alike.
+    """(node, label) of the texts that are alike to others; the label is the smallest node of the class.
 
     ``signed`` has ``id``, one for each different text, and the columns of a signature.
     """
@@ -291,8 +291,10 @@ def links(
         .distinct()
     )
     like = settle(_measure(pairs, texts, weights).filter(F.col("similarity") >= similarity))
+    labels = components(like)
     large = members.filter(F.col("members") > SMALL).drop("members")
-    return like.union(_large_buckets(large, like, texts, weights, similarity))
+    above = components(_large_buckets(large, labels, texts, weights, similarity))
+    return relabelled(labels, above).union(above.join(labels, "node", "left_anti"))
 
 
 def near_duplicates(
@@ -326,8 +328,7 @@ def near_duplicates(
         )
     )
     texts = Texts(different.select("id", "doc_id", "digest"), docs.withColumn("digest", F.md5("text")))
-    found = settle(links(texts, different.drop("digest", "doc_id"), weights, similarity))
-    labels = components(found)
+    labels = settle(linked(texts, different.drop("digest", "doc_id"), weights, similarity))
     named = (
         different.select("digest", "id", F.col("doc_id").alias("copy_of"))
         .join(labels.withColumnRenamed("node", "id"), "id", "left")
