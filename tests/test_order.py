@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 import numpy as np
@@ -181,3 +182,42 @@ def test_split_keeps_the_rows_where_they_are(spark, tmp_path):
     # Joins of the rows with the cuts and the chosen buckets have a built side that is broadcast.
     plan = plain._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_a_stored_training_set_is_little_more_than_its_control(spark):
+    rng = np.random.default_rng(3)
+    n = 60_000
+    df = spark.range(n).selectExpr(
+        "id div 5000 as game", "1L as play", "cast(id div 500 % 10 as int) as frame", "cast(id div 25 % 20 as int) as x",
+        "cast(id % 25 as int) as y", "cast(id div 500 as double) as x_car", "1.0D as y_car", "id",
+    )
+    values = spark.createDataFrame(list(enumerate(rng.random(n).tolist())), "id bigint, PC double")
+    df = df.join(values, "id").drop("id")
+    stored = models.settled_for_split(df)
+    size = sum(os.path.getsize(f.removeprefix("file:")) for f in stored.inputFiles())
+    assert size < 11 * n  # eight bytes are the control; whole hashes take eight more
+    for groups in (None, 5):
+        there, plain = models.pc_split(stored, groups=groups), models.pc_split(df, groups=groups)
+        assert set(there.columns) == {*df.columns, "is_train"}
+        assert there.exceptAll(plain.select(there.columns)).count() == 0 and there.count() == n
+    # All rows of a stratum have one byte: the cut is found by the rest of the hash.
+    same = df.withColumn("_key_prefix", F.lit("cc")).filter(models.key_prefix(models.SPLIT_KEYS, 12) == "cc")
+    split = models.pc_split(same, groups=None)
+    kept = same.count()
+    assert 0 < kept < n / 100 and split.filter("is_train").count() == math.ceil(0.8 * kept)
+
+
+def test_ranks_are_found_in_parts_of_a_bucket(spark):
+    rng = random.Random(5)
+    values = [rng.randrange(4000) for _ in range(3000)]
+    df = spark.createDataFrame([(v, v % 3) for v in values] + [(7, None)], "k int, c int")
+    found = ranks_around(
+        df, "v", [F.floor(F.col("total") * 0.4)], ["c"], bucket=F.floor(F.col("k") / 2000),
+        finer=F.floor(F.col("v") / 20), made=F.col("k") * 2,
+    ).collect()
+    for c in range(3):
+        group = sorted(2 * v for v in values if v % 3 == c)
+        near = [r for r in found if r.c == c]
+        assert all(r.n == group.count(r.v) and r.below == sum(v < r.v for v in group) and r.total == len(group) for r in near)
+        assert any(r.v == group[int(len(group) * 0.4)] for r in near) and len(near) <= 10
+    assert [(r.v, r.n, r.below, r.total) for r in found if r.c is None] == [(14, 1, 0, 1)]

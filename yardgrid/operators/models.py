@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -26,19 +28,17 @@ from yardgrid.session import fan_out, settle
 LINKS = ("logit", "probit", "cloglog")
 
 
-def _strata(df: DataFrame, target: str, groups: int) -> DataFrame:
+def _strata(df: DataFrame, target: str, groups: int, bucket: Column | None = None) -> DataFrame:
     """Adds the number of the quantile interval of a continuous target; ``groups`` bounds, both
     ends in. The inner bounds are exact quantiles, interpolated between neighbouring values; their
     ranks are found bucket by bucket. They are one row of at most ``groups`` numbers."""
     shares = {f"q{i}": i / (groups - 1) for i in range(1, groups - 1)}
     if not shares:
         return df.withColumn("_stratum", F.lit(0))
-    bounds = exact_quantiles(df, target, shares).select(F.array(*shares).alias("bounds")).scalar()
-    return (
-        df.withColumn("_bounds", bounds)
-        .withColumn("_stratum", F.size(F.filter("_bounds", lambda b: b < F.col(target))))
-        .drop("_bounds")
-    )
+    bounds = exact_quantiles(df, target, shares, bucket=bucket).select(F.array(*shares).alias("bounds")).scalar()
+    # Comparisons one by one are compiled, a function over the array is not.
+    passed = [F.when(F.get("_bounds", F.lit(i)) < F.col(target), 1).otherwise(0) for i in range(len(shares))]
+    return df.withColumn("_bounds", bounds).withColumn("_stratum", reduce(add, passed)).drop("_bounds")
 
 
 def stratified_split(
@@ -49,6 +49,8 @@ def stratified_split(
     seed: int = 12,
     groups: int | None = None,
     hashed_as: str | None = None,
+    prefixed_as: str | None = None,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Adds ``is_train``: within each stratum the ``ceil(share * n)`` rows of smallest key hash.
 
@@ -58,22 +60,48 @@ def stratified_split(
     result does not depend on partitions. Rows only meet the table of cuts, one for each stratum.
 
     ``hashed_as`` names a column that holds :func:`key_hash` of the same keys and seed already; it
-    goes with the result.
+    goes with the result. With ``groups``, ``prefixed_as`` names one that holds their :func:`key_prefix`,
+    which tells for all but one row in 256 on which side of the cut they are; only these are hashed.
+    ``bucket`` of the continuous target is that of :func:`exact_quantiles`.
     """
-    layered = df.withColumn("_stratum", F.col(target)) if groups is None else _strata(df, target, groups)
-    hashed = layered.withColumn("_hash", F.col(hashed_as) if hashed_as else key_hash(keys, seed))
+    layered = df.withColumn("_stratum", F.col(target)) if groups is None else _strata(df, target, groups, bucket)
     wanted = F.ceil(F.col("total") * F.lit(share))
-    ranks = ranks_around(hashed, "_hash", [wanted - 1], ["_stratum"], bucket=F.shiftright("_hash", 44))
+    if prefixed_as:
+        ranks = ranks_around(
+            layered, "_hash", [wanted - 1], ["_stratum"], bucket=F.col(prefixed_as),
+            finer=F.shiftright("_hash", 36), made=key_hash(keys, seed),
+        )
+    else:
+        layered = layered.withColumn("_hash", F.col(hashed_as) if hashed_as else key_hash(keys, seed))
+        ranks = ranks_around(layered, "_hash", [wanted - 1], ["_stratum"], bucket=F.shiftright("_hash", 44))
     cuts = ranks.filter(F.col("below") < wanted).groupBy("_stratum").agg(F.max("_hash").alias("_cut"))
-    placed = join_alike(hashed, F.broadcast(cuts), ["_stratum"])
+    if prefixed_as:
+        # As few as the strata, and numbered as they are: a list instead of a table to join.
+        listed = [F.max(F.when(F.col("_stratum") == i, F.col("_cut"))) for i in range(max(groups - 1, 1))]
+        cut = F.get(cuts.agg(F.array(*listed)).scalar(), F.col("_stratum"))
+        first = F.lpad(F.lower(F.hex(F.shiftright("_cut", 52))), 2, "0")
+        firsts = [F.max(F.when(F.col("_stratum") == i, first)) for i in range(max(groups - 1, 1))]
+        beside, at = F.col(prefixed_as), F.get(cuts.agg(F.array(*firsts)).scalar(), F.col("_stratum"))
+        is_train = F.when(beside != at, beside < at).otherwise(key_hash(keys, seed) <= cut)
+        return layered.withColumn("is_train", is_train).drop("_stratum")
+    placed = join_alike(layered, F.broadcast(cuts), ["_stratum"])
     return placed.withColumn("is_train", F.col("_hash") <= F.col("_cut")).drop("_stratum", "_hash", "_cut")
 
 
+def _key_digest(keys: Sequence[str], seed: int) -> Column:
+    """The MD5 of keys and seed, joined by bars; a missing key is an empty text."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))).cast("binary"))
+
+
 def key_hash(keys: Sequence[str], seed: int) -> Column:
     """60 bits of the MD5 of keys and seed, joined by bars; a missing key is an empty text."""
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
-    digest = F.md5(F.concat_ws("|", *parts, F.lit(str(seed))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(_key_digest(keys, seed), 1, 15), 16, 10).cast("bigint")
+
+
+def key_prefix(keys: Sequence[str], seed: int) -> Column:
+    """The first 8 bits of :func:`key_hash` as two digits, in the same order."""
+    return F.substring(_key_digest(keys, seed), 1, 2)
 
 
 # -- binomial models -----------------------------------------------------------------------
@@ -176,12 +204,15 @@ INPUTS = ("x", "y", "x_car", "y_car")
 
 
 SPLIT_KEYS = [*CELL_FRAME, "x", "y"]
+# Ranges of control in which the bounds of its quantiles are looked for.
+PC_BUCKETS = 2**14
 
 
 def settled_for_split(df: DataFrame, seed: int = 12) -> DataFrame:
-    """A control training set stored with the hash of its keys, for :func:`pc_split` with the same
-    seed: rows are ranked, cut and split, and none of these passes spreads or hashes them again."""
-    return settle(df.withColumn("_key_hash", key_hash(SPLIT_KEYS, seed)))
+    """A control training set stored with a byte of the hash of its keys, for :func:`pc_split` with the
+    same seed: rows are ranked, cut and split, and none of these passes spreads or hashes all of them
+    again. Hashes do not compress, so a whole one would be as long as all that a row has besides."""
+    return settle(df.withColumn("_key_prefix", key_prefix(SPLIT_KEYS, seed)), "zstd")
 
 
 def pc_split(df: DataFrame, share: float = 0.8, seed: int = 12, groups: int | None = 5) -> DataFrame:
@@ -192,11 +223,12 @@ def pc_split(df: DataFrame, share: float = 0.8, seed: int = 12, groups: int | No
     if "is_train" in df.columns:
         return df
     known = df.filter(F.col("x_car").isNotNull() & F.col("PC").isNotNull())
-    stored = "_key_hash" if "_key_hash" in df.columns else None
-    if groups is None:  # one stratum
-        split = stratified_split(known.withColumn("_all", F.lit(1)), "_all", share, SPLIT_KEYS, seed, hashed_as=stored)
-        return split.drop("_all", "_key_hash")
-    return stratified_split(known, "PC", share, SPLIT_KEYS, seed, groups=groups, hashed_as=stored).drop("_key_hash")
+    stored = "_key_prefix" if "_key_prefix" in df.columns else None
+    groups = groups or 2  # two bounds are one stratum
+    # Control lies between 0 and 1; a value that does not only makes the buckets less even.
+    bucket = F.when(F.isnan("PC"), F.lit(2**62)).otherwise(F.floor(F.col("PC") * PC_BUCKETS))
+    split = stratified_split(known, "PC", share, SPLIT_KEYS, seed, groups=groups, prefixed_as=stored, bucket=bucket)
+    return split.drop("_key_prefix")
 
 
 @dataclass(frozen=True)

@@ -152,20 +152,20 @@ def value_ranks(
     )
 
 
-def _bounds_below(value: Column, bounds: Column, first: int, last: int) -> Column:
+def bounds_below(value: Column, bounds: Column, first: int, last: int) -> Column:
     """How many of the ascending bounds are smaller than a value, by bisection: a few comparisons
     a row, where a function over the array would visit all of it."""
     if first == last:
         return F.lit(first)
     middle = (first + last) // 2
     return F.when(
-        F.get(bounds, F.lit(middle)) < value, _bounds_below(value, bounds, middle + 1, last)
-    ).otherwise(_bounds_below(value, bounds, first, middle))
+        F.get(bounds, F.lit(middle)) < value, bounds_below(value, bounds, middle + 1, last)
+    ).otherwise(bounds_below(value, bounds, first, middle))
 
 
 def ranks_around(
     df: DataFrame, value: str, ranks: Sequence[Column], by: Sequence[str] = (), bucket: Column | None = None,
-    buckets: int = 32,
+    buckets: int = 32, finer: Column | None = None, made: Column | None = None,
 ) -> DataFrame:
     """The rows of :func:`value_ranks` near some ranks (counted from 0, columns of ``total``).
 
@@ -173,14 +173,19 @@ def ranks_around(
     then read again, and only their rows travel. ``df`` is read three times (twice with a given
     ``bucket``), so it should be a stored table. The chosen buckets are at most as many as the groups
     times the ranks.
+
+    With ``finer``, which must not decrease with the value inside a bucket, the rows of the chosen
+    buckets are counted by it first, and only those of the parts that hold a wanted rank travel.
+    ``made`` is the value, never missing, of a table that has no such column; it is worked out in the
+    chosen buckets only.
     """
     by = list(by)
-    known = df.filter(F.col(value).isNotNull()).select(*by, value)
+    known = df.filter(F.col(value).isNotNull()).select(*by, value) if made is None else df
     if bucket is None:
         shares = [i / buckets for i in range(1, buckets)]
         bounds = known.agg(F.percentile_approx(value, shares, 100 * buckets).alias("bounds"))
         known = known.withColumn("_bounds", bounds.scalar())
-        known = known.withColumn("_bucket", _bounds_below(F.col(value), F.col("_bounds"), 0, buckets - 1)).drop("_bounds")
+        known = known.withColumn("_bucket", bounds_below(F.col(value), F.col("_bounds"), 0, buckets - 1)).drop("_bounds")
     else:
         known = known.withColumn("_bucket", bucket)
     group = Window.partitionBy(*by)
@@ -192,27 +197,38 @@ def ranks_around(
     held = F.lit(False)
     for rank in ranks:
         held |= (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
-    chosen = F.broadcast(sizes.filter(held).drop("_n"))  # few rows; the long side stays where it is
-    counts = (
-        join_alike(known, chosen, [*by, "_bucket"])
-        .groupBy(*by, "_bucket", "_before", "total", value)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    inside = (
-        Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    chosen = sizes.filter(held).drop("_n")
+    places = [*by, "_bucket"]
+    # Most rows go by a look into a short list; only the others are looked up by all keys. The chosen
+    # buckets are few rows, so the long side stays where it is.
+    listed = F.array_contains(chosen.agg(F.collect_set("_bucket")).scalar(), F.col("_bucket"))
+    rows = join_alike(known.filter(listed), F.broadcast(chosen), places)
+    if made is not None:
+        rows = rows.withColumn(value, made)
+    if finer is not None:
+        rows = rows.withColumn("_part", finer)
+        upto = Window.partitionBy(*places).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = rows.groupBy(*places, "_before", "total", "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+            "_before", F.col("_before") + F.coalesce(F.sum("_n").over(upto), F.lit(0))
+        )
+        places = [*places, "_part"]
+        rows = join_alike(rows.drop("_before", "total"), F.broadcast(sizes.filter(held).drop("_n")), places)
+    counts = rows.groupBy(*places, "_before", "total", value).agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy(*places).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     below = F.col("_before") + F.sum("n").over(inside) - F.col("n")
     return counts.select(*by, value, "n", below.alias("below"), "total")
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = ()
+    df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = (), bucket: Column | None = None
 ) -> DataFrame:
-    """Quantiles with linear interpolation between the two neighbouring order statistics."""
+    """Quantiles with linear interpolation between the two neighbouring order statistics.
+
+    A ``bucket`` is that of :func:`ranks_around`."""
     by = list(by)
     positions = [(F.col("total") - 1) * F.lit(share) for share in shares.values()]
     ends = [end for position in positions for end in (F.floor(position), F.ceil(position))]
-    ranked = ranks_around(df, value, ends, by)
+    ranked = ranks_around(df, value, ends, by, bucket)
     low_n, high_n = F.col("below"), F.col("below") + F.col("n")
 
     def at(rank: Column) -> Column:

@@ -73,16 +73,17 @@ def _local_folder() -> str:
     return folder.name
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     The result outlives executors, its lineage is cut, later scans read only the columns they
     use, and Spark knows its size. For stages that several operators read and for iterative fits.
+    A ``codec`` compresses it otherwise than the session does.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     # Removed when the session's file systems are closed.
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    df.write.parquet(path)
+    df.write.options(**({"compression": codec} if codec else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
