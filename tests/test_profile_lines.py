@@ -1,12 +1,17 @@
 """Iso-lines, sketches, exact strata, the club constraint and stopping with patience."""
 
+import glob
 import math
+import os
 import random
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from yardgrid.operators import control, models, profile
+from yardgrid.session import settle, shared_folder
 
 
 def surface(spark, f, xs=range(12), ys=range(10)):
@@ -110,3 +115,35 @@ def test_stopping_with_patience(spark):
     assert abs(held.mae - fit.errors[fit.best_round - 1]) < 1e-9
     loaded = models.score_regressor(fit.model, split).agg(F.count("prediction")).first()[0]
     assert loaded == len(rows)
+
+
+def test_the_regressor_does_not_store_its_rows_again(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(9000):
+        x, y, x_car, y_car = k % 7, k % 5, float(k % 3), float(k % 4)
+        rows.append((x, y, x_car, y_car, 0.1 * x + 0.05 * y * x_car + rng.gauss(0, 0.2), k % 11 > 1))
+    schema = "x int, y int, x_car double, y_car double, PC double, is_train boolean"
+    split = settle(spark.createDataFrame(rows, schema))
+
+    def stored():
+        return sum(os.path.getsize(f) for f in glob.glob(f"{shared_folder(spark).removeprefix('file:')}/settled-*/*.parquet"))
+
+    before = stored()
+    model = models.fit_pc_regressor(split, iterations=6, depth=3)
+    few = stored() - before
+    many = settle(split.join(spark.range(30).select()))
+    before = stored()
+    again = models.fit_pc_regressor(many, iterations=6, depth=3)
+    # 420 places in the grid, whatever the number of rows.
+    assert stored() - before < 1.2 * few and again.getNumTrees == model.getNumTrees
+    # Spark ML's own boosting of all rows, whose inputs have so few values that both cut everywhere.
+    data = VectorAssembler(inputCols=list(models.INPUTS), outputCol="features").transform(split)
+    theirs = GBTRegressor(
+        featuresCol="features", labelCol="PC", lossType="absolute", validationIndicatorCol="held", maxIter=6, maxDepth=3, seed=12
+    ).fit(data.withColumn("held", ~F.col("is_train")))
+    assert model.getNumTrees == theirs.getNumTrees > 1 and list(model.treeWeights) == list(theirs.treeWeights)
+    held = data.filter("not is_train")
+    assert model.evaluateEachIteration(held, "absolute") == pytest.approx(theirs.evaluateEachIteration(held, "absolute"), rel=1e-9)
+    with pytest.raises(Exception, match="an input of the regression is missing"):
+        models.fit_pc_regressor(split.withColumn("y_car", F.expr("if(x = 3, null, y_car)")))
