@@ -12,14 +12,14 @@ for each language, are calibrated on all training rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -172,9 +172,22 @@ def examples(df: DataFrame, labels: DataFrame, usable: Column, rows: int = REPLI
     return settle(found.sortWithinPartitions(*order).drop("doc_id"))
 
 
-def train(rows: DataFrame, seed: int = 3) -> Network:
-    """Fit the network to all rows of :func:`examples`; without both labels it answers the share of
-    toxic examples."""
+# Its name before it gave all labelled texts; callers still use it.
+sample = examples
+
+
+def _stored_examples(rows: DataFrame | Sequence[tuple[str, str | None, int]]) -> DataFrame:
+    """Rows of :func:`examples` as they are, or a few given as (text, language, label)."""
+    if isinstance(rows, DataFrame):
+        return rows
+    texts = SparkSession.active().createDataFrame(list(rows), "text string, lang string, toxic int")
+    return settle(texts.select(F.lit(0).alias("replica"), "toxic", "lang", packed_words("text").alias("words")))
+
+
+def train(rows: DataFrame | Sequence[tuple[str, str | None, int]], seed: int = 3) -> Network:
+    """Fit the network to all rows of :func:`examples`, or a few given as (text, language, label);
+    without both labels it answers the share of toxic examples."""
+    rows = _stored_examples(rows)
     rng = np.random.default_rng(seed)
     net = Network(np.zeros((BUCKETS + _DENSE, DIMENSIONS), np.float32))
     net.table[:] = rng.normal(0, 0.1, net.table.shape)
@@ -317,13 +330,15 @@ def _calibrate(rows: DataFrame, steps: int = 200) -> tuple[float, float]:
     return max(float(beta[0]), 1e-3), float(beta[1])
 
 
-def thresholds(net: Network, rows: DataFrame, least: int = 50) -> dict[str, float]:
+def thresholds(
+    net: Network, rows: DataFrame | Sequence[tuple[str, str | None, int]], least: int = 50
+) -> dict[str, float]:
     """For each language with enough rows of :func:`examples`, the score that makes the fewest errors there.
 
     Errors of the two labels weigh alike. ``""`` has the threshold of all other languages.
     """
     cuts = np.linspace(0.05, 0.95, 19)
-    scored = logits(rows, net).withColumn("score", _score(F.col("logit"), net.scale))
+    scored = logits(_stored_examples(rows), net).withColumn("score", _score(F.col("logit"), net.scale))
     wrong = [F.count_if((F.col("score") >= float(c)) != (F.col("toxic") == 1)).alias(f"e{i}") for i, c in enumerate(cuts)]
     tallies = [F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") == 0).alias("good"), *wrong]
     by_lang = scored.filter("lang is not null").groupBy("lang").agg(*tallies).filter(F.least("bad", "good") >= least)
